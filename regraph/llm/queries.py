@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .mixing import op3_mixing
+from .packing import op5_packing
 from .url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
 }
