@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import op3_mixing
+from .near_dedup import op2_near_dedup
 from .packing import op5_packing
 from .substring_dedup import op1_substring_dedup
 from .toxicity import op4_toxicity
@@ -11,6 +12,7 @@ from .url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_near_dedup": op2_near_dedup,
     "op3_mixing": op3_mixing,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
