@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op8_ann
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .mixing import op3_mixing
 from .near_dedup import op2_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op8_ann": op8_ann,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
