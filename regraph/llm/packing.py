@@ -26,6 +26,7 @@ import os
 import zlib
 from array import array
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import table, text_slices, words_of
 
 SIZE, END, SENTENCE_CUT, FORCED_CUT, STRETCH = 4096, 2, 16, 256, 1 << 18
-CACHE = 400_000  # distinct words a worker remembers
+CACHE = 600_000  # distinct words a worker remembers
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
@@ -54,22 +55,52 @@ class WordTokens:
     def clear(self) -> None:
         self.code, self.ids, self.begin = {}, array("I"), array("q", [0])
 
+    def _codes(self, words: pa.Array) -> np.ndarray:
+        """A code for each word; new words are tokenized."""
+        coded = pc.dictionary_encode(words)
+        words = coded.dictionary.to_pylist()
+        get = self.code.get
+        known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(known < 0)
+        for a in range(0, len(new), 8192):
+            part = new[a : a + 8192]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in part.tolist()], add_special_tokens=False)]
+            codes = np.arange(len(self.code), len(self.code) + len(part))
+            self.code.update(zip((words[i] for i in part.tolist()), codes.tolist()))
+            known[part] = codes
+            self.ids.extend(chain.from_iterable(found))
+            self.begin.extend((self.begin[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))).tolist())
+        return known[coded.indices.to_numpy()]
+
+    def _table(self, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, ids): the ids of word i are ids[begin[i]:begin[i + 1]].
+
+        Words of Latin letters with at most one mark at the end are looked up as the lower-case
+        letters and the mark: the tokenizer itself lower-cases and splits there.
+        """
+        plain = pc.match_substring_regex(vocabulary, "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$")
+        marked = pc.and_(plain, pc.match_substring_regex(vocabulary, "[.,;:!?]$"))
+        core = pc.if_else(plain, pc.utf8_lower(pc.if_else(marked, pc.utf8_slice_codeunits(vocabulary, 0, -1), vocabulary)), vocabulary)
+        has = marked.to_numpy(zero_copy_only=False).astype(bool)
+        units = np.empty(len(vocabulary) + int(has.sum()), np.int64)
+        at = np.arange(len(vocabulary)) + np.cumsum(has) - has
+        units[at] = self._codes(core)
+        units[at[has] + 1] = self._codes(pc.utf8_slice_codeunits(vocabulary.filter(marked), -1))
+        begin, flat = np.array(self.begin), np.array(self.ids, np.uint32)
+        count = begin[units + 1] - begin[units]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(begin[units] - (ends - count), count) + np.arange(total)]
+        last = at + has  # the last unit of each word
+        return np.concatenate([[0], ends[last]]) if len(ends) else np.zeros(1, np.int64), ids
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, document ends, sentence ends): all texts' ids in a row; the ends count ids."""
         offsets, codes, vocabulary = words_of(texts)
-        words = vocabulary.to_pylist()
         if len(self.code) > CACHE:
             self.clear()
-        new = [w for w in words if w not in self.code]
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.code[w] = len(self.begin) - 1
-                self.ids.extend(e.ids)
-                self.begin.append(len(self.ids))
-        known = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        begin, flat = np.array(self.begin), np.array(self.ids, np.uint32)
-        start, count = begin[known], begin[known + 1] - begin[known]
+        begin, flat = self._table(vocabulary)
+        start, count = begin[:-1], np.diff(begin)
         ends = np.cumsum(count[codes])
         total = int(ends[-1]) if len(ends) else 0
         ids = flat[np.repeat(start[codes] - (ends - count[codes]), count[codes]) + np.arange(total)]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .ann import op8_ann
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .licenses import op10_licenses
 from .mixing import op3_mixing
 from .near_dedup import op2_near_dedup
 from .packing import op5_packing
 from .substring_dedup import op1_substring_dedup
+from .surrogates import op7_surrogates
 from .toxicity import op4_toxicity
 from .url_filter import OP6_SQL, op6_url_filter
 
@@ -18,8 +20,10 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_surrogates": op7_surrogates,
     "op8_ann": op8_ann,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL = {
