@@ -9,25 +9,26 @@ import struct
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def pack_count(n: pd.Series) -> pd.Series:
     return n.map(lambda v: struct.pack("<q", int(v)))
 
 
-@pandas_udf("long")
+@pandas_udf(T.LongType())
 def unpack_count(data: pd.Series) -> pd.Series:
     return data.map(lambda b: struct.unpack_from("<q", b)[0])
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def pack_moments(n: pd.Series, sums: pd.Series) -> pd.Series:
     return pd.Series([struct.pack(f"<QI{len(s)}d", int(c), len(s), *s) for c, s in zip(n, sums)])
 
 
-@pandas_udf("struct<n: long, sums: array<double>>")
+@pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.DoubleType()))]))
 def unpack_moments(data: pd.Series) -> pd.DataFrame:
     rows = []
     for b in data:
@@ -36,12 +37,12 @@ def unpack_moments(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n", "sums"])
 
 
-@pandas_udf("binary")
+@pandas_udf(T.BinaryType())
 def pack_histogram(n: pd.Series, counts: pd.Series) -> pd.Series:
     return pd.Series([struct.pack(f"<QI{len(s)}Q", int(c), len(s), *map(int, s)) for c, s in zip(n, counts)])
 
 
-@pandas_udf("struct<n: long, counts: array<long>>")
+@pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("counts", T.ArrayType(T.LongType()))]))
 def unpack_histogram(data: pd.Series) -> pd.DataFrame:
     rows = []
     for b in data:
