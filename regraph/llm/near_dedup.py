@@ -11,11 +11,19 @@ longest common subsequence of two texts is a longest increasing run of matched p
 off the band that 0.8 allows (insertions plus deletions) are left out first. The similarity is
 L / (n + m - L).
 
-No group is ever paired with itself as a whole. Texts of equal words are one text. Of each bucket
-the smallest member is compared with all others first; after that, members are compared only across
-components that are still apart, one leader per component and round, until every pair of a bucket
-is either compared or known to be connected. So no link of a bucket is lost and nothing is capped.
-Components come from large-star/small-star rounds; every round ends in a written table.
+No large group is ever paired with itself, and no link of a bucket is lost. Texts of equal words are
+one text. Buckets of at most SMALL members give their pairs. In a larger one a leader L is compared
+with all others, which is linear: first the smallest identifier, later the member that adds least to
+the leader before, which tends to be the text that the others vary. Let x
+miss m(x) k-mers of L and hold i(x) further ones, I(x). Two members x and y that are not both
+linked with L can reach the similarity only if they differ in at most (n(x) + n(y)) / 9 k-mers; they
+differ in at least i(x) + i(y) - 2 |I(x) & I(y)| + |m(x) - m(y)|. So either
+  (a) they share a k-mer of I(x) and I(y), even one among the smallest 0.2 n + 1 of each, since each
+      holds 0.8 of the other: (L, k-mer) is a bucket of the next round; or
+  (b) i(x) + i(y) + |m(x) - m(y)| <= (n(x) + n(y)) / 9: such pairs are found by joining the distinct
+      triples (i, m, n) of L's members, and compared.
+Rounds end when no bucket holds two components that are apart. Nothing is capped. Components come
+from large-star/small-star rounds; every round ends in a written table.
 
 Nulls, ties, odd input: null and empty texts are one class; texts shorter than a k-mer are a single
 element, so they match equal texts only; a null doc_id forms rows of the class but never its name
@@ -33,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, table, text_slices, word_hashes, words_of, written
 
-KMER, SIMILARITY, SKETCHES, PICKED = 5, 0.8, 40, 6
+KMER, SIMILARITY, SKETCHES, PICKED, SMALL = 5, 0.8, 40, 6, 12
 _random = np.random.default_rng(7)
 XOR, TIMES = (_random.integers(0, 2**63, (SKETCHES, 1), np.uint64) for _ in range(2))
 TIMES |= np.uint64(1)
@@ -133,18 +141,30 @@ def kmer_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "rep long, digest binary, kmer_bytes binary").select("rep", "kmer_bytes").dropDuplicates(["rep"])
 
 
-def verified(pairs: DataFrame, kmers: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches least."""
+COMPARED = "a long, b long, led boolean, linked boolean, missing int, more int, size int, keys array<int>"
+
+
+def compared(pairs: DataFrame, kmers: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b, led) with: whether the alignment reaches least; b's k-mers against a's: missing, more, all and keys.
+
+    keys are the smallest k-mers that b has and a lacks, as many as any text b is linked with must share one of.
+    """
 
     def run(batches):
         for batch in batches:
-            keep = [aligned(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), least) >= least - 1e-9 for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())]
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            rows = []
+            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                more = np.setdiff1d(y, x)
+                shared = len(y) - len(more)
+                linked = shared >= least / (1 + least) * (len(x) + len(y)) - 1e-6 and aligned(x, y, least) >= least - 1e-9
+                rows.append((linked, len(x) - shared, len(more), len(y), more[: int((1 - least) * len(y) + 1e-9) + 1].view(np.int32)))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("led"), pa.array(cols[0], pa.bool_()), *(pa.array(c, pa.int32()) for c in cols[1:4]), pa.array(cols[4], pa.list_(pa.int32()))], names=["a", "b", "led", "linked", "missing", "more", "size", "keys"])
 
     out = pairs.join(kmers.select(F.col("rep").alias("a"), F.col("kmer_bytes").alias("left")), "a")
-    out = out.join(kmers.select(F.col("rep").alias("b"), F.col("kmer_bytes").alias("right")), "b").select("a", "b", "left", "right")
-    return out.mapInArrow(run, "a long, b long")
+    out = out.join(kmers.select(F.col("rep").alias("b"), F.col("kmer_bytes").alias("right")), "b").select("a", "b", "led", "left", "right")
+    return out.mapInArrow(run, COMPARED)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -164,39 +184,69 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
 
 
+def candidates(buckets: DataFrame) -> DataFrame:
+    """(a, b, led) from buckets(bucket, rep, own, rank), own the component so far.
+
+    Buckets of at most SMALL members give their pairs across components. In a larger one the member of
+    the lowest (rank, rep) leads: it meets every other one, and led says that the rest is still open.
+    """
+    heads = buckets.groupBy("bucket").agg(F.min(F.struct("rank", "rep")).alias("_h"), F.count(F.lit(1)).alias("n"), F.min("own").alias("_x"), F.max("own").alias("_y")).where("_x != _y")
+    # written, so that the join's two sides are plain exchanges, which adaptive execution can split
+    heads = written(heads.select("bucket", "n", F.col("_h.rep").alias("lead")))
+    joined = buckets.join(heads, "bucket")
+    large = joined.where((F.col("n") > SMALL) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("led"))
+    small = written(joined.where(F.col("n") <= SMALL).select("bucket", "rep", "own"))
+    other = small.toDF("bucket", "rep2", "own2")
+    few = small.join(other, "bucket").where("rep < rep2 and own != own2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.lit(False).alias("led"))
+    return large.union(few).groupBy("a", "b").agg(F.max("led").alias("led"))
+
+
+def apart(df: DataFrame, label: DataFrame, *cols: str) -> DataFrame:
+    """df with, for each of cols, the component as c_<col>."""
+    for c in cols:
+        df = df.join(label.select(F.col("id").alias("_id"), F.col("component").alias(f"c_{c}")), F.col(c) == F.col("_id"), "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c)).drop("_id")
+    return df
+
+
 def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """(id, component) of the representatives that are linked with others."""
-    buckets = reps.select("rep", "digest", "kmers", F.posexplode("sketches").alias("band", "value")).select("rep", "digest", "kmers", F.xxhash64("band", "value").alias("bucket"))
-    many = buckets.groupBy("bucket").agg(F.min("rep").alias("leader"), F.max("rep").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket", "leader")
-    many = written(many)
-    members = written(buckets.join(many, "bucket").select("bucket", "rep", "digest", "kmers", "leader"))
-    kmers = written(kmer_table(docs, members.select("rep", "digest").distinct()))
-    sizes = members.select(F.col("rep").alias("leader"), F.col("kmers").alias("_size")).distinct()
-    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least)  # noqa: E731  no alignment of more unequal lengths reaches it
-    pairs = members.where("rep != leader").select(F.col("leader"), F.col("rep"), "kmers").distinct().join(sizes, "leader").where(alike(F.col("kmers"), F.col("_size")))
-    pairs = written(pairs.select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    edges = written(verified(pairs, kmers, least))
-    done = members.select("bucket", F.col("leader").alias("rep")).distinct()
-    active = members.select("bucket", "rep", "kmers")
+    buckets = reps.select("rep", F.posexplode("sketches").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "rep", F.col("rep").alias("own"), F.lit(0).alias("rank"))
+    pairs = written(candidates(buckets))
+    members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", "digest"), "rep")
+    kmers = written(kmer_table(docs, members))
+    edges, known, limit = None, None, F.lit((1 - least) / (1 + least))
     while True:
-        label = components(edges)
-        active = active.join(done, ["bucket", "rep"], "left_anti").join(label, active["rep"] == label["id"], "left").select("bucket", "rep", "kmers", F.coalesce("component", "rep").alias("own"))
-        active = written(active)
-        apart = active.groupBy("bucket").agg(F.min("own").alias("_x"), F.max("own").alias("_y")).where("_x != _y").select("bucket")
-        leaders = written(active.join(apart, "bucket").groupBy("bucket", "own").agg(F.min(F.struct("rep", "kmers")).alias("_l")).select("bucket", F.col("own").alias("_own"), F.col("_l.rep").alias("leader"), F.col("_l.kmers").alias("_size")))
-        if not leaders.limit(1).count():
+        seen = written(compared(pairs, kmers, least))
+        new, met = seen.where("linked").select("a", "b"), seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = written(new if edges is None else edges.union(new))
+        known = written(met if known is None else known.union(met))
+        label = written(components(edges))
+        # leaders that have a member which is not linked with them
+        led = seen.where("led")
+        open_ = led.where("not linked").select("a").distinct()
+        rows = written(apart(led.join(open_, "a"), label, "b"))
+        if not rows.limit(1).count():
+            return label
+        keyed = rows.select(F.explode("keys").alias("_k"), "a", "b", "c_b", "more").select(F.xxhash64("a", "_k").alias("bucket"), F.col("b").alias("rep"), F.col("c_b").alias("own"), F.col("more").alias("rank"))
+        # members of one leader that hardly add to it: found by their distinct triples
+        kinds = written(rows.groupBy("a", "missing", "more", "size").agg(F.max((~F.col("linked")).cast("int")).alias("off")))
+        other = kinds.toDF("a", "missing2", "more2", "size2", "off2")
+        near = kinds.join(other, "a").where((F.col("off") == 1) & (F.col("more") + F.col("more2") + F.abs(F.col("missing") - F.col("missing2")) <= limit * (F.col("size") + F.col("size2")) + 1e-6))
+        one = rows.where("not linked").select("a", "missing", "more", "size", F.col("b").alias("x"), F.col("c_b").alias("c_x"))
+        two = rows.select("a", F.col("missing").alias("missing2"), F.col("more").alias("more2"), F.col("size").alias("size2"), F.col("b").alias("y"), F.col("c_b").alias("c_y"))
+        direct = one.join(near.drop("off", "off2"), ["a", "missing", "more", "size"]).join(two, ["a", "missing2", "more2", "size2"]).where("c_x != c_y")
+        few = direct.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("led"))
+        both = candidates(keyed).union(few).groupBy("a", "b").agg(F.max("led").alias("led"))
+        pairs = both.where("led").union(both.where("not led").join(known, ["a", "b"], "left_anti"))
+        pairs = written(pairs)
+        if not pairs.limit(1).count():
             return label
-        cross = active.join(leaders, "bucket").where((F.col("own") != F.col("_own")) & alike(F.col("kmers"), F.col("_size")))
-        pairs = written(cross.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct())
-        edges = written(edges.union(verified(pairs, kmers, least)))
-        done = leaders.select("bucket", F.col("leader").alias("rep"))
-        active = active.select("bucket", "rep", "kmers")
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), text_id (that of equal texts)."""
     rows = written(sketched(docs))
-    reps = written(rows.groupBy("digest").agg(F.min(F.struct("doc_id", "kmers", "sketches")).alias("_r")).select("digest", F.col("_r.doc_id").alias("rep"), F.col("_r.kmers").alias("kmers"), F.col("_r.sketches").alias("sketches")))
+    reps = written(rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "kmers", "sketches")).alias("_r")).select("digest", F.col("_r.doc_id").alias("rep"), F.col("_r.kmers").alias("kmers"), F.col("_r.sketches").alias("sketches")))
     label = linked(docs, reps.where("rep is not null"), least)
     named = written(reps.select("digest", "rep").join(label, F.col("rep") == F.col("id"), "left").select("digest", "rep", F.coalesce("component", "rep").alias("class_id")))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", F.col("rep").alias("text_id"))
