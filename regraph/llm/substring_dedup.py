@@ -12,20 +12,22 @@ entries whose document is not the smallest of their fingerprint are hits. Runs a
 to one entry per fingerprint (`compacted`), which is what a later batch joins.
 
 Verification: a hit counts only where CHECK_BITS further bits of a second, independent fingerprint
-agree as well (see README for the odds); a test compares with the words themselves.
+agree as well, and where the document, read again, still has a window of that fingerprint; a test
+compares with the words themselves.
 
 Ranges: one for every RANGE_BYTES of text, at most MAX_RANGES, so that a range's runs fit in a
 task; larger corpora are to be added batch by batch.
 
 Nulls, ties, odd input: a null or empty text has no words; a null doc_id is not smaller than any
-other, takes nothing from others and keeps its words; rows that repeat a doc_id are told apart by
-16 bits of their text's hash and remove nothing from each other; an empty table gives no rows.
+other, takes nothing from others and keeps its words; rows that repeat a doc_id remove nothing from
+each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,19 +50,13 @@ def unplanes(data: bytes, n: int, dtype) -> np.ndarray:
 CODEC = pa.Codec("zstd", 1)
 
 
-def coded(h: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
-    raw = planes(np.diff(h, prepend=np.uint64(0))) + planes(doc) + planes(pos) + check.tobytes()
-    return CODEC.compress(raw, asbytes=True)
+def coded(h: np.ndarray, check: np.ndarray, doc: np.ndarray) -> bytes:
+    return CODEC.compress(planes(np.diff(h, prepend=np.uint64(0))) + planes(doc) + check.tobytes(), asbytes=True)
 
 
 def decoded(data: bytes, n: int) -> tuple[np.ndarray, ...]:
-    raw = CODEC.decompress(data, 25 * n, asbytes=True)
-    return (
-        np.cumsum(unplanes(raw[: 8 * n], n, np.uint64), dtype=np.uint64),
-        np.frombuffer(raw[24 * n :], np.uint8),
-        unplanes(raw[8 * n : 16 * n], n, np.int64),
-        unplanes(raw[16 * n : 24 * n], n, np.int64),
-    )
+    raw = CODEC.decompress(data, 17 * n, asbytes=True)
+    return np.cumsum(unplanes(raw[: 8 * n], n, np.uint64), dtype=np.uint64), np.frombuffer(raw[16 * n :], np.uint8), unplanes(raw[8 * n : 16 * n], n, np.int64)
 
 
 def fingerprints(texts: pa.Array, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,42 +96,44 @@ def smallest(h: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndar
     return order, np.repeat(least, np.diff(np.append(first, len(hs))))
 
 
-def positions(doc: np.ndarray, pos: np.ndarray):
-    """Arrow batches (range -1) of hits: a row for each document, its positions as 8-byte integers."""
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    starts = np.flatnonzero(np.diff(doc, prepend=doc[:1] - 1)) if len(doc) else np.zeros(0, int)
-    ends = np.append(starts[1:], len(doc))
-    return doc[starts], ends - starts, [pos[a:b].astype("<u8").tobytes() for a, b in zip(starts, ends)]
+def distinct_entries(h: np.ndarray, check: np.ndarray, doc: np.ndarray, least: np.ndarray):
+    """Sorted entries, one for each fingerprint and document."""
+    order = np.lexsort((doc, check, h)) if len(h) else np.zeros(0, int)
+    h, check, doc, least = h[order], check[order], doc[order], least[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (check[1:] != check[:-1])
+    return h[keep], check[keep], doc[keep], least[keep]
 
 
-def runs_of(docs: DataFrame, ranges: int, window: int = WINDOW, memtable: int = MEMTABLE, ties: bool = False) -> DataFrame:
-    """Runs of docs (doc_id, text, tie) by range; rows of range -1 hold hits that a run settled itself."""
+def runs_of(docs: DataFrame, ranges: int, window: int = WINDOW, memtable: int = MEMTABLE) -> DataFrame:
+    """Runs of docs(doc_id, text) by range; rows of range -1 hold hits that a run settled itself, by document."""
 
     def flush(parts):
-        h, check, doc, pos = (np.concatenate(x) for x in zip(*parts))
+        h, check, doc = (np.concatenate(x) for x in zip(*parts))
         order, least = smallest(h, check, doc)
-        h, check, doc, pos = h[order], check[order], doc[order], pos[order]
+        h, check, doc = h[order], check[order], doc[order]
         hit = doc > least
         if hit.any():
-            d, n, data = positions(doc[hit], pos[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), -1, np.int32)), pa.array(d), pa.array(n.astype(np.int32)), pa.array(data, pa.binary())], names=["range", "doc", "n", "data"])
-        h, check, doc, pos = h[~hit], check[~hit], doc[~hit], pos[~hit]
+            own, found = doc[hit], h[hit]
+            by = np.lexsort((found, own))
+            own, found = own[by], found[by]
+            starts = np.flatnonzero(np.diff(own, prepend=own[:1] - 1))
+            ends = np.append(starts[1:], len(own))
+            data = [found[a:b].tobytes() for a, b in zip(starts, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), -1, np.int32)), pa.array(own[starts]), pa.array((ends - starts).astype(np.int32)), pa.array(data, pa.binary())], names=["range", "doc", "n", "data"])
+        h, check, doc, _ = distinct_entries(h[~hit], check[~hit], doc[~hit], least[~hit])
         of = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)  # ascends with h
         starts = np.flatnonzero(np.diff(of.astype(np.int64), prepend=-1))
         ends = np.append(starts[1:], len(h))
-        data = [coded(h[a:b], check[a:b], doc[a:b], pos[a:b]) for a, b in zip(starts, ends)]
+        data = [coded(h[a:b], check[a:b], doc[a:b]) for a, b in zip(starts, ends)]
         yield pa.RecordBatch.from_arrays([pa.array(of[starts].astype(np.int32)), pa.nulls(len(starts), pa.int64()), pa.array((ends - starts).astype(np.int32)), pa.array(data, pa.binary())], names=["range", "doc", "n", "data"])
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
             for part in text_slices(batch, "text", 2 << 20):
-                h, check, row, pos = fingerprints(part.column("text"), window)
-                doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
-                if ties:
-                    pos = pos | (part.column("tie").to_numpy(zero_copy_only=False)[row] << 40)
-                parts.append((h, check, doc, pos))
+                h, check, row, _ = fingerprints(part.column("text"), window)
+                parts.append((h, check, part.column("doc_id").to_numpy(zero_copy_only=False)[row]))
                 held += len(h)
                 if held >= memtable:
                     yield from flush(parts)
@@ -143,8 +141,7 @@ def runs_of(docs: DataFrame, ranges: int, window: int = WINDOW, memtable: int =
         if held:
             yield from flush(parts)
 
-    rows = docs.where("doc_id is not null").select("doc_id", "text", "tie")
-    return rows.mapInArrow(run, RUNS)
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, RUNS)
 
 
 def decoded_range(group: pa.Table) -> tuple[np.ndarray, ...]:
@@ -153,32 +150,34 @@ def decoded_range(group: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 def merged_hits(runs: DataFrame) -> DataFrame:
-    """Hits of the merge of all runs of each range: (doc, n, data)."""
+    """(doc, fingerprint) of the windows that a smaller document has: the merge of all runs of each range."""
 
     def merge(group: pa.Table) -> pa.Table:
         if group.column("range")[0].as_py() < 0:  # settled already; dealt by document, so these groups stay small
-            return group.select(["doc", "n", "data"])
-        h, check, doc, pos = decoded_range(group)
-        order, least = smallest(h, check, doc)
-        hit = doc[order] > least
-        d, n, data = positions(doc[order][hit], pos[order][hit])
-        return pa.table({"doc": pa.array(d, pa.int64()), "n": pa.array(n.astype(np.int32), pa.int32()), "data": pa.array(data, pa.binary())})
+            doc = np.repeat(group.column("doc").to_numpy(), group.column("n").to_numpy())
+            h = np.frombuffer(b"".join(group.column("data").to_pylist()), np.uint64)
+        else:
+            h, check, doc = decoded_range(group)
+            order, least = smallest(h, check, doc)
+            hit = doc[order] > least
+            doc, h = doc[order][hit], h[order][hit]
+            by = np.argsort(doc, kind="stable")
+            doc, h = doc[by], h[by]
+        return pa.table({"doc": pa.array(doc, pa.int64()), "fingerprint": pa.array(h.view(np.int64), pa.int64())})
 
     keyed = runs.withColumn("part", F.when(F.col("range") < 0, F.pmod(F.xxhash64("doc"), F.lit(1024))))
-    return keyed.groupBy("range", "part").applyInArrow(merge, "doc long, n int, data binary")
+    return keyed.groupBy("range", "part").applyInArrow(merge, "doc long, fingerprint long")
 
 
 def compacted(runs: DataFrame) -> DataFrame:
     """One run per range with each fingerprint's smallest document: the history of later batches."""
 
     def merge(group: pa.Table) -> pa.Table:
-        h, check, doc, pos = decoded_range(group)
+        h, check, doc = decoded_range(group)
         order, least = smallest(h, check, doc)
-        h, check, doc, pos = h[order], check[order], doc[order], pos[order]
+        h, check, doc, least = distinct_entries(h[order], check[order], doc[order], least)
         keep = doc == least
-        keep[1:] &= (h[1:] != h[:-1]) | (check[1:] != check[:-1]) | (doc[1:] != doc[:-1])
-        h, check, doc, pos = h[keep], check[keep], doc[keep], pos[keep]
-        return pa.table({"range": group.column("range")[:1], "doc": pa.nulls(1, pa.int64()), "n": pa.array([len(h)], pa.int32()), "data": pa.array([coded(h, check, doc, pos)], pa.binary())})
+        return pa.table({"range": group.column("range")[:1], "doc": pa.nulls(1, pa.int64()), "n": pa.array([int(keep.sum())], pa.int32()), "data": pa.array([coded(h[keep], check[keep], doc[keep])], pa.binary())})
 
     return runs.where("range >= 0").groupBy("range").applyInArrow(merge, RUNS)
 
@@ -189,34 +188,37 @@ def ranges_for(docs: DataFrame) -> int:
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, ranges: int | None = None, memtable: int = MEMTABLE) -> DataFrame:
-    """docs with n_words, n_removed and kept_text: words that a smaller document's window covers are gone.
+    """(doc_id, n_words, n_removed, kept_text) of docs: words that a smaller document's window covers are gone.
 
     history holds compacted runs of earlier batches, made with the same number of ranges. Columns of
     docs other than doc_id and text are not carried.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.pmod(F.xxhash64(text_or_empty()), F.lit(1 << 16)).alias("tie"))
-    ties = bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
-    runs = runs_of(rows, ranges or ranges_for(rows), window, memtable, ties)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    runs = runs_of(rows, ranges or ranges_for(rows), window, memtable)
     if history is not None:
         runs = runs.unionByName(history)
-    hits = merged_hits(runs).groupBy("doc").agg(F.collect_list("data").alias("hits"))  # no more than the document's windows
+    hits = merged_hits(runs).groupBy("doc").agg(F.collect_list("fingerprint").alias("hits"))  # no more than the document's windows
     joined = rows.join(hits, F.col("doc_id") == F.col("doc"), "left").drop("doc")
 
     def cut(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 total, removed, kept = [], [], []
-                for text, tie, found in zip(part.column("text").to_pylist(), part.column("tie").to_pylist(), part.column("hits").to_pylist()):
+                touched = part.column("hits").is_valid()
+                h, _, row, at = fingerprints(part.column("text").filter(touched), window)
+                ends = np.searchsorted(row, np.arange(int(pc.sum(touched).as_py() or 0) + 1))
+                t = 0
+                for text, found in zip(part.column("text").to_pylist(), part.column("hits")):
                     words = text.encode().split()
                     total.append(len(words))
                     gone = 0
-                    if found:
-                        at = np.frombuffer(b"".join(found), "<u8").astype(np.int64)
-                        if ties:
-                            at = at[at >> 40 == tie] & ((1 << 40) - 1)
+                    if found.is_valid:
+                        a, b = ends[t], ends[t + 1]
+                        t += 1
+                        marked = at[a:b][np.isin(h[a:b], found.values.to_numpy().view(np.uint64))]
                         edge = np.zeros(len(words) + 1, np.int32)
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + window, -1)
+                        np.add.at(edge, marked, 1)
+                        np.add.at(edge, marked + window, -1)
                         cover = np.cumsum(edge[:-1]) > 0
                         gone = int(cover.sum())
                         words = [w for w, c in zip(words, cover.tolist()) if not c]
