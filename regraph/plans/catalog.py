@@ -667,3 +667,65 @@ def affinity_degrees(spark, sf):
 def vector_norms(spark, sf):
     e = load(spark, sf, "embeddings")
     return e.select("vec_id", F.round(F.sqrt(ft.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+
+
+# --- learning ------------------------------------------------------------------------------------
+
+
+@query(name="edge_feature_vectors")
+def edge_feature_vectors(spark, sf):
+    from ..operators.learning import edge_features
+
+    f = edge_features(voxel_grid(spark, sf), ("p0", "p1"))
+    return f.select("node1", "node2", F.size("features").alias("dimensions"), F.round(F.aggregate("features", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
+@query(name="classifier_scores")
+def classifier_scores(spark, sf):
+    """A forest fitted on ground-truth edges of the voxel grid, and its weight for every edge."""
+    from ..operators.learning import edge_features, fit_classifier, scored_edges, training_set
+
+    v = voxel_grid(spark, sf)
+    f = edge_features(v, ("p0", "p1"))
+    gt = ov.assignment(ov.contingency(v)).select("seg", "gt")
+    return scored_edges(fit_classifier(training_set(f, gt), trees=16), f)
+
+
+@query(name="propagated_beliefs")
+def propagated_beliefs(spark, sf):
+    from ..operators.learning import propagated
+
+    e = load(spark, sf, "embeddings")
+    seeds = e.where("vec_id < 50").select(F.col("vec_id").alias("id"), F.when(F.col("label") == 0, 1.0).otherwise(-1.0).alias("label"))
+    return propagated(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), seeds, 0.9, rounds=10)
+
+
+@query(with_rag("""SELECT node1, node2, round(1 - CASE WHEN e.edge_size < 2 THEN 0 ELSE greatest(e.edge_size / a.t, e.edge_size / b.t) END, 6) AS weight FROM edges e
+JOIN (SELECT id, sum(edge_size) t FROM (SELECT node1 id, edge_size FROM edges UNION ALL SELECT node2, edge_size FROM edges) GROUP BY id) a ON a.id = node1
+JOIN (SELECT id, sum(edge_size) t FROM (SELECT node1 id, edge_size FROM edges UNION ALL SELECT node2, edge_size FROM edges) GROUP BY id) b ON b.id = node2"""))
+def overlap_weights(spark, sf):
+    from ..operators.learning import overlap_weights as weights
+
+    nodes, edges = part_graph(spark, sf)
+    return weights(nodes, edges, cutoff=2).select("node1", "node2", F.round("weight", 6).alias("weight"))
+
+
+# --- proofreading --------------------------------------------------------------------------------
+
+
+@query(with_rag("""SELECT node1, node2, round(abs(weight - 0.1), 6) AS rank_value FROM edges JOIN nodes a ON a.id = node1 JOIN nodes b ON b.id = node2 WHERE weight BETWEEN 0.1 AND 0.9 AND a.size > 1 AND b.size > 1"""))
+def edge_mode_questions(spark, sf):
+    from ..operators.editing import Session
+
+    s = Session(*part_graph(spark, sf))
+    s.set_edge_mode(0.1, 0.9, 0.1)
+    return s.ranked().select("node1", "node2", F.round("rank_value", 6).alias("rank_value"))
+
+
+@query(name="body_mode_questions")
+def body_mode_questions(spark, sf):
+    from ..operators.editing import Session
+
+    s = Session(*part_graph(spark, sf))
+    s.set_body_mode(15, hops=2, upper=0.5)
+    return s.ranked().select("node1", "node2", F.round("rank_value", 9).alias("rank_value"))
