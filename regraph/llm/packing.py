@@ -23,10 +23,11 @@ repeated rows are packed each, in the order of their text's hash; empty tables g
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import deque
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,12 @@ CACHE = 600_000  # distinct words a worker remembers
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
+#: Lower-case Latin letters: such a word is one piece, so its bytes go to the model directly.
+LETTERS = re.compile("[a-zà-öø-ÿ]+")
+#: The sign of each byte that byte-level vocabularies do not write as itself (fixed rule).
+BYTE_SIGNS = {**{b: 289 + b - 127 for b in range(127, 161)}, 173: 323}
+
+
 class WordTokens:
     """Token ids of words, remembered for up to CACHE words of a worker."""
 
@@ -50,6 +57,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model  # for words that normalising and splitting leave whole
         self.clear()
 
     def clear(self) -> None:
@@ -59,15 +67,19 @@ class WordTokens:
         """A code for each word; new words are tokenized."""
         coded = pc.dictionary_encode(words)
         words = coded.dictionary.to_pylist()
-        get = self.code.get
-        known = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        known = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(known < 0)
-        for a in range(0, len(new), 8192):
-            part = new[a : a + 8192]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in part.tolist()], add_special_tokens=False)]
-            codes = np.arange(len(self.code), len(self.code) + len(part))
-            self.code.update(zip((words[i] for i in part.tolist()), codes.tolist()))
-            known[part] = codes
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            found = [[t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_SIGNS))] if LETTERS.fullmatch(w) else None for w in fresh]
+            rest = [i for i, f in enumerate(found) if f is None]
+            for a in range(0, len(rest), 8192):
+                part = rest[a : a + 8192]
+                for i, e in zip(part, self.tokenizer.encode_batch_fast([fresh[i] for i in part], add_special_tokens=False)):
+                    found[i] = e.ids
+            codes = np.arange(len(self.code), len(self.code) + len(new))
+            self.code.update(zip(fresh, codes.tolist()))
+            known[new] = codes
             self.ids.extend(chain.from_iterable(found))
             self.begin.extend((self.begin[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))).tolist())
         return known[coded.indices.to_numpy()]
@@ -114,20 +126,20 @@ _tokens: dict[str, WordTokens] = {}
 
 def best_cuts(ends: list[int], costs: list[int], size: int) -> list[int]:
     """Indices of the chosen cuts among the possible ones: ends ascend, none more than size after the one before."""
-    queue: deque[tuple[int, int]] = deque([(0, -1)])  # (f(i) + c(i), i), ascending from the left
-    places: deque[int] = deque([0])
-    before = [0] * len(ends)
+    queue: deque[tuple[int, int, int]] = deque([(0, 0, -1)])  # (f(i) + c(i), c(i), i), ascending from the left
+    push, pop, shift = queue.append, queue.pop, queue.popleft
+    before = []
     for j, (c, q) in enumerate(zip(ends, costs)):
-        while places[0] < c - size:
-            places.popleft()
-            queue.popleft()
-        g, before[j] = queue[0]
-        f = q + g + size  # f(j) + c(j)
+        low = c - size
+        head = queue[0]
+        while head[1] < low:
+            shift()
+            head = queue[0]
+        before.append(head[2])
+        f = q + head[0] + size  # f(j) + c(j)
         while queue and queue[-1][0] > f:
-            queue.pop()
-            places.pop()
-        queue.append((f, j))
-        places.append(c)
+            pop()
+        push((f, c, j))
     out, j = [], len(ends) - 1
     while j >= 0:
         out.append(j)
@@ -222,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, sent
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         for batch in batches:
-            for part in text_slices(batch, "text", 2 << 20):
+            for part in text_slices(batch, "text", 8 << 20):
                 ids, doc_ends, stops = _tokens[tokenizer].encode(part.column("text"))
                 ids = np.insert(ids, doc_ends, end)
                 more = np.arange(len(doc_ends))
