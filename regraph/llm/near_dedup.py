@@ -12,8 +12,8 @@ off the band that 0.8 allows (insertions plus deletions) are left out first. The
 L / (n + m - L).
 
 No large group is ever paired with itself, and no link of a bucket is lost. Texts of equal words are
-one text. Buckets of at most SMALL members give their pairs. In a larger one a leader L is compared
-with all others, which is linear: first the smallest identifier, later the member that adds least to
+one text. Buckets with at most SMALL members outside their largest component give all pairs across
+components, which is linear. In another one a leader L is compared with all others, also linear: first the smallest identifier, later the member that adds least to
 the leader before, which tends to be the text that the others vary. Let x
 miss m(x) k-mers of L and hold i(x) further ones, I(x). Two members x and y that are not both
 linked with L can reach the similarity only if they differ in at most (n(x) + n(y)) / 9 k-mers; they
@@ -22,7 +22,9 @@ differ in at least i(x) + i(y) - 2 |I(x) & I(y)| + |m(x) - m(y)|. So either
       holds 0.8 of the other: (L, k-mer) is a bucket of the next round; or
   (b) i(x) + i(y) + |m(x) - m(y)| <= (n(x) + n(y)) / 9: such pairs are found by joining the distinct
       triples (i, m, n) of L's members, and compared.
-Rounds end when no bucket holds two components that are apart. Nothing is capped. Components come
+(a) and (b) hold of any two members that L ever met, in whichever round, so a leader's rows are kept
+and no pair is compared with one leader twice: every round needs a new pair, and rounds end when no
+bucket has one across components. Nothing is capped. Components come
 from large-star/small-star rounds; every round ends in a written table.
 
 Nulls, ties, odd input: null and empty texts are one class; texts shorter than a k-mer are a single
@@ -184,20 +186,29 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
 
 
-def candidates(buckets: DataFrame) -> DataFrame:
+def candidates(buckets: DataFrame, joined_before: bool = True) -> DataFrame:
     """(a, b, led) from buckets(bucket, rep, own, rank), own the component so far.
 
-    Buckets of at most SMALL members give their pairs across components. In a larger one the member of
-    the lowest (rank, rep) leads: it meets every other one, and led says that the rest is still open.
+    Buckets with at most SMALL members outside their largest component give all pairs of these with
+    the members of other components. In the others the member of the lowest (rank, rep) leads: it
+    meets every other one, and led says that the rest is still open. Without joined_before, every
+    representative is a component of its own, which saves a grouping.
     """
-    heads = buckets.groupBy("bucket").agg(F.min(F.struct("rank", "rep")).alias("_h"), F.count(F.lit(1)).alias("n"), F.min("own").alias("_x"), F.max("own").alias("_y")).where("_x != _y")
+    head = F.min(F.struct("rank", "rep")).alias("_h")
+    if joined_before:
+        parts = buckets.groupBy("bucket", "own").agg(head, F.count(F.lit(1)).alias("n"))
+        heads = parts.groupBy("bucket").agg(F.min("_h").alias("_h"), F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("_m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        heads = heads.select("bucket", F.col("_h.rep").alias("lead"), F.col("_m.own").alias("most"), (F.col("n") - F.col("_m.n")).alias("outside"))
+    else:
+        heads = buckets.groupBy("bucket").agg(head, F.count(F.lit(1)).alias("outside")).where("outside > 1")
+        heads = heads.select("bucket", F.col("_h.rep").alias("lead"), F.lit(None).cast("long").alias("most"), "outside")
     # written, so that the join's two sides are plain exchanges, which adaptive execution can split
-    heads = written(heads.select("bucket", "n", F.col("_h.rep").alias("lead")))
-    joined = buckets.join(heads, "bucket")
-    large = joined.where((F.col("n") > SMALL) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("led"))
-    small = written(joined.where(F.col("n") <= SMALL).select("bucket", "rep", "own"))
-    other = small.toDF("bucket", "rep2", "own2")
-    few = small.join(other, "bucket").where("rep < rep2 and own != own2").select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.lit(False).alias("led"))
+    joined = buckets.join(written(heads), "bucket")
+    large = joined.where((F.col("outside") > SMALL) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("led"))
+    near = written(joined.where(F.col("outside") <= SMALL).select("bucket", "rep", "own", "most"))
+    other = near.select("bucket", F.col("rep").alias("rep2"), F.col("own").alias("own2"))
+    few = near.where("most is null or own != most").join(other, "bucket").where("own != own2 and (rep < rep2 or own2 = most)")
+    few = few.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.lit(False).alias("led"))
     return large.union(few).groupBy("a", "b").agg(F.max("led").alias("led"))
 
 
@@ -211,19 +222,20 @@ def apart(df: DataFrame, label: DataFrame, *cols: str) -> DataFrame:
 def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """(id, component) of the representatives that are linked with others."""
     buckets = reps.select("rep", F.posexplode("sketches").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "rep", F.col("rep").alias("own"), F.lit(0).alias("rank"))
-    pairs = written(candidates(buckets))
+    pairs = written(candidates(buckets, joined_before=False))
     members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", "digest"), "rep")
     kmers = written(kmer_table(docs, members))
-    edges, known, limit = None, None, F.lit((1 - least) / (1 + least))
+    edges, known, led, limit = None, None, None, F.lit((1 - least) / (1 + least))
     while True:
         seen = written(compared(pairs, kmers, least))
         new, met = seen.where("linked").select("a", "b"), seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         edges = written(new if edges is None else edges.union(new))
         known = written(met if known is None else known.union(met))
         label = written(components(edges))
-        # leaders that have a member which is not linked with them
-        led = seen.where("led")
-        open_ = led.where("not linked").select("a").distinct()
+        # leaders that met a new member and have one which is not linked with them: all that they ever met
+        now = seen.where("led")
+        led = written(now if led is None else led.union(now))
+        open_ = led.where("not linked").select("a").distinct().join(now.select("a").distinct(), "a", "left_semi")
         rows = written(apart(led.join(open_, "a"), label, "b"))
         if not rows.limit(1).count():
             return label
@@ -237,7 +249,7 @@ def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
         direct = one.join(near.drop("off", "off2"), ["a", "missing", "more", "size"]).join(two, ["a", "missing2", "more2", "size2"]).where("c_x != c_y")
         few = direct.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("led"))
         both = candidates(keyed).union(few).groupBy("a", "b").agg(F.max("led").alias("led"))
-        pairs = both.where("led").union(both.where("not led").join(known, ["a", "b"], "left_anti"))
+        pairs = both.where("led").join(led, ["a", "b"], "left_anti").union(both.where("not led").join(known, ["a", "b"], "left_anti"))
         pairs = written(pairs)
         if not pairs.limit(1).count():
             return label
