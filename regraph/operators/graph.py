@@ -96,7 +96,7 @@ def flat_merge(edges: DataFrame, threshold: float) -> DataFrame:
     return components(edges.where(F.col("weight") <= threshold))
 
 
-def agglomerated(nodes: DataFrame, edges: DataFrame, threshold: float, max_rounds: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
+def agglomerated(nodes: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, mapping) after merging by rounds of mutual smallest edges.
 
     In each round every node picks its edge of smallest (weight, node1, node2) among those of weight
@@ -104,9 +104,13 @@ def agglomerated(nodes: DataFrame, edges: DataFrame, threshold: float, max_round
     goes on. Edge weights combine by the mean weighted with edge sizes, so an edge may leave or enter
     the threshold. With this reducible rule, merging mutual nearest pairs gives the order-free result
     of always merging the smallest edge where weights differ.
+
+    The smallest edge of all is mutual, so every round merges and rounds end only when no edge of
+    weight <= threshold is left. A hub merges one neighbour a round, so their number can reach that
+    of a hub's neighbours.
     """
     mapping = None
-    for _ in range(max_rounds):
+    while True:
         open_ = edges.where((F.col("weight") <= threshold))
         pick = endpoints(open_, "weight", F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).groupBy("id").agg(F.min(F.struct("weight", "a", "b")).alias("e"))
         chosen = pick.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2")

@@ -91,6 +91,15 @@ def test_components_and_agglomeration(spark):
     assert m.count() == 39
 
 
+def test_agglomeration_of_a_hub_leaves_no_mergeable_edge(spark):
+    edges = spark.createDataFrame([(1, i, 1, 0.001 * i) for i in range(2, 65)] + [(1, 65, 1, 0.9)], "node1 long, node2 long, edge_size long, weight double")
+    nodes = spark.createDataFrame([(i, 1) for i in range(1, 66)], "id long, size long")
+    n, e, m = gr.agglomerated(nodes, edges, 0.2)
+    assert rows(n, "id", "size") == [(1, 64), (65, 1)]
+    assert rows(e, "node1", "node2", "weight") == [(1, 65, 0.9)]
+    assert rows(m, "old", "new") == [(i, 1) for i in range(2, 65)]
+
+
 def test_coloring_is_proper_and_greedy(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "node1 long, node2 long")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 9)], "id long")
