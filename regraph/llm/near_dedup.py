@@ -4,7 +4,12 @@ Each text is the sequence of its k-mers of KMER words, labelled by occurrence (t
 a k-mer is another element than the first). Sketch j takes the PICKED labelled k-mers that are
 smallest under hash j and hashes them *in text order*, so equal sketches speak for similar order,
 not just for similar sets. Two texts that share one of SKETCHES sketches are candidates: at a
-similarity of 0.8 a pair is missed with a probability below 1e-5.
+similarity of 0.8 a pair is missed with a probability below 2e-5.
+
+That holds of texts of more than SHORT k-mers only; short ones have too few subsets of PICKED. Pairs
+with a text of at most SHORT are found without loss: each of two similar texts of n k-mers holds all
+but 0.2 n of its own in the other, so their smallest floor(0.2 n) + 1 share one. These are buckets of
+all texts of at most SHORT / 0.8 k-mers, which a text similar to a short one cannot exceed.
 
 Candidates are verified by banded alignment. As labelled k-mers are distinct within a text, the
 longest common subsequence of two texts is a longest increasing run of matched positions; matches
@@ -43,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, table, text_slices, word_hashes, words_of, written
 
-KMER, SIMILARITY, SKETCHES, PICKED, SMALL = 5, 0.8, 40, 6, 12
+KMER, SIMILARITY, SKETCHES, PICKED, SMALL, SHORT = 5, 0.8, 40, 6, 12, 40
 _random = np.random.default_rng(7)
 XOR, TIMES = (_random.integers(0, 2**63, (SKETCHES, 1), np.uint64) for _ in range(2))
 TIMES |= np.uint64(1)
@@ -91,6 +96,21 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def keys_of(x: np.ndarray, least: float) -> np.ndarray:
+    """The smallest labelled k-mers, as many as any text that x is linked with must share one of."""
+    return np.sort(x)[: int((1 - least) * len(x) + 1e-9) + 1]
+
+
+def buckets_of(x: np.ndarray, least: float) -> np.ndarray:
+    """The buckets of a text: its sketches by band, its smallest k-mers where it can be linked with a short text, or both."""
+    parts = []
+    if len(x) > SHORT:
+        parts.append(mix64(sketch(x) + np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+    if len(x) * least <= SHORT + 1e-9:
+        parts.append(keys_of(x, least))
+    return np.concatenate(parts)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """L / (n + m - L) for the longest common subsequence L inside the band; 0 where it cannot reach least."""
     n, m = len(a), len(b)
@@ -112,8 +132,8 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     return len(tails) / (n + m - len(tails))
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, kmers, sketches) of every document; digest stands for the sequence of words."""
+def sketched(docs: DataFrame, least: float) -> DataFrame:
+    """(doc_id, digest, kmers, buckets) of every document; digest stands for the sequence of words."""
     import hashlib
 
     def run(batches):
@@ -123,10 +143,10 @@ def sketched(docs: DataFrame) -> DataFrame:
                 for own, x in kmers_of(part.column("text")):
                     digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                     count.append(len(x))
-                    rows.append(sketch(x).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(count, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(rows)), SKETCHES).cast(pa.list_(pa.int64()))], names=["doc_id", "digest", "kmers", "sketches"])
+                    rows.append(buckets_of(x, least).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(count, pa.int32()), pa.array(rows, pa.list_(pa.int64()))], names=["doc_id", "digest", "kmers", "buckets"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, kmers int, sketches array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, kmers int, buckets array<long>")
 
 
 def kmer_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -221,7 +241,7 @@ def apart(df: DataFrame, label: DataFrame, *cols: str) -> DataFrame:
 
 def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """(id, component) of the representatives that are linked with others."""
-    buckets = reps.select("rep", F.posexplode("sketches").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "rep", F.col("rep").alias("own"), F.lit(0).alias("rank"))
+    buckets = reps.select("rep", F.explode("buckets").alias("bucket")).select("bucket", "rep", F.col("rep").alias("own"), F.lit(0).alias("rank"))
     pairs = written(candidates(buckets, joined_before=False))
     members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", "digest"), "rep")
     kmers = written(kmer_table(docs, members))
@@ -257,8 +277,8 @@ def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), text_id (that of equal texts)."""
-    rows = written(sketched(docs))
-    reps = written(rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "kmers", "sketches")).alias("_r")).select("digest", F.col("_r.doc_id").alias("rep"), F.col("_r.kmers").alias("kmers"), F.col("_r.sketches").alias("sketches")))
+    rows = written(sketched(docs, least))
+    reps = written(rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "kmers", "buckets")).alias("_r")).select("digest", F.col("_r.doc_id").alias("rep"), F.col("_r.kmers").alias("kmers"), F.col("_r.buckets").alias("buckets")))
     label = linked(docs, reps.where("rep is not null"), least)
     named = written(reps.select("digest", "rep").join(label, F.col("rep") == F.col("id"), "left").select("digest", "rep", F.coalesce("component", "rep").alias("class_id")))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", F.col("rep").alias("text_id"))

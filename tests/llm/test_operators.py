@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,31 @@ def similarity(a, b):
     return row[-1] / (len(a) + len(b) - row[-1])
 
 
+def test_near_dedup_of_short_texts(spark):
+    """Texts of 5 to 15 words, some with up to two words added, lost or changed, against brute force over all pairs."""
+    rng, texts = np.random.default_rng(11), []
+    for n in [*range(5, 16)] * 4:
+        w = [f"w{i}" for i in rng.integers(0, 10**6, n)]
+        texts += [w, [*w, "end"], ["start", *w], w[1:], [*w[: n // 2], "mid", *w[n // 2 :]], [*w, "end", "over"]]
+    near = [(list(near_dedup.kmers_of(pa.array([" ".join(w)])))[0])[1] for w in texts]
+    mother = list(range(len(texts)))
+
+    def root(i):
+        while mother[i] != i:
+            i = mother[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.aligned(near[i], near[j]) >= near_dedup.SIMILARITY - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                mother[b] = a
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(df).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert len(set(got.values())) < len(texts)
+
+
 def test_near_dedup_links_all_variants(spark):
     """Variants of one text at all distances: classes are the components of all pairs of 0.8 or more."""
     base, r, texts = words(100, 9), random.Random(5), []
