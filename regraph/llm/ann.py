@@ -7,7 +7,9 @@
    centroid is at most (1 + boundary) times as far.
 3. Queries find centroids by best-first search in a neighbour graph held in memory (at most
    MAX_LISTS nodes) and select the lists whose centroid is at most (1 + reach) times as far as the
-   nearest one: distance-ratio pruning, with no fixed number of lists.
+   nearest one: distance-ratio pruning, with no fixed number of lists. A query's beam doubles until
+   its farthest centroid lies beyond that ratio, and on while the lists that it selects are the
+   nearest ones of fewer than k other vectors.
 4. A selected list is read in parts of PART_ROWS vectors; each part gives each query its nearest k,
    in double precision on the original vectors, and a window per query keeps the k best.
 
@@ -98,6 +100,21 @@ def graph_search(q: np.ndarray, centroids: np.ndarray, graph: np.ndarray, beam:
     return order, np.take_along_axis(dist, order, 1)
 
 
+def lists_of(q: np.ndarray, centroids: np.ndarray, graph: np.ndarray, sizes: np.ndarray, least: int, reach: float = REACH, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, centroid) of all lists to read: those within the ratio, and the next ones while sizes of nearer ones sum to less than `least`."""
+    open_, rows, lists = np.arange(len(q)), [np.zeros(0, int)], [np.zeros(0, int)]
+    while len(open_):
+        at, d = graph_search(q[open_], centroids, graph, beam)
+        before = np.cumsum(sizes[at], axis=1) - sizes[at]
+        take = (d <= d[:, :1] * (1 + reach) + 1e-12) | (before < least)
+        done = ~take[:, -1] | (beam >= len(centroids))
+        row, col = np.nonzero(take & done[:, None])
+        rows.append(open_[row])
+        lists.append(at[row, col])
+        open_, beam = open_[~done], beam * 2
+    return np.concatenate(rows), np.concatenate(lists)
+
+
 def matrix_of(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -132,19 +149,23 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, boundary: float
             x = matrix_of(batch.column("v"))
             d = np.sqrt(squares(x, c))
             row, at = np.nonzero(d <= d.min(1)[:, None] * (1 + boundary) + 1e-12)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row))], names=["list", "vec_id", "v"])
+            home = at == d.argmin(1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(home)], names=["list", "vec_id", "v", "home"])
 
     def choose(batches):
         c, graph = sent.value
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                at, d = graph_search(matrix_of(part.column("v")), c, graph)
-                row, col = np.nonzero(d <= d[:, :1] * (1 + reach) + 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(at[row, col].astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], names=["list", "vec_id", "v"])
+                row, at = lists_of(matrix_of(part.column("v")), c, graph, homes.value, k + 1, reach)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), part.column("vec_id").take(pa.array(row)), part.column("v").take(pa.array(row))], names=["list", "vec_id", "v"])
 
     shape = "list int, vec_id long, v array<double>"
-    postings = written(base.mapInArrow(post, shape))
+    postings = written(base.mapInArrow(post, shape + ", home boolean"))
+    sizes = np.zeros(len(centroids), np.int64)
+    for r in postings.where("home").groupBy("list").count().collect():  # at most MAX_LISTS rows
+        sizes[r["list"]] = r["count"]
+    homes = spark.sparkContext.broadcast(sizes)
     parts = F.broadcast(postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts")))  # at most MAX_LISTS rows
     dealt = postings.join(parts, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
     probes = asked.mapInArrow(choose, shape).join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v")

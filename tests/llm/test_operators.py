@@ -343,6 +343,22 @@ def test_ann(spark, n):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ann_lists_grow_with_the_table():
+    """At several hundred lists all within the ratio are read, more than a beam, and more still where lists are nearly empty."""
+    rng = np.random.default_rng(8)
+    c, q = rng.normal(size=(400, 32)), rng.normal(size=(40, 32))
+    d = np.sqrt(((q[:, None] - c) ** 2).sum(2))
+    want = d <= d.min(1)[:, None] * (1 + ann.REACH)
+    assert want.sum(1).max() > ann.BEAM
+    row, at = ann.lists_of(q, c, ann.neighbour_graph(c), np.full(400, 100), 11)
+    got = np.zeros_like(want)
+    got[row, at] = True
+    assert len(row) == got.sum() and not (got & ~want).any() and got.sum() >= 0.99 * want.sum()
+    for size, lists in ((1, 200), (0, 400)):
+        row, _ = ann.lists_of(q, c, ann.neighbour_graph(c), np.full(400, size), 200)
+        assert np.bincount(row, minlength=40).min() >= lists
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code only"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode"), (4, "c/z", None), (5, "a/bb/c/d", ""),
