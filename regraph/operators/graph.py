@@ -126,10 +126,10 @@ def agglomerated(nodes: DataFrame, edges: DataFrame, threshold: float) -> tuple[
     return nodes, edges, mapping
 
 
-def best_paths(edges: DataFrame, heads: DataFrame | None, least: float, hops: int, affinity: Column | None = None) -> DataFrame:
-    """(head, id, prob): the largest product of affinities over paths of at most `hops` edges, at least `least`.
+def best_paths(edges: DataFrame, heads: DataFrame | None, least: float, hops: int | None, affinity: Column | None = None) -> DataFrame:
+    """(head, id, prob): the largest product of affinities over paths of at most `hops` edges (None: of any length), at least `least`.
 
-    A frontier join a round: only improved pairs move on. Affinity is 1 - weight unless given.
+    A frontier join a round: only improved pairs move on, until none is left. Affinity is 1 - weight unless given.
     """
     p = affinity if affinity is not None else 1 - F.col("weight")
     near = kept(endpoints(edges.withColumn("_p", p), "_p").where("_p > 0.000001"))
@@ -139,7 +139,9 @@ def best_paths(edges: DataFrame, heads: DataFrame | None, least: float, hops: in
         start = near
     best = kept(start.where(F.col("_p") >= least).select(F.col("id").alias("head"), F.col("other").alias("id"), F.col("_p").alias("prob")))
     front = best
-    for _ in range(hops - 1):
+    done = 1
+    while hops is None or done < hops:
+        done += 1
         step = front.join(near, "id").select("head", F.col("other").alias("id"), (F.col("prob") * F.col("_p")).alias("prob")).where((F.col("prob") >= least) & (F.col("head") != F.col("id")))
         step = step.groupBy("head", "id").agg(F.max("prob").alias("prob"))
         old = best.select("head", "id", F.col("prob").alias("_old"))
@@ -150,7 +152,7 @@ def best_paths(edges: DataFrame, heads: DataFrame | None, least: float, hops: in
     return best
 
 
-def graph_uncertainty(nodes: DataFrame, edges: DataFrame, hops: int = 32, least: float = 0.01) -> DataFrame:
+def graph_uncertainty(nodes: DataFrame, edges: DataFrame, hops: int | None = None, least: float = 0.01) -> DataFrame:
     """One row: the global certainty of all pairs' best paths, with weight itself as the affinity."""
     paths = best_paths(edges, None, least, hops, F.least(F.col("weight"), F.lit(1.0))).where("head < id")
     a = nodes.select(F.col("id").alias("head"), F.col("size").cast("double").alias("s1"))

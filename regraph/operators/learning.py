@@ -95,11 +95,11 @@ def kmeans_seeds(samples: DataFrame, k: int, seed: int = 1) -> DataFrame:
     return near.select("cluster", "b.node1", "b.node2")
 
 
-def propagated(vectors_: DataFrame, seeds: DataFrame, radius: float, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
+def propagated(vectors_: DataFrame, seeds: DataFrame, radius: float, tolerance: float = 1e-6) -> DataFrame:
     """(id, belief): seeds(id, label) spread over the Gaussian similarity graph of vectors_(id, v).
 
     Solves the harmonic system by Jacobi rounds: each unlabelled row takes the weighted mean of its
-    neighbours; a matrix-vector product is a join and a grouping, so the graph stays distributed.
+    neighbours, until none moves by the tolerance; a matrix-vector product is a join and a grouping, so the graph stays distributed.
     Rows that no seed reaches stay 0.
     """
     w = similar_pairs(vectors_, radius).withColumn("w", gaussian(F.col("distance"), radius))
@@ -108,7 +108,7 @@ def propagated(vectors_: DataFrame, seeds: DataFrame, radius: float, rounds: int
     fixed = seeds.select("id", F.col("label").cast("double").alias("label"))
     base = kept(vectors_.select("id").join(fixed, "id", "left").join(degree, "id", "left"))
     x = kept(base.select("id", F.coalesce("label", F.lit(0.0)).alias("belief")))
-    for _ in range(rounds):
+    while True:
         pulled = near.join(x.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.sum(F.col("w") * F.col("belief")).alias("pull"))
         new = base.join(pulled, "id", "left").select("id", F.coalesce("label", F.col("pull") / F.col("degree"), F.lit(0.0)).alias("belief"))
         new = kept(new)

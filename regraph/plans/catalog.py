@@ -504,7 +504,7 @@ def important_paths(spark, sf):
 @query(name="graph_certainty")
 def graph_certainty(spark, sf):
     nodes, edges = part_graph(spark, sf)
-    return gr.graph_uncertainty(nodes, edges.where("weight <= 0.3"), least=0.01)
+    return gr.graph_uncertainty(nodes, edges)
 
 
 @query(name="agglomerated_graph")
@@ -688,7 +688,7 @@ def classifier_scores(spark, sf):
     v = voxel_grid(spark, sf)
     f = edge_features(v, ("p0", "p1"))
     gt = ov.assignment(ov.contingency(v)).select("seg", "gt")
-    return scored_edges(fit_classifier(training_set(f, gt), trees=16), f)
+    return scored_edges(fit_classifier(training_set(f, gt)), f)
 
 
 @query(name="propagated_beliefs")
@@ -697,7 +697,7 @@ def propagated_beliefs(spark, sf):
 
     e = load(spark, sf, "embeddings")
     seeds = e.where("vec_id < 50").select(F.col("vec_id").alias("id"), F.when(F.col("label") == 0, 1.0).otherwise(-1.0).alias("label"))
-    return propagated(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), seeds, 0.9, rounds=10)
+    return propagated(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), seeds, 0.9)
 
 
 @query(with_rag("""SELECT node1, node2, round(1 - CASE WHEN e.edge_size < 2 THEN 0 ELSE greatest(e.edge_size / a.t, e.edge_size / b.t) END, 6) AS weight FROM edges e

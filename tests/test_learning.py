@@ -49,3 +49,24 @@ def test_overlap_weights(spark):
     edges = spark.createDataFrame([(1, 2, 20), (2, 3, 5)], "node1 long, node2 long, edge_size long")
     got = {(r.node1, r.node2): round(r.weight, 4) for r in ln.overlap_weights(None, edges).collect()}
     assert got == {(1, 2): 0.0, (2, 3): 1.0}
+
+
+def test_queries_do_the_operators_whole_job(spark, monkeypatch):
+    from regraph.operators import graph as gr
+    from regraph.plans import catalog
+
+    calls = {}
+
+    def held(name):
+        def run(*args, **options):
+            calls[name] = args, options
+
+        return run
+
+    monkeypatch.setattr(gr, "graph_uncertainty", held("certainty"))
+    monkeypatch.setattr(ln, "propagated", held("beliefs"))
+    monkeypatch.setattr(ln, "fit_classifier", held("forest"))
+    for name in ("graph_certainty", "propagated_beliefs", "classifier_scores"):
+        catalog.QUERIES[name](spark, SF)
+    assert calls["certainty"][0][1].agg({"weight": "max"}).first()[0] > 0.3
+    assert [options for _, options in calls.values()] == [{}, {}, {}]
