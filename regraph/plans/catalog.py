@@ -503,19 +503,19 @@ def important_paths(spark, sf):
 
 @query(name="graph_certainty")
 def graph_certainty(spark, sf):
-    nodes, edges = part_graph(spark, sf)
+    nodes, edges = part_graph(spark, sf, whole=True)
     return gr.graph_uncertainty(nodes, edges)
 
 
 @query(name="agglomerated_graph")
 def agglomerated_graph(spark, sf):
-    nodes, edges = part_graph(spark, sf)
+    nodes, edges = part_graph(spark, sf, whole=True)
     return gr.agglomerated(nodes, edges.select("node1", "node2", "edge_size", "weight"), 0.2)[1].select("node1", "node2", "edge_size", F.round("weight", 6).alias("weight"))
 
 
 @query(name="agglomeration_mapping")
 def agglomeration_mapping(spark, sf):
-    nodes, edges = part_graph(spark, sf)
+    nodes, edges = part_graph(spark, sf, whole=True)
     return gr.agglomerated(nodes, edges.select("node1", "node2", "edge_size", "weight"), 0.2)[2]
 
 
@@ -726,6 +726,6 @@ def edge_mode_questions(spark, sf):
 def body_mode_questions(spark, sf):
     from ..operators.editing import Session
 
-    s = Session(*part_graph(spark, sf))
+    s = Session(*part_graph(spark, sf, whole=True))
     s.set_body_mode(15, hops=2, upper=0.5)
     return s.ranked().select("node1", "node2", F.round("rank_value", 9).alias("rank_value"))

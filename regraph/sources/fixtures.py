@@ -37,9 +37,12 @@ g AS (
 )"""
 
 
-def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes(id, size, boundary_size), edges(node1, node2, edge_size, weight)): parts bought together."""
-    items = load(spark, sf_dir, "lineitem").where("l_partkey % 8 = 0").select("l_orderkey", (F.col("l_partkey") + 1).alias("id"), "l_linenumber")
+def part_graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes(id, size, boundary_size), edges(node1, node2, edge_size, weight)): parts bought together.
+
+    Only one part in 8, as in RAG_SQL, unless whole.
+    """
+    items = load(spark, sf_dir, "lineitem").where("true" if whole else "l_partkey % 8 = 0").select("l_orderkey", (F.col("l_partkey") + 1).alias("id"), "l_linenumber")
     nodes = items.groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("l_linenumber") == 7, 1).otherwise(0)).alias("boundary_size"))
     own = items.select("l_orderkey", "id").distinct()
     pairs = own.select("l_orderkey", F.col("id").alias("node1")).join(own.select("l_orderkey", F.col("id").alias("node2")), "l_orderkey").where("node1 < node2")

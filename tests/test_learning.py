@@ -2,7 +2,7 @@ from regraph import api
 from regraph.operators import learning as ln
 from regraph.operators import overlap as ov
 from regraph.operators.editing import Session
-from regraph.sources.fixtures import part_graph, voxel_grid
+from regraph.sources.fixtures import load, part_graph, voxel_grid
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,22 @@ def test_queries_do_the_operators_whole_job(spark, monkeypatch):
         catalog.QUERIES[name](spark, SF)
     assert calls["certainty"][0][1].agg({"weight": "max"}).first()[0] > 0.3
     assert [options for _, options in calls.values()] == [{}, {}, {}]
+
+
+def test_whole_part_graph_against_brute_force(spark):
+    from regraph.plans import catalog
+
+    orders, sizes, pairs = {}, {}, {}
+    for o, p in load(spark, SF, "lineitem").select("l_orderkey", "l_partkey").collect():
+        orders.setdefault(o, set()).add(p + 1)
+        sizes[p + 1] = sizes.get(p + 1, 0) + 1
+    for ids in orders.values():
+        for a in ids:
+            for b in ids:
+                if a < b:
+                    pairs[a, b] = pairs.get((a, b), 0) + 1
+    nodes, edges = part_graph(spark, SF, whole=True)
+    assert {r.id: r["size"] for r in nodes.collect()} == sizes
+    assert {(r.node1, r.node2): r.edge_size for r in edges.collect()} == pairs
+    asked = catalog.QUERIES["body_mode_questions"](spark, SF)
+    assert asked.where("node1 % 8 != 1 or node2 % 8 != 1").limit(1).count()
