@@ -18,7 +18,10 @@ def find_overlaps(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def agglomerate(voxels: DataFrame, channels: tuple[str, ...], model, threshold: float, label: str = "seg") -> DataFrame:
-    """voxels with labels merged: graph, edge scores by the model, contraction up to the threshold, one relabelling."""
+    """voxels with labels merged: graph, edge scores by the model, contraction up to the threshold, one relabelling.
+
+    The toolkit's passes over inclusions and mitochondria are not built and left out.
+    """
     nodes = rag_nodes(voxels, (), label).select("id", "size")
     edges = rag_edges(voxels, (), label)
     weights = scored_edges(model, edge_features(voxels, channels, label))
