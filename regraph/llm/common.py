@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,10 +20,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (a local test session) is a temporary folder used.
+    Only where that setting is absent and driver and executors are one process (a local test session)
+    is a temporary folder used.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = tempfile.gettempdir() + "/checkpoints"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -33,7 +37,15 @@ def written(df: DataFrame, path: str | None = None, partition_by: str | None = N
     path = path or shared_dir(spark)
     writer = df.write.mode("overwrite").options(**(options or {}))
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, upper and lower case being one."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,24 +17,29 @@ off the band that 0.8 allows (insertions plus deletions) are left out first. The
 L / (n + m - L).
 
 No large group is ever paired with itself, and no link of a bucket is lost. Texts of equal words are
-one text. Buckets with at most SMALL members outside their largest component give all pairs across
-components, which is linear. In another one a leader L is compared with all others, also linear: first the smallest identifier, later the member that adds least to
-the leader before, which tends to be the text that the others vary. Let x
-miss m(x) k-mers of L and hold i(x) further ones, I(x). Two members x and y that are not both
-linked with L can reach the similarity only if they differ in at most (n(x) + n(y)) / 9 k-mers; they
-differ in at least i(x) + i(y) - 2 |I(x) & I(y)| + |m(x) - m(y)|. So either
+one text. Buckets of few texts, later with at most SMALL members outside their largest component, give
+all pairs across components, which is linear; pairs whose counts of k-mers by slot already differ too
+much are not aligned. In another bucket a leader L is compared with all others, also linear: first the
+text that shares most buckets with others, which tends to be the one that the group varies, later the
+member that adds least to the leader before. If many members stay outside, let x miss m(x) k-mers of L
+and hold i(x) further ones, I(x). Two members x and y that are not both linked with L can reach the
+similarity only if they differ in at most (n(x) + n(y)) / 9 k-mers; they differ in at least
+i(x) + i(y) - 2 |I(x) & I(y)| + |m(x) - m(y)|. So either
   (a) they share a k-mer of I(x) and I(y), even one among the smallest 0.2 n + 1 of each, since each
       holds 0.8 of the other: (L, k-mer) is a bucket of the next round; or
   (b) i(x) + i(y) + |m(x) - m(y)| <= (n(x) + n(y)) / 9: such pairs are found by joining the distinct
       triples (i, m, n) of L's members, and compared.
-(a) and (b) hold of any two members that L ever met, in whichever round, so a leader's rows are kept
-and no pair is compared with one leader twice: every round needs a new pair, and rounds end when no
-bucket has one across components. Nothing is capped. Components come
-from large-star/small-star rounds; every round ends in a written table.
+(a) and (b) hold of any two members that L ever led, so its rows are kept, and a round takes up only
+leaders with new members and only buckets that hold one of these and several components. Every round
+needs a new pair, and rounds end when there is none. Nothing is capped. Tables of rounds are added to
+and never rewritten; links are contracted to the components so far before large-star and small-star
+rounds join them; every round ends in a written table.
 
 Nulls, ties, odd input: null and empty texts are one class; texts shorter than a k-mer are a single
 element, so they match equal texts only; a null doc_id forms rows of the class but never its name
-unless all are null; repeated rows are copies; an empty table gives no rows.
+unless all are null; repeated rows are copies; a doc_id with several texts puts these into one class
+and is compared by one of them; very long texts are read whole, a few megabytes of text at a time;
+further columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,9 +51,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, table, text_slices, word_hashes, words_of, written
+from .common import mix64, table, text_slices, unused, word_hashes, words_of, written
 
-KMER, SIMILARITY, SKETCHES, PICKED, SMALL, SHORT = 5, 0.8, 40, 6, 12, 40
+KMER, SIMILARITY, SKETCHES, PICKED, FIRST, SMALL, SHORT, SLOTS = 5, 0.8, 40, 6, 8, 64, 40, 128
 _random = np.random.default_rng(7)
 XOR, TIMES = (_random.integers(0, 2**63, (SKETCHES, 1), np.uint64) for _ in range(2))
 TIMES |= np.uint64(1)
@@ -149,21 +154,45 @@ def sketched(docs: DataFrame, least: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, kmers int, buckets array<long>")
 
 
+def fingerprint(x: np.ndarray) -> bytes:
+    """How many labelled k-mers fall into each of SLOTS slots, at most 255: enough to bound from below how far two texts differ."""
+    return np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=SLOTS).clip(max=255).astype(np.uint8).tobytes()
+
+
 def kmer_table(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, kmer_bytes) of the documents in ids(rep): labelled k-mers cut to 32 bits."""
+    """(rep, size, slots, kmer_bytes) of the documents in ids(rep, digest): labelled k-mers and their fingerprint."""
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
-                data = [(x >> np.uint64(32)).astype(np.uint32).tobytes() for _, x in kmers_of(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("digest"), pa.array(data, pa.binary())], names=["rep", "digest", "kmer_bytes"])
+                found = [(len(x), fingerprint(x), x.tobytes()) for _, x in kmers_of(part.column("text"))]
+                size, slots, data = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("digest"), pa.array(size, pa.int32()), pa.array(slots, pa.binary()), pa.array(data, pa.binary())], names=["rep", "digest", "size", "slots", "kmer_bytes"])
 
+    one = ids.groupBy("rep").agg(F.min("digest").alias("digest"))
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(ids.select("rep", "digest"), "rep").select("rep", "digest", "text")
-    return rows.mapInArrow(run, "rep long, digest binary, kmer_bytes binary").select("rep", "kmer_bytes").dropDuplicates(["rep"])
+    rows = rows.join(one, "rep").select("rep", "digest", "text")
+    hashed = rows.mapInArrow(run, "rep long, digest binary, size int, slots binary, kmer_bytes binary")
+    return hashed.select("rep", "size", "slots", "kmer_bytes").dropDuplicates(["rep"])
+
+
+def close(pairs: DataFrame, kmers: DataFrame, least: float) -> DataFrame:
+    """pairs(a, b, led) without those that are not led and whose fingerprints differ too much for the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16) for c in ("left", "right"))
+            total = batch.column("total").to_numpy()
+            apart = np.abs(left - right).sum(axis=1, dtype=np.int64)
+            stay = (apart <= (1 - least) / (1 + least) * total + 1e-6) | batch.column("led").to_numpy(zero_copy_only=False)
+            yield batch.select(["a", "b", "led"]).filter(pa.array(stay))
+
+    slots = kmers.select("rep", "size", "slots")
+    out = pairs.join(slots.toDF("a", "n", "left"), "a").join(slots.toDF("b", "m", "right"), "b")
+    return out.select("a", "b", "led", "left", "right", (F.col("n") + F.col("m")).alias("total")).mapInArrow(run, "a long, b long, led boolean")
 
 
-COMPARED = "a long, b long, led boolean, linked boolean, missing int, more int, size int, keys array<int>"
+COMPARED = "a long, b long, led boolean, linked boolean, missing int, more int, size int, keys array<long>"
 
 
 def compared(pairs: DataFrame, kmers: DataFrame, least: float) -> DataFrame:
@@ -175,14 +204,14 @@ def compared(pairs: DataFrame, kmers: DataFrame, least: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            for x, y in zip(batch.column("left"), batch.column("right")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 more = np.setdiff1d(y, x)
                 shared = len(y) - len(more)
                 linked = shared >= least / (1 + least) * (len(x) + len(y)) - 1e-6 and aligned(x, y, least) >= least - 1e-9
-                rows.append((linked, len(x) - shared, len(more), len(y), more[: int((1 - least) * len(y) + 1e-9) + 1].view(np.int32)))
+                rows.append((linked, len(x) - shared, len(more), len(y), more[: int((1 - least) * len(y) + 1e-9) + 1].view(np.int64)))
             cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("led"), pa.array(cols[0], pa.bool_()), *(pa.array(c, pa.int32()) for c in cols[1:4]), pa.array(cols[4], pa.list_(pa.int32()))], names=["a", "b", "led", "linked", "missing", "more", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("led"), pa.array(cols[0], pa.bool_()), *(pa.array(c, pa.int32()) for c in cols[1:4]), pa.array(cols[4], pa.list_(pa.int64()))], names=["a", "b", "led", "linked", "missing", "more", "size", "keys"])
 
     out = pairs.join(kmers.select(F.col("rep").alias("a"), F.col("kmer_bytes").alias("left")), "a")
     out = out.join(kmers.select(F.col("rep").alias("b"), F.col("kmer_bytes").alias("right")), "b").select("a", "b", "led", "left", "right")
@@ -206,73 +235,132 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("id"), F.col("b").alias("component")).union(stars.select("b", "b").distinct())
 
 
-def candidates(buckets: DataFrame, joined_before: bool = True) -> DataFrame:
-    """(a, b, led) from buckets(bucket, rep, own, rank), own the component so far.
+def labelled(df: DataFrame, label: DataFrame | None, col: str, name: str) -> DataFrame:
+    """df with the component of col as name; what has no link yet is a component of its own."""
+    if label is None:
+        return df.withColumn(name, F.col(col))
+    return df.join(label.select(F.col("id").alias("_id"), F.col("component").alias("_c")), F.col(col) == F.col("_id"), "left").withColumn(name, F.coalesce("_c", col)).drop("_id", "_c")
+
+
+def relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """label(id, component) after the links(a, b): only links between two components count, contracted to these."""
+    cross = labelled(labelled(links, label, "a", "x"), label, "b", "y").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    cross = written(cross)
+    if cross.isEmpty():
+        return label
+    joined = written(components(cross))
+    if label is None:
+        return joined
+    moved = label.join(joined.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left")
+    moved = moved.select("id", F.coalesce("_to", "component").alias("component"))
+    return written(moved.union(joined.join(label.select("id"), "id", "left_anti")))
 
-    Buckets with at most SMALL members outside their largest component give all pairs of these with
-    the members of other components. In the others the member of the lowest (rank, rep) leads: it
-    meets every other one, and led says that the rest is still open. Without joined_before, every
-    representative is a component of its own, which saves a grouping.
+
+def sized(buckets: DataFrame) -> DataFrame:
+    """buckets(bucket, rep, own, rank, fresh) that hold a fresh row and several components, with their lead, largest component and the number outside it.
+
+    The member of the lowest (rank, rep) leads, unless the rows bring a lead. The heads are written, so
+    that the join's two sides are plain exchanges, which adaptive execution can split.
     """
-    head = F.min(F.struct("rank", "rep")).alias("_h")
-    if joined_before:
-        parts = buckets.groupBy("bucket", "own").agg(head, F.count(F.lit(1)).alias("n"))
-        heads = parts.groupBy("bucket").agg(F.min("_h").alias("_h"), F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("_m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        heads = heads.select("bucket", F.col("_h.rep").alias("lead"), F.col("_m.own").alias("most"), (F.col("n") - F.col("_m.n")).alias("outside"))
-    else:
-        heads = buckets.groupBy("bucket").agg(head, F.count(F.lit(1)).alias("outside")).where("outside > 1")
-        heads = heads.select("bucket", F.col("_h.rep").alias("lead"), F.lit(None).cast("long").alias("most"), "outside")
-    # written, so that the join's two sides are plain exchanges, which adaptive execution can split
-    joined = buckets.join(written(heads), "bucket")
-    large = joined.where((F.col("outside") > SMALL) & (F.col("rep") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("led"))
-    near = written(joined.where(F.col("outside") <= SMALL).select("bucket", "rep", "own", "most"))
+    parts = buckets.groupBy("bucket", "own").agg(F.min(F.struct("rank", "rep")).alias("_h"), F.count(F.lit(1)).alias("n"), F.max("fresh").alias("fresh"))
+    heads = parts.groupBy("bucket").agg(F.min("_h").alias("_h"), F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("_m"), F.count(F.lit(1)).alias("parts"), F.max("fresh").alias("fresh")).where("parts > 1 and fresh")
+    heads = written(heads.select("bucket", F.col("_h.rep").alias("head"), F.col("_m.own").alias("most"), (F.col("n") - F.col("_m.n")).alias("outside")))
+    out = buckets.join(heads, "bucket")
+    return out if "lead" in buckets.columns else out.withColumnRenamed("head", "lead")
+
+
+def outright(rows: DataFrame) -> DataFrame:
+    """(a, b, led): of each bucket of rows(bucket, rep, own, most), its members outside the largest component with all of other components."""
+    near = written(rows.select("bucket", "rep", "own", "most"))
     other = near.select("bucket", F.col("rep").alias("rep2"), F.col("own").alias("own2"))
-    few = near.where("most is null or own != most").join(other, "bucket").where("own != own2 and (rep < rep2 or own2 = most)")
-    few = few.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.lit(False).alias("led"))
-    return large.union(few).groupBy("a", "b").agg(F.max("led").alias("led"))
+    out = near.where("own != most").join(other, "bucket").where("own != own2 and (rep < rep2 or own2 = most)")
+    return out.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.lit(False).alias("led"))
 
 
-def apart(df: DataFrame, label: DataFrame, *cols: str) -> DataFrame:
-    """df with, for each of cols, the component as c_<col>."""
-    for c in cols:
-        df = df.join(label.select(F.col("id").alias("_id"), F.col("component").alias(f"c_{c}")), F.col(c) == F.col("_id"), "left").withColumn(f"c_{c}", F.coalesce(f"c_{c}", c)).drop("_id")
-    return df
+def both_of(parts: list[DataFrame]) -> DataFrame:
+    """All pairs (a, b, led) of parts, each once; led where any part says so."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.groupBy("a", "b").agg(F.max("led").alias("led"))
 
 
-def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """(id, component) of the representatives that are linked with others."""
-    buckets = reps.select("rep", F.explode("buckets").alias("bucket")).select("bucket", "rep", F.col("rep").alias("own"), F.lit(0).alias("rank"))
-    pairs = written(candidates(buckets, joined_before=False))
-    members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", "digest"), "rep")
-    kmers = written(kmer_table(docs, members))
-    edges, known, led, limit = None, None, None, F.lit((1 - least) / (1 + least))
-    while True:
-        seen = written(compared(pairs, kmers, least))
-        new, met = seen.where("linked").select("a", "b"), seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        edges = written(new if edges is None else edges.union(new))
-        known = written(met if known is None else known.union(met))
-        label = written(components(edges))
-        # leaders that met a new member and have one which is not linked with them: all that they ever met
-        now = seen.where("led")
-        led = written(now if led is None else led.union(now))
-        open_ = led.where("not linked").select("a").distinct().join(now.select("a").distinct(), "a", "left_semi")
-        rows = written(apart(led.join(open_, "a"), label, "b"))
-        if not rows.limit(1).count():
-            return label
-        keyed = rows.select(F.explode("keys").alias("_k"), "a", "b", "c_b", "more").select(F.xxhash64("a", "_k").alias("bucket"), F.col("b").alias("rep"), F.col("c_b").alias("own"), F.col("more").alias("rank"))
-        # members of one leader that hardly add to it: found by their distinct triples
-        kinds = written(rows.groupBy("a", "missing", "more", "size").agg(F.max((~F.col("linked")).cast("int")).alias("off")))
-        other = kinds.toDF("a", "missing2", "more2", "size2", "off2")
-        near = kinds.join(other, "a").where((F.col("off") == 1) & (F.col("more") + F.col("more2") + F.abs(F.col("missing") - F.col("missing2")) <= limit * (F.col("size") + F.col("size2")) + 1e-6))
-        one = rows.where("not linked").select("a", "missing", "more", "size", F.col("b").alias("x"), F.col("c_b").alias("c_x"))
-        two = rows.select("a", F.col("missing").alias("missing2"), F.col("more").alias("more2"), F.col("size").alias("size2"), F.col("b").alias("y"), F.col("c_b").alias("c_y"))
-        direct = one.join(near.drop("off", "off2"), ["a", "missing", "more", "size"]).join(two, ["a", "missing2", "more2", "size2"]).where("c_x != c_y")
-        few = direct.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("led"))
-        both = candidates(keyed).union(few).groupBy("a", "b").agg(F.max("led").alias("led"))
-        pairs = both.where("led").join(led, ["a", "b"], "left_anti").union(both.where("not led").join(known, ["a", "b"], "left_anti"))
-        pairs = written(pairs)
-        if not pairs.limit(1).count():
-            return label
+def all_of(parts: list[DataFrame]) -> DataFrame:
+    """The union of the tables of all rounds, which are only added to."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def first_buckets(reps: DataFrame) -> DataFrame:
+    """(bucket, rep, own, rank, fresh): the buckets of several texts; rank puts first the text that meets most others.
+
+    In a group of variants that is the text which the others vary, or the nearest to it.
+    """
+    rows = reps.select("rep", F.explode("buckets").alias("bucket")).distinct()
+    sizes = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    rows = written(rows.join(sizes, "bucket").select("bucket", "rep", "n"))
+    rank = written(rows.groupBy("rep").agg((-F.sum("n")).alias("rank")))
+    return rows.join(rank, "rep").select("bucket", "rep", F.col("rep").alias("own"), "rank", F.lit(True).alias("fresh"))
+
+
+def split(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of sized rows: pairs of small buckets, pairs of the others' leads with their members, and the rows of these others."""
+    led = written(rows.where((F.col("outside") > limit) & (F.col("rep") != F.col("lead"))).select("bucket", "rep", "lead", "rank"))
+    star = led.select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("led"))
+    return outright(rows.where(F.col("outside") <= limit)), star, led
+
+
+def decomposed(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The next buckets and pairs of the leads' rows(a, b, own, linked, missing, more, size, keys, fresh): cases (a) and (b)."""
+    keyed = rows.select("a", "b", "own", "more", "fresh", F.explode("keys").alias("_k"))
+    keyed = keyed.select(F.xxhash64("a", "_k").alias("bucket"), F.col("b").alias("rep"), "own", F.col("more").alias("rank"), "fresh")
+    kinds = written(rows.groupBy("a", "missing", "more", "size").agg(F.max(~F.col("linked")).alias("off")))
+    other = kinds.toDF("a", "missing2", "more2", "size2", "off2")
+    bound = F.lit((1 - least) / (1 + least)) * (F.col("size") + F.col("size2")) + 1e-6
+    near = kinds.where("off").join(other, "a").where(F.col("more") + F.col("more2") + F.abs(F.col("missing") - F.col("missing2")) <= bound)
+    one = rows.where("not linked").select("a", "missing", "more", "size", F.col("b").alias("x"), F.col("own").alias("own_x"))
+    two = rows.select("a", F.col("missing").alias("missing2"), F.col("more").alias("more2"), F.col("size").alias("size2"), F.col("b").alias("y"), F.col("own").alias("own_y"))
+    pairs = one.join(near.drop("off", "off2"), ["a", "missing", "more", "size"]).join(two, ["a", "missing2", "more2", "size2"]).where("own_x != own_y")
+    return keyed, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("led"))
+
+
+def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
+    """(id, component) of the representatives that are linked with others; None where there are no links."""
+    few, star, led = split(sized(first_buckets(reps)), FIRST)
+    pairs = written(both_of([few, star]))
+    members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    kmers = written(kmer_table(docs, members.join(reps.select("rep", "digest"), "rep")))
+    label, known, seen, done = None, [], [], []
+    while not pairs.isEmpty():
+        known.append(pairs)
+        seen.append(written(compared(written(close(pairs, kmers, least)), kmers, least)))
+        label = relabelled(label, seen[-1].where("linked").select("a", "b"))
+        # the buckets led in this round, after the links found in it
+        again = sized(labelled(led, label, "rep", "own").withColumn("fresh", F.lit(True)))
+        few, wide = outright(again.where(F.col("outside") <= SMALL)), again.where(F.col("outside") > SMALL).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        new = written(wide.join(all_of(done), ["a", "b"], "left_anti") if done else wide)
+        parts = [few]
+        if not new.isEmpty():
+            rows = all_of(seen).where("led").join(new.select("a").distinct(), "a", "left_semi")
+            if done:
+                old = all_of(done).withColumn("_old", F.lit(True))
+                rows = rows.join(old, ["a", "b"], "left").withColumn("fresh", F.col("_old").isNull()).drop("_old")
+            else:
+                rows = rows.withColumn("fresh", F.lit(True))
+            rows = written(labelled(rows, label, "b", "own"))
+            done.append(rows.where("fresh").select("a", "b"))
+            keyed, near = decomposed(rows, least)
+            small, star, led = split(sized(keyed), SMALL)
+            parts += [near, small, star]
+        else:
+            led = led.limit(0)
+        both = both_of(parts)
+        met = all_of(known).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        before = all_of(seen).where("led").select("a", "b")
+        pairs = written(both.where("led").join(before, ["a", "b"], "left_anti").union(both.where("not led").join(met, ["a", "b"], "left_anti")))
+    return label
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -280,14 +368,15 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = written(sketched(docs, least))
     reps = written(rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "kmers", "buckets")).alias("_r")).select("digest", F.col("_r.doc_id").alias("rep"), F.col("_r.kmers").alias("kmers"), F.col("_r.buckets").alias("buckets")))
     label = linked(docs, reps.where("rep is not null"), least)
-    named = written(reps.select("digest", "rep").join(label, F.col("rep") == F.col("id"), "left").select("digest", "rep", F.coalesce("component", "rep").alias("class_id")))
+    named = written(labelled(reps.select("digest", "rep"), label, "rep", "class_id"))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", F.col("rep").alias("text_id"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs, with all their columns, without those whose class has a smaller doc_id."""
-    keep = written(near_classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep")).distinct())
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_keep")), "left_semi")
+    name = unused(docs, "keep")
+    keep = written(near_classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
