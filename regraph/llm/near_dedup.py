@@ -17,7 +17,7 @@ off the band that 0.8 allows (insertions plus deletions) are left out first. The
 L / (n + m - L).
 
 No large group is ever paired with itself, and no link of a bucket is lost. Texts of equal words are
-one text. Buckets of few texts, later with at most SMALL members outside their largest component, give
+one text. Buckets with at most FEW members outside their largest component, or PAIRS pairs, give
 all pairs across components, which is linear; pairs whose counts of k-mers by slot already differ too
 much are not aligned. In another bucket a leader L is compared with all others, also linear: first the
 text that shares most buckets with others, which tends to be the one that the group varies, later the
@@ -53,7 +53,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, table, text_slices, unused, word_hashes, words_of, written
 
-KMER, SIMILARITY, SKETCHES, PICKED, FIRST, SMALL, SHORT, SLOTS = 5, 0.8, 40, 6, 8, 64, 40, 128
+KMER, SIMILARITY, SKETCHES, PICKED, SHORT = 5, 0.8, 40, 6, 40
+FEW, PAIRS, SLOTS, WORDS = 8, 3072, 128, 1024
 _random = np.random.default_rng(7)
 XOR, TIMES = (_random.integers(0, 2**63, (SKETCHES, 1), np.uint64) for _ in range(2))
 TIMES |= np.uint64(1)
@@ -256,19 +257,28 @@ def relabelled(label: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return written(moved.union(joined.join(label.select("id"), "id", "left_anti")))
 
 
-def sized(buckets: DataFrame) -> DataFrame:
+def sized(buckets: DataFrame, least_each: bool = False) -> DataFrame:
     """buckets(bucket, rep, own, rank, fresh) that hold a fresh row and several components, with their lead, largest component and the number outside it.
 
-    The member of the lowest (rank, rep) leads, unless the rows bring a lead. The heads are written, so
-    that the join's two sides are plain exchanges, which adaptive execution can split.
+    The member of the lowest (rank, rep) leads, unless the rows bring a lead. With least_each, buckets of
+    the same members count once: they are told by their number and two hashes of 64 bits. The heads are
+    written, so that the join's two sides are plain exchanges, which adaptive execution can split.
     """
-    parts = buckets.groupBy("bucket", "own").agg(F.min(F.struct("rank", "rep")).alias("_h"), F.count(F.lit(1)).alias("n"), F.max("fresh").alias("fresh"))
-    heads = parts.groupBy("bucket").agg(F.min("_h").alias("_h"), F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("_m"), F.count(F.lit(1)).alias("parts"), F.max("fresh").alias("fresh")).where("parts > 1 and fresh")
-    heads = written(heads.select("bucket", F.col("_h.rep").alias("head"), F.col("_m.own").alias("most"), (F.col("n") - F.col("_m.n")).alias("outside")))
-    out = buckets.join(heads, "bucket")
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    parts = buckets.groupBy("bucket", "own").agg(F.min(F.struct("rank", "rep")).alias("_h"), F.count(F.lit(1)).alias("n"), F.max("fresh").alias("fresh"), *members)
+    heads = parts.groupBy("bucket").agg(F.min("_h").alias("_h"), F.sum("n").alias("n"), F.max(F.struct("n", "own")).alias("_m"), F.count(F.lit(1)).alias("parts"), F.max("fresh").alias("fresh"), *(F.bit_xor(f"x{i}").alias(f"x{i}") for i in (1, 2))).where("parts > 1 and fresh")
+    heads = heads.select("bucket", F.col("_h.rep").alias("head"), F.col("_m.own").alias("most"), (F.col("n") - F.col("_m.n")).alias("outside"), "n", "x1", "x2")
+    if least_each:
+        heads = heads.groupBy("n", "x1", "x2").agg(F.min(F.struct("bucket", "head", "most", "outside")).alias("_b")).select("_b.*", "n")
+    out = buckets.join(written(heads.drop("x1", "x2")), "bucket")
     return out if "lead" in buckets.columns else out.withColumnRenamed("head", "lead")
 
 
+def few_pairs():
+    """Of sized rows: whether their bucket's pairs across components are taken outright, which keeps them linear in its members."""
+    return (F.col("outside") <= FEW) | (F.col("outside") * F.col("n") <= PAIRS)
+
+
 def outright(rows: DataFrame) -> DataFrame:
     """(a, b, led): of each bucket of rows(bucket, rep, own, most), its members outside the largest component with all of other components."""
     near = written(rows.select("bucket", "rep", "own", "most"))
@@ -305,17 +315,38 @@ def first_buckets(reps: DataFrame) -> DataFrame:
     return rows.join(rank, "rep").select("bucket", "rep", F.col("rep").alias("own"), "rank", F.lit(True).alias("fresh"))
 
 
-def split(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of sized rows: pairs of small buckets, pairs of the others' leads with their members, and the rows of these others."""
-    led = written(rows.where((F.col("outside") > limit) & (F.col("rep") != F.col("lead"))).select("bucket", "rep", "lead", "rank"))
+def split(rows: DataFrame, few) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of sized rows: pairs of the buckets with few, pairs of the others' leads with their members, and the rows of these others."""
+    led = written(rows.where(~few & (F.col("rep") != F.col("lead"))).select("bucket", "rep", "lead", "rank"))
     star = led.select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("led"))
-    return outright(rows.where(F.col("outside") <= limit)), star, led
+    return outright(rows.where(few)), star, led
+
+
+WORD_OF, BIT_OF = f"cast(pmod(k, {WORDS}) as int)", "shiftleft(1L, cast(pmod(shiftright(k, 32), 64) as int))"
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """(bucket, rep, own, rank, fresh): the buckets (a, key) of rows(a, b, own, more, keys, fresh) that can hold two components.
+
+    A key matters only if a member outside the leader's largest component holds it; such keys are
+    noted in a table of bits per leader, and the others' keys are looked up there.
+    """
+
+    def buckets(df: DataFrame) -> DataFrame:
+        return df.select(F.xxhash64("a", "k").alias("bucket"), F.col("b").alias("rep"), "own", F.col("more").alias("rank"), "fresh")
+
+    most = rows.groupBy("a", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.max(F.struct("n", "own")).alias("_m")).select("a", F.col("_m.own").alias("most"))
+    rows = written(rows.select("a", "b", "own", "more", "keys", "fresh").join(written(most), "a"))
+    outside = written(rows.where("own != most").select("a", "b", "own", "more", "fresh", F.explode("keys").alias("k")))
+    bits = outside.groupBy("a", F.expr(WORD_OF).alias("word")).agg(F.bit_or(F.expr(BIT_OF)).alias("bits"))
+    bits = bits.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_w"))  # at most WORDS entries
+    bits = written(bits.select("a", F.expr(f"transform(sequence(0, {WORDS - 1}), i -> coalesce(_w[i], 0L))").alias("_w")))
+    inside = rows.where("own = most").join(bits, "a").select("a", "b", "own", "more", "fresh", F.explode(F.expr(f"filter(keys, k -> (_w[{WORD_OF}] & {BIT_OF}) != 0)")).alias("k"))
+    return buckets(outside).union(buckets(inside))
 
 
-def decomposed(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """The next buckets and pairs of the leads' rows(a, b, own, linked, missing, more, size, keys, fresh): cases (a) and (b)."""
-    keyed = rows.select("a", "b", "own", "more", "fresh", F.explode("keys").alias("_k"))
-    keyed = keyed.select(F.xxhash64("a", "_k").alias("bucket"), F.col("b").alias("rep"), "own", F.col("more").alias("rank"), "fresh")
+def level_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, led): case (b), the pairs of the leads' rows(a, b, own, linked, missing, more, size) that hardly add to their leader."""
     kinds = written(rows.groupBy("a", "missing", "more", "size").agg(F.max(~F.col("linked")).alias("off")))
     other = kinds.toDF("a", "missing2", "more2", "size2", "off2")
     bound = F.lit((1 - least) / (1 + least)) * (F.col("size") + F.col("size2")) + 1e-6
@@ -323,12 +354,12 @@ def decomposed(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     one = rows.where("not linked").select("a", "missing", "more", "size", F.col("b").alias("x"), F.col("own").alias("own_x"))
     two = rows.select("a", F.col("missing").alias("missing2"), F.col("more").alias("more2"), F.col("size").alias("size2"), F.col("b").alias("y"), F.col("own").alias("own_y"))
     pairs = one.join(near.drop("off", "off2"), ["a", "missing", "more", "size"]).join(two, ["a", "missing2", "more2", "size2"]).where("own_x != own_y")
-    return keyed, pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("led"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("led"))
 
 
 def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
     """(id, component) of the representatives that are linked with others; None where there are no links."""
-    few, star, led = split(sized(first_buckets(reps)), FIRST)
+    few, star, led = split(sized(first_buckets(reps)), F.col("outside") <= FEW)
     pairs = written(both_of([few, star]))
     members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     kmers = written(kmer_table(docs, members.join(reps.select("rep", "digest"), "rep")))
@@ -339,21 +370,18 @@ def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
         label = relabelled(label, seen[-1].where("linked").select("a", "b"))
         # the buckets led in this round, after the links found in it
         again = sized(labelled(led, label, "rep", "own").withColumn("fresh", F.lit(True)))
-        few, wide = outright(again.where(F.col("outside") <= SMALL)), again.where(F.col("outside") > SMALL).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        few, wide = outright(again.where(few_pairs())), again.where(~few_pairs()).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
         new = written(wide.join(all_of(done), ["a", "b"], "left_anti") if done else wide)
         parts = [few]
         if not new.isEmpty():
-            rows = all_of(seen).where("led").join(new.select("a").distinct(), "a", "left_semi")
+            taken = new.withColumn("fresh", F.lit(True))
             if done:
-                old = all_of(done).withColumn("_old", F.lit(True))
-                rows = rows.join(old, ["a", "b"], "left").withColumn("fresh", F.col("_old").isNull()).drop("_old")
-            else:
-                rows = rows.withColumn("fresh", F.lit(True))
+                taken = taken.union(all_of(done).join(new.select("a").distinct(), "a", "left_semi").select("a", "b", F.lit(False)))
+            rows = all_of(seen).where("led").join(taken, ["a", "b"])
             rows = written(labelled(rows, label, "b", "own"))
-            done.append(rows.where("fresh").select("a", "b"))
-            keyed, near = decomposed(rows, least)
-            small, star, led = split(sized(keyed), SMALL)
-            parts += [near, small, star]
+            done.append(new)
+            small, star, led = split(sized(keyed(rows), least_each=True), few_pairs())
+            parts += [level_pairs(rows, least), small, star]
         else:
             led = led.limit(0)
         both = both_of(parts)
