@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from .common import mix64, table, text_slices, unused, word_hashes, words_of, written
 
 KMER, SIMILARITY, SKETCHES, PICKED, SHORT = 5, 0.8, 40, 6, 40
-FEW, PAIRS, SLOTS, WORDS = 8, 3072, 128, 1024
+FEW, PAIRS, SLOTS, WORDS = 8, 2560, 128, 1024
 _random = np.random.default_rng(7)
 XOR, TIMES = (_random.integers(0, 2**63, (SKETCHES, 1), np.uint64) for _ in range(2))
 TIMES |= np.uint64(1)
@@ -185,12 +185,12 @@ def close(pairs: DataFrame, kmers: DataFrame, least: float) -> DataFrame:
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLOTS).astype(np.int16) for c in ("left", "right"))
             total = batch.column("total").to_numpy()
             apart = np.abs(left - right).sum(axis=1, dtype=np.int64)
-            stay = (apart <= (1 - least) / (1 + least) * total + 1e-6) | batch.column("led").to_numpy(zero_copy_only=False)
-            yield batch.select(["a", "b", "led"]).filter(pa.array(stay))
+            yield batch.select(["a", "b", "led"]).filter(pa.array(apart <= (1 - least) / (1 + least) * total + 1e-6))
 
     slots = kmers.select("rep", "size", "slots")
-    out = pairs.join(slots.toDF("a", "n", "left"), "a").join(slots.toDF("b", "m", "right"), "b")
-    return out.select("a", "b", "led", "left", "right", (F.col("n") + F.col("m")).alias("total")).mapInArrow(run, "a long, b long, led boolean")
+    out = pairs.where("not led").join(slots.toDF("a", "n", "left"), "a").join(slots.toDF("b", "m", "right"), "b")
+    out = out.select("a", "b", "led", "left", "right", (F.col("n") + F.col("m")).alias("total"))
+    return pairs.where("led").union(out.mapInArrow(run, "a long, b long, led boolean"))
 
 
 COMPARED = "a long, b long, led boolean, linked boolean, missing int, more int, size int, keys array<long>"
@@ -279,11 +279,15 @@ def few_pairs():
     return (F.col("outside") <= FEW) | (F.col("outside") * F.col("n") <= PAIRS)
 
 
-def outright(rows: DataFrame) -> DataFrame:
-    """(a, b, led): of each bucket of rows(bucket, rep, own, most), its members outside the largest component with all of other components."""
-    near = written(rows.select("bucket", "rep", "own", "most"))
-    other = near.select("bucket", F.col("rep").alias("rep2"), F.col("own").alias("own2"))
-    out = near.where("own != most").join(other, "bucket").where("own != own2 and (rep < rep2 or own2 = most)")
+def outright(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, led): of each bucket of rows(bucket, rep, own, most, size), its members outside the largest component with all of other components.
+
+    Pairs whose numbers of k-mers alone keep them from the similarity are left out.
+    """
+    near = written(rows.select("bucket", "rep", "own", "most", "size"))
+    other = near.select("bucket", F.col("rep").alias("rep2"), F.col("own").alias("own2"), F.col("size").alias("size2"))
+    alike = F.abs(F.col("size") - F.col("size2")) <= F.lit((1 - least) / (1 + least)) * (F.col("size") + F.col("size2")) + 1e-6
+    out = near.where("own != most").join(other, "bucket").where("own != own2 and (rep < rep2 or own2 = most)").where(alike)
     return out.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.lit(False).alias("led"))
 
 
@@ -304,44 +308,44 @@ def all_of(parts: list[DataFrame]) -> DataFrame:
 
 
 def first_buckets(reps: DataFrame) -> DataFrame:
-    """(bucket, rep, own, rank, fresh): the buckets of several texts; rank puts first the text that meets most others.
+    """(bucket, rep, own, rank, fresh, size): the buckets of several texts; rank puts first the text that meets most others.
 
     In a group of variants that is the text which the others vary, or the nearest to it.
     """
-    rows = reps.select("rep", F.explode("buckets").alias("bucket")).distinct()
+    rows = reps.select("rep", F.col("kmers").alias("size"), F.explode("buckets").alias("bucket"))
     sizes = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    rows = written(rows.join(sizes, "bucket").select("bucket", "rep", "n"))
+    rows = written(rows.join(sizes, "bucket").groupBy("bucket", "rep").agg(F.max("n").alias("n"), F.max("size").alias("size")))
     rank = written(rows.groupBy("rep").agg((-F.sum("n")).alias("rank")))
-    return rows.join(rank, "rep").select("bucket", "rep", F.col("rep").alias("own"), "rank", F.lit(True).alias("fresh"))
+    return rows.join(rank, "rep").select("bucket", "rep", F.col("rep").alias("own"), "rank", F.lit(True).alias("fresh"), "size")
 
 
-def split(rows: DataFrame, few) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split(rows: DataFrame, few, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of sized rows: pairs of the buckets with few, pairs of the others' leads with their members, and the rows of these others."""
-    led = written(rows.where(~few & (F.col("rep") != F.col("lead"))).select("bucket", "rep", "lead", "rank"))
+    led = written(rows.where(~few & (F.col("rep") != F.col("lead"))).select("bucket", "rep", "lead", "rank", "size"))
     star = led.select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("led"))
-    return outright(rows.where(few)), star, led
+    return outright(rows.where(few), least), star, led
 
 
 WORD_OF, BIT_OF = f"cast(pmod(k, {WORDS}) as int)", "shiftleft(1L, cast(pmod(shiftright(k, 32), 64) as int))"
 
 
 def keyed(rows: DataFrame) -> DataFrame:
-    """(bucket, rep, own, rank, fresh): the buckets (a, key) of rows(a, b, own, more, keys, fresh) that can hold two components.
+    """(bucket, rep, own, rank, fresh, size): the buckets (a, key) of rows(a, b, own, more, size, keys, fresh) that can hold two components.
 
     A key matters only if a member outside the leader's largest component holds it; such keys are
     noted in a table of bits per leader, and the others' keys are looked up there.
     """
 
     def buckets(df: DataFrame) -> DataFrame:
-        return df.select(F.xxhash64("a", "k").alias("bucket"), F.col("b").alias("rep"), "own", F.col("more").alias("rank"), "fresh")
+        return df.select(F.xxhash64("a", "k").alias("bucket"), F.col("b").alias("rep"), "own", F.col("more").alias("rank"), "fresh", "size")
 
     most = rows.groupBy("a", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.max(F.struct("n", "own")).alias("_m")).select("a", F.col("_m.own").alias("most"))
-    rows = written(rows.select("a", "b", "own", "more", "keys", "fresh").join(written(most), "a"))
-    outside = written(rows.where("own != most").select("a", "b", "own", "more", "fresh", F.explode("keys").alias("k")))
+    rows = written(rows.select("a", "b", "own", "more", "size", "keys", "fresh").join(written(most), "a"))
+    outside = written(rows.where("own != most").select("a", "b", "own", "more", "size", "fresh", F.explode("keys").alias("k")))
     bits = outside.groupBy("a", F.expr(WORD_OF).alias("word")).agg(F.bit_or(F.expr(BIT_OF)).alias("bits"))
     bits = bits.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_w"))  # at most WORDS entries
     bits = written(bits.select("a", F.expr(f"transform(sequence(0, {WORDS - 1}), i -> coalesce(_w[i], 0L))").alias("_w")))
-    inside = rows.where("own = most").join(bits, "a").select("a", "b", "own", "more", "fresh", F.explode(F.expr(f"filter(keys, k -> (_w[{WORD_OF}] & {BIT_OF}) != 0)")).alias("k"))
+    inside = rows.where("own = most").join(bits, "a").select("a", "b", "own", "more", "size", "fresh", F.explode(F.expr(f"filter(keys, k -> (_w[{WORD_OF}] & {BIT_OF}) != 0)")).alias("k"))
     return buckets(outside).union(buckets(inside))
 
 
@@ -359,7 +363,7 @@ def level_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
     """(id, component) of the representatives that are linked with others; None where there are no links."""
-    few, star, led = split(sized(first_buckets(reps)), F.col("outside") <= FEW)
+    few, star, led = split(sized(first_buckets(reps)), F.col("outside") <= FEW, least)
     pairs = written(both_of([few, star]))
     members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     kmers = written(kmer_table(docs, members.join(reps.select("rep", "digest"), "rep")))
@@ -370,7 +374,7 @@ def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
         label = relabelled(label, seen[-1].where("linked").select("a", "b"))
         # the buckets led in this round, after the links found in it
         again = sized(labelled(led, label, "rep", "own").withColumn("fresh", F.lit(True)))
-        few, wide = outright(again.where(few_pairs())), again.where(~few_pairs()).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        few, wide = outright(again.where(few_pairs()), least), again.where(~few_pairs()).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
         new = written(wide.join(all_of(done), ["a", "b"], "left_anti") if done else wide)
         parts = [few]
         if not new.isEmpty():
@@ -380,7 +384,7 @@ def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
             rows = all_of(seen).where("led").join(taken, ["a", "b"])
             rows = written(labelled(rows, label, "b", "own"))
             done.append(new)
-            small, star, led = split(sized(keyed(rows), least_each=True), few_pairs())
+            small, star, led = split(sized(keyed(rows), least_each=True), few_pairs(), least)
             parts += [level_pairs(rows, least), small, star]
         else:
             led = led.limit(0)
