@@ -10,6 +10,10 @@
    becomes one of the same gender and script, addresses end in a reserved domain.
 3. Collision checks: a surrogate that another entity of its type has, or that occurs in the corpus
    as an entity itself, is drawn again (the smallest canonical form keeps it) until none collides.
+   After LENGTHEN draws every further one is a character longer than the one before, so that values
+   without a letter or digit to change, or of a small space that the corpus has used up, end too: a
+   value longer than all real ones can only meet another surrogate, with ever smaller chance. Only
+   then is a number longer than its format says.
 4. Surrogates are rendered in each mention's own format and put in place of the mentions.
 
 Everything is DataFrame functions. Only texts with mentions are shuffled, by document; an entity in
@@ -18,8 +22,8 @@ adaptive execution can split.
 
 Nulls, ties, odd input: a null text stays null; a text without mentions is returned unchanged; rows
 that repeat a doc_id are told apart by their text's hash, and equal rows are all returned; a null
-doc_id is kept; an empty table gives no rows; other columns of the input are kept, and helper columns
-have names that start with "_pii".
+doc_id is kept; an empty table gives no rows; very long texts are read whole; other columns of the
+input are kept, but for n_entities, which is replaced; helper columns have names that start with "_pii".
 """
 
 from __future__ import annotations
@@ -53,6 +57,11 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention holds, cheap to look for: a digit or a sign, the head of a key, or a given name before a capital.
 HINT = r"[0-9@=:]|AKIA|(?=\p{Lu})(?:" + "|".join(n for names in GIVEN.values() for n in names) + r") \p{Lu}"
 DIGITS_ONLY = ("card", "ssn", "phone")
+#: After so many draws a surrogate is lengthened, by one more character each time.
+LENGTHEN = 6
+ENTITIES_A_TASK = 4000
+#: Letters that stand for those of a script besides Latin and Cyrillic (fixed values).
+SCRIPTS = {"Greek": "αεηιουβγδζθκλμνπρστφχ", "Han": "王李张刘陈杨赵黄周吴", "Hiragana": "あいうえおかきくけこさしすせそ", "Katakana": "アイウエオカキクケコサシスセソ", "Hangul": "김이박최정강조윤장임", "Arabic": "ابتحدرسعفقلمنهوي", "Hebrew": "אבגדהוזחטילמנסעפ", "Devanagari": "अकगजटतदनपमरलवस", "Thai": "กขคงจชซญดตถทนบปผ"}
 LATIN_VOWELS, LATIN_CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxz"
 CYRILLIC_VOWELS, CYRILLIC_CONSONANTS = "аеиоу", "бвгдзклмнпрст"
 
@@ -91,7 +100,11 @@ def like(secret: str, kind: Column, value: Column, attempt: Column, hexadecimal:
             return F.when(c.rlike("[0-9a-f]"), pick("0123456789abcdef")).otherwise(c)
         low = F.lower(c)
         new = F.when(low.rlike("[aeiouyà-æè-ïò-öø-ý]"), pick(LATIN_VOWELS)).when(low.rlike("[a-zçñß]"), pick(LATIN_CONSONANTS))
-        new = new.when(low.rlike("[аеёиоуыэюя]"), pick(CYRILLIC_VOWELS)).when(low.rlike("[а-я]"), pick(CYRILLIC_CONSONANTS))
+        new = new.when(low.rlike("[аеёиоуыэюя]"), pick(CYRILLIC_VOWELS)).when(low.rlike(r"\p{IsCyrillic}"), pick(CYRILLIC_CONSONANTS))
+        new = new.when(low.rlike("[ăąāęėēěįīőōųūůűœæ]"), pick(LATIN_VOWELS)).when(low.rlike(r"(?=\p{L})\p{IsLatin}"), pick(LATIN_CONSONANTS))
+        for script, letters in SCRIPTS.items():
+            new = new.when(low.rlike(rf"(?=\p{{L}})\p{{Is{script}}}"), pick(letters))
+        new = new.when(low.rlike(r"\p{L}"), pick(LATIN_CONSONANTS))
         new = F.when(c != low, F.upper(new)).otherwise(new)
         first = (i == 0) & kind.isin("phone", "card", "ssn")  # a number's first digit is not 0 or 1
         digit = F.when(first, pick("23456789")).otherwise(pick("0123456789"))
@@ -111,8 +124,17 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), term), F.lit(0), lambda a, b: a + b)
 
 
+def lengthening(secret: str, kind: Column, value: Column, attempt: Column) -> Column:
+    """Nothing for the first LENGTHEN draws; then 4, 5, ... characters, digits where the kind has digits only, else letters."""
+    stream = F.substring(F.sha2(F.concat_ws("\u0001", F.lit(secret), kind, value, attempt.cast("string"), F.lit("longer")), 256), F.lit(1), F.least(F.lit(64), attempt - LENGTHEN + 4).cast("int"))
+    digits, letters = F.translate(stream, "abcdef", "012345"), F.translate(stream, "0123456789", "ghijklmnop")
+    longer = F.when(kind.isin(*DIGITS_ONLY, "ipv4", "iban"), digits).when(kind == "token", stream).when(kind == "access_key", F.upper(letters)).otherwise(letters)
+    return F.when(attempt >= LENGTHEN, longer).otherwise("")
+
+
 def surrogate(secret: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The surrogate of a canonical form, itself in canonical form."""
+    more = lengthening(secret, kind, value, attempt)
     plain = like(secret, kind, value, attempt)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(drawn(secret, kind, value, attempt, i), F.lit(254)) + 1).cast("string")), ".")
     head = F.substring(plain, 1, 15)
@@ -121,7 +143,7 @@ def surrogate(secret: str, kind: Column, value: Column, attempt: Column) -> Colu
     card = F.concat(head, F.when(good, right).otherwise((right + 1 + F.pmod(drawn(secret, kind, value, attempt, F.lit(99)), F.lit(9))) % 10).cast("string"))
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     reserved = F.when(domain.rlike(r"(^|\.)example\.(com|org|net)$"), F.concat(F.regexp_replace(like(secret, kind, domain, attempt), r"(^|\.)[^.]*\.[^.]*$", "$1"), F.regexp_extract(domain, r"example\.[a-z]+$", 0))).otherwise(F.concat(F.regexp_replace(like(secret, kind, domain, attempt), r"\.[^.]*$", ""), F.lit(".example")))
-    email = F.concat(like(secret, kind, local, attempt), F.lit("@"), reserved)
+    email = F.concat(like(secret, kind, local, attempt), more, F.lit("@"), reserved)
     given, surname = F.substring_index(value, " ", 1), F.substring_index(value, " ", -1)
     new_given = F.lit(None).cast("string")
     for names in GIVEN.values():
@@ -129,16 +151,16 @@ def surrogate(secret: str, kind: Column, value: Column, attempt: Column) -> Colu
         at = F.array_position(F.array(*map(F.lit, low)), given)
         step = F.pmod(drawn(secret, kind, value, attempt, F.lit(-1)), F.lit(len(low) - 1)) + 1  # never the same name
         new_given = F.when(at > 0, F.element_at(F.array(*map(F.lit, low)), (F.pmod(at - 1 + step, F.lit(len(low))) + 1).cast("int"))).otherwise(new_given)
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ipv4", octets)
+    return F.when(kind == "email", email).otherwise(F.concat(
+        F.when(kind == "ipv4", octets)
         .when(kind == "card", card)
         .when(kind == "token", like(secret, kind, value, attempt, hexadecimal=True))
         .when(kind == "access_key", F.concat(F.lit("AKIA"), F.upper(like(secret, kind, F.substring(value, 5, 16), attempt))))
         .when(kind == "iban", F.concat(F.substring(value, 1, 2), like(secret, kind, F.expr("substring(canon, 3)"), attempt)))
         .when(kind == "name", F.concat(new_given, F.lit(" "), like(secret, kind, surname, attempt)))
-        .otherwise(plain)
-    )
+        .otherwise(plain),
+        more,
+    ))
 
 
 def entities(mentions: DataFrame, secret: str) -> DataFrame:
@@ -147,6 +169,8 @@ def entities(mentions: DataFrame, secret: str) -> DataFrame:
     settled, open_ = None, known.withColumn("attempt", F.lit(0))
     real = known.select("kind", F.col("canon").alias("fake"))
     while True:
+        # few wide rows would be one file and so one task
+        open_ = open_.repartition(1 + open_.count() // ENTITIES_A_TASK)
         tried = written(open_.withColumn("fake", surrogate(secret, F.col("kind"), F.col("canon"), F.col("attempt"))))
         first = tried.groupBy("kind", "fake").agg(F.min("canon").alias("canon"))
         good = first.join(real, ["kind", "fake"], "left_anti")
@@ -168,7 +192,8 @@ def rendered(kind: Column, mention: Column, fake: Column) -> Column:
     digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]") & (before(i) >= kept), F.substring(fake, (before(i) - kept + 1).cast("int"), F.lit(1))).otherwise(c)), "")
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(fake, (i + 1 - F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), "[^ ]", ""))).cast("int"), F.lit(1)))), "")
     return (
-        F.when(kind.isin(*DIGITS_ONLY), digits)
+        F.when(kind.isin(*DIGITS_ONLY) & (kept < 0), fake)
+        .when(kind.isin(*DIGITS_ONLY), digits)
         .when(kind == "iban", spaced)
         .when(kind == "name", F.regexp_replace(F.initcap(F.regexp_replace(fake, "-", "- ")), "- ", "-"))
         .when(kind == "password", F.concat(F.regexp_extract(mention, "^[^=:]*[=:]", 0), fake))

@@ -14,8 +14,8 @@ batches; the only thing sent out is the weight vector of 2^BITS floats.
 
 Nulls, ties, odd input: a null or empty text has the score of no words (the intercept); a null
 label is left out of the fit; a document labelled twice counts twice; equal rows get equal scores;
-with no labels, or labels of one kind only, every score is that class's smoothed rate; an empty
-table gives no rows.
+with no labels, or labels of one kind only, every score is that class's smoothed rate; very long texts
+are scored whole; an empty table gives no rows; `drop_toxic` keeps further columns of any name.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_slices, word_hashes, words_of
+from .common import table, text_slices, unused, word_hashes, words_of
 
 #: Groups of neutral identity terms (fixed values); members of a group may stand for each other.
 IDENTITY_GROUPS = [
@@ -36,6 +36,17 @@ IDENTITY_GROUPS = [
     ["gay", "lesbian", "straight", "bisexual", "queer", "homosexual", "heterosexual"],
     ["immigrants", "refugees", "citizens", "foreigners", "natives"],
     ["disabled", "blind", "deaf", "autistic", "elderly", "young"],
+    ["frauen", "männer", "frau", "mann", "mädchen", "jungen"],
+    ["muslime", "christen", "juden", "hindus", "atheisten"],
+    ["ausländer", "flüchtlinge", "einwanderer", "einheimische"],
+    ["femmes", "hommes", "femme", "homme", "filles", "garçons"],
+    ["musulmans", "chrétiens", "juifs", "hindous", "athées"],
+    ["étrangers", "réfugiés", "immigrés", "citoyens"],
+    ["mujeres", "hombres", "mujer", "hombre", "niñas", "niños"],
+    ["musulmanes", "cristianos", "judíos", "hindúes", "ateos"],
+    ["extranjeros", "refugiados", "inmigrantes", "ciudadanos"],
+    ["женщины", "мужчины", "женщина", "мужчина"],
+    ["мусульмане", "христиане", "евреи", "атеисты"],
 ]
 BITS, SAMPLE, ROUNDS, L1, L2, COUNTERFACTUAL, MIN_DOCS = 18, 16_000, 200, 0.06, 1e-6, 1.0, 3
 
@@ -167,28 +178,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(np.repeat(np.arange(len(label)), count), flat("slots").astype(np.int64), flat("vals").astype(float), (label > 0).astype(float))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The kept columns of docs and score, the probability that a text is toxic."""
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The kept columns of docs and, as `name`, the probability that a text is toxic."""
     from pyspark.sql import types as T
 
     weights = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))
     intercept = model.intercept
-    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField("score", T.DoubleType())])
+    schema, body = T.StructType([docs.schema[k] for k in keep] + [T.StructField(name, T.DoubleType())]), unused(docs, "_text")
 
     def run(batches):
         m = Model(weights.value.astype(float), intercept)
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                p = 1 / (1 + np.exp(-m.logits(*features(part.column("_text")), part.num_rows)))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(p)], names=[*keep, "score"])
+            for part in text_slices(batch, body):
+                p = 1 / (1 + np.exp(-m.logits(*features(part.column(body)), part.num_rows)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(p)], names=[*keep, name])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias(body)).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs, with all their columns, without the texts scored at threshold or more."""
-    model = train(docs, labels)
-    return score(docs, model, docs.columns).where(F.col("score") < threshold).select(*docs.columns)
+    model, name = train(docs, labels), unused(docs, "_score")
+    return score(docs, model, docs.columns, name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

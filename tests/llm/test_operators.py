@@ -324,6 +324,24 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(texts)) == 25 and not any(t.endswith("corp.de") for t in texts)
 
 
+def test_surrogates_end_and_cover_scripts(spark):
+    """Values without a letter to change and spaces that the table uses up get longer surrogates; letters of all scripts change."""
+    rows = ["login password=****** ok", "password=------ x", "Anna Παπάς and John Łśćż", *(f"{a}@example.com" for a in "aeiou"), *(f"{a}@example.com" for a in "bcdfghjklmnpqrstvwxz")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = [r.text for r in surrogates.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    assert got[0].startswith("login password=******") and got[0] != rows[0] and "Παπάς" not in got[2] and "Łść" not in got[2]
+    assert len(set(got[3:])) == 25 and not set(got[3:]) & set(rows)
+
+
+def test_dropped_rows_with_clashing_columns(spark, docs):
+    """Every filtering operator keeps columns that bear the names of its helpers."""
+    odd = docs.withColumns({"score": F.lit(1), "_text": F.lit("x"), "_score": F.lit(2), "keep": F.lit(3), "_keep": F.lit(4), "digest": F.lit(5)})
+    labels = spark.createDataFrame([(1, 1, 1.0), (4, 0, 1.0)], "doc_id long, toxic int, quality double")
+    assert toxicity.drop_toxic(odd, labels, threshold=1.1).columns == odd.columns
+    assert exact_dedup.drop_copies(odd).columns == odd.columns and near_dedup.keep_one(odd).columns == odd.columns
+    assert exact_dedup.drop_copies(odd).count() == exact_dedup.drop_copies(docs).count()
+
+
 @pytest.mark.parametrize("n", [3, 900])
 def test_ann(spark, n):
     x = np.random.default_rng(4).normal(size=(n, 8)).round(2)
