@@ -3,15 +3,22 @@
 1. Centroids: a sample of at most SAMPLE vectors is halved again and again at the median along the
    axis between two means, so all leaves hold equally many; their means are the centroids (at most
    MAX_LISTS, about one for every LIST_ROWS vectors).
-2. Every vector goes to its nearest centroid's posting list and, at a boundary, to each list whose
-   centroid is at most (1 + boundary) times as far.
+2. Every vector goes to its nearest centroid's posting list and, at a boundary, to further lists whose
+   centroid is at most (1 + boundary) times as far: at most COPIES in all, each only if the centroid is
+   nearer to the vector than to every centroid that has it already, so copies lie in different directions.
 3. Queries find centroids by best-first search in a neighbour graph held in memory (at most
    MAX_LISTS nodes) and select the lists whose centroid is at most (1 + reach) times as far as the
    nearest one: distance-ratio pruning, with no fixed number of lists. A query's beam doubles until
    its farthest centroid lies beyond that ratio, and on while the lists that it selects are the
    nearest ones of fewer than k other vectors.
 4. A selected list is read in parts of PART_ROWS vectors; each part gives each query its nearest k,
-   in double precision on the original vectors, and a window per query keeps the k best.
+   in double precision on the original vectors, and a window per query keeps the k best. Blocks of
+   queries are multiplied with a part at once; only what can be among the k is measured again exactly.
+
+How much is read depends on the data. On vectors without clusters, as the test tables have (64
+dimensions, nearest at 1.0, median at 1.41), a recall of 0.9 takes about half of all rows whatever the lists;
+with 51,282 such vectors and 200 lists the ratio 0.12 reads 48 % of the rows for a recall of 0.89, 0.15 reads
+70 % for 0.97 and REACH somewhat more. On clustered vectors the same ratio reads a few lists.
 
 Equal vectors: of each distinct vector the k + 1 smallest identifiers are enough, since ties go to
 the smaller identifier and a query leaves out only its own row. That keeps a vector shared by a
@@ -32,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SAMPLE, LIST_ROWS, MAX_LISTS, PART_ROWS = 20_000, 256, 4096, 8192
-BOUNDARY, REACH, DEGREE, BEAM = 0.05, 0.25, 24, 64
+BOUNDARY, COPIES, REACH, DEGREE, BEAM, EXPANDED = 0.05, 8, 0.18, 24, 64, 16
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
@@ -76,26 +83,31 @@ def graph_search(q: np.ndarray, centroids: np.ndarray, graph: np.ndarray, beam:
     """(centroids, distances) of each query's beam, nearest first: best-first search, a batch at a time."""
     n, many = len(centroids), len(q)
     beam = min(beam, n)
+    wide = min(EXPANDED, n)  # nodes that a query expands in one step
     seen, grown = np.zeros((many, n), bool), np.zeros((many, n), bool)
     dist = np.full((many, n), np.inf)
-    rows = np.arange(many)
 
-    def visit(at: np.ndarray) -> None:
-        d = np.sqrt(((q[:, None, :] - centroids[at]) ** 2).sum(2))
-        dist[rows[:, None], at] = d
-        seen[rows[:, None], at] = True
+    def visit(row: np.ndarray, at: np.ndarray) -> None:
+        new = np.unique((row * n + at)[~seen[row, at]])
+        row, at = new // n, new % n
+        for a in range(0, len(new), 1 << 16):
+            r, c = row[a : a + (1 << 16)], at[a : a + (1 << 16)]
+            dist[r, c] = np.sqrt(((q[r] - centroids[c]) ** 2).sum(1))
+        seen[row, at] = True
 
-    visit(np.tile(np.linspace(0, n - 1, min(n, 8)).astype(int), (many, 1)))
+    start = np.linspace(0, n - 1, min(n, 8)).astype(int)
+    visit(np.repeat(np.arange(many), len(start)), np.tile(start, many))
     while True:
         open_ = np.where(seen & ~grown, dist, np.inf)
-        best = open_.argmin(1)
-        worst = np.partition(dist, beam - 1, axis=1)[:, beam - 1]
-        going = open_[rows, best] <= worst
-        going &= np.isfinite(open_[rows, best])
-        if not going.any():
+        best = np.argpartition(open_, wide - 1, axis=1)[:, :wide]
+        worst = np.partition(dist, beam - 1, axis=1)[:, beam - 1 : beam]
+        d = np.take_along_axis(open_, best, 1)
+        row, at = np.nonzero(np.isfinite(d) & (d <= worst))
+        if not len(row):
             break
-        grown[rows, best] = True
-        visit(np.where(going[:, None], graph[best], best[:, None]))
+        at = best[row, at]
+        grown[row, at] = True
+        visit(np.repeat(row, graph.shape[1]), graph[at].ravel())
     order = np.argsort(dist, axis=1)[:, :beam]
     return order, np.take_along_axis(dist, order, 1)
 
@@ -115,6 +127,35 @@ def lists_of(q: np.ndarray, centroids: np.ndarray, graph: np.ndarray, sizes: np.
     return np.concatenate(rows), np.concatenate(lists)
 
 
+def boundary_lists(x: np.ndarray, c: np.ndarray, boundary: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, centroid, whether its nearest) of the lists that get each vector."""
+    d, between = np.sqrt(squares(x, c)), np.sqrt(squares(c, c))
+    near = np.argsort(d, axis=1, kind="stable")[:, : 4 * COPIES]
+    far = np.take_along_axis(d, near, 1)
+    ok = far <= far[:, :1] * (1 + boundary) + 1e-12
+    for j in range(1, near.shape[1]):
+        for i in range(j):
+            ok[:, j] &= ~ok[:, i] | (between[near[:, j], near[:, i]] > far[:, j])
+    ok &= np.cumsum(ok, axis=1) <= COPIES
+    row, col = np.nonzero(ok)
+    return row, near[row, col], col == 0
+
+
+def best_of(q: np.ndarray, asked: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, distance) of the k nearest rows of x to each query but itself, ties to the smaller id."""
+    near = squares(q, x)
+    near[asked[:, None] == ids] = np.inf
+    # rounding of the product: what is this much beyond the k-th can be among the k
+    slack = 1e-9 * ((q * q).sum(1) + (x * x).sum(1).max())
+    limit = np.partition(near, k - 1, axis=1)[:, k - 1] + slack if len(ids) > k else np.full(len(q), np.inf)
+    row, at = np.nonzero((near <= limit[:, None]) & np.isfinite(near))
+    d = np.sqrt(((x[at] - q[row]) ** 2).sum(1))
+    order = np.lexsort((ids[at], d, row))
+    row, at, d = row[order], at[order], d[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return asked[row[rank < k]], ids[at[rank < k]], d[rank < k]
+
+
 def matrix_of(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -147,9 +188,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, boundary: float
         c, _ = sent.value
         for batch in batches:
             x = matrix_of(batch.column("v"))
-            d = np.sqrt(squares(x, c))
-            row, at = np.nonzero(d <= d.min(1)[:, None] * (1 + boundary) + 1e-12)
-            home = at == d.argmin(1)[row]
+            row, at, home = boundary_lists(x, c, boundary)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column("vec_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(home)], names=["list", "vec_id", "v", "home"])
 
     def choose(batches):
@@ -171,19 +210,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, boundary: float
     probes = asked.mapInArrow(choose, shape).join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = ([], [], [])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(left) and len(right):
             x, ids = matrix_of(right.column("v")), right.column("vec_id").to_numpy()
-            for query, v in zip(left.column("vec_id").to_pylist(), matrix_of(left.column("v"))):
-                d = np.sqrt(((x - v) ** 2).sum(1))
-                ok = np.flatnonzero(ids != query)
-                if len(ok) > k:
-                    ok = ok[d[ok] <= np.partition(d[ok], k - 1)[k - 1]]
-                best = ok[np.lexsort((ids[ok], d[ok]))][:k]
-                out[0].extend([query] * len(best))
-                out[1].extend(ids[best].tolist())
-                out[2].extend(d[best].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+            q, asked = matrix_of(left.column("v")), left.column("vec_id").to_numpy()
+            out += [best_of(q[a : a + 256], asked[a : a + 256], x, ids, k) for a in range(0, len(q), 256)]
+        query, vec, score = map(np.concatenate, zip(*out))
+        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.float64())})
 
     found = probes.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
