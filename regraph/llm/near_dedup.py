@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from .common import mix64, table, text_slices, unused, word_hashes, words_of, written
 
 KMER, SIMILARITY, SKETCHES, PICKED, SHORT = 5, 0.8, 40, 6, 40
-FEW, PAIRS, SLOTS, WORDS = 8, 2560, 128, 1024
+FEW, PAIRS, SLOTS, WORDS = 8, 2048, 128, 1024
 _random = np.random.default_rng(7)
 XOR, TIMES = (_random.integers(0, 2**63, (SKETCHES, 1), np.uint64) for _ in range(2))
 TIMES |= np.uint64(1)
