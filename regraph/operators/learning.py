@@ -131,13 +131,21 @@ def query_next(scores: DataFrame, labelled: DataFrame, many: int, how: str = "un
     raise ValueError(how)
 
 
-def learned(samples: DataFrame, features: DataFrame, first: float = 0.035, chunk: int = 10, rounds: int = 3, how: str = "uncertain", trees: int = 32, seed: int = 1):
-    """(model, labelled) of an active loop: a first share at random, then chunks of answers, the forest fitted anew each time."""
+def learned(samples: DataFrame, features: DataFrame, first: float = 0.035, chunk: int = 10, rounds: int = 3, how: str = "uncertain", trees: int = 32, seed: int = 1, beliefs: DataFrame | None = None):
+    """(model, labelled) of an active loop: a first share at random, then chunks of answers, the forest fitted anew each time.
+
+    how="risk" needs beliefs(node1, node2, belief), as propagated from labels; edges without one count as 0.
+    """
+    if how == "risk" and beliefs is None:
+        raise ValueError("asking by risk needs beliefs")
     n = samples.count()
     labelled = kept(samples.orderBy(F.xxhash64("node1", "node2", F.lit(seed))).limit(max(10, int(first * n))))
     model = fit_classifier(labelled, trees=trees, seed=seed)
     for r in range(rounds):
-        asked = query_next(scored_edges(model, features), labelled, chunk, how, seed + r)
+        scores = scored_edges(model, features)
+        if beliefs is not None:
+            scores = scores.join(beliefs.select("node1", "node2", "belief"), ["node1", "node2"], "left").fillna({"belief": 0.0})
+        asked = query_next(scores, labelled, chunk, how, seed + r)
         answers = samples.join(asked.select("node1", "node2"), ["node1", "node2"], "left_semi")
         labelled = kept(labelled.unionByName(answers.select(*labelled.columns)))
         model = fit_classifier(labelled, trees=trees, seed=seed + r)

@@ -446,8 +446,9 @@ def constrained_edges(spark, sf):
     return gr.constrained(edges, pairs)
 
 
-CC_SQL = """r AS (SELECT id AS i, id AS j FROM (SELECT node1 AS id FROM low UNION SELECT node2 FROM low)
- UNION SELECT r.i, CASE WHEN l.node1 = r.j THEN l.node2 ELSE l.node1 END FROM r JOIN low l ON l.node1 = r.j OR l.node2 = r.j),
+#: Every round each node takes the smallest label around it; 40 rounds are enough for the whole part graph, whose components are dense.
+CC_SQL = """lb AS (SELECT node1 a, node2 b FROM low UNION SELECT node2, node1 FROM low UNION SELECT node1, node1 FROM low UNION SELECT node2, node2 FROM low),
+r(n, i, j) AS (SELECT 0, a, min(b) FROM lb GROUP BY a UNION ALL SELECT max(n) + 1, a, min(j) FROM r JOIN lb ON b = i WHERE n < 40 GROUP BY a),
 cc AS (SELECT i AS old, min(j) AS "new" FROM r GROUP BY i)"""
 
 
@@ -487,35 +488,40 @@ w(head, id, prob, n) AS (SELECT a, b, p, 1 FROM near WHERE a IN ({heads}) AND p
 SELECT head, id, round(max(prob), 6) AS prob FROM w GROUP BY 1, 2"""
 
 
-@query(path_sql(3, 0.6, "SELECT id FROM nodes WHERE id % 5 = 0"))
+#: The bodies that paths are asked for: the 25 largest, as in largest_bodies.
+HEADS_SQL = "SELECT id FROM nodes ORDER BY size DESC, id LIMIT 25"
+
+
+@query(path_sql(3, 0.6, HEADS_SQL))
 def affinity_pairs(spark, sf):
+    """Best paths from the largest bodies."""
     nodes, edges = part_graph(spark, sf)
-    return gr.best_paths(edges, nodes.where("id % 5 = 0"), 0.6, 3).select("head", "id", F.round("prob", 6).alias("prob"))
+    return gr.best_paths(edges, nodes.orderBy(F.desc("size"), "id").limit(25), 0.6, 3).select("head", "id", F.round("prob", 6).alias("prob"))
 
 
-@query(path_sql(3, 0.6, "SELECT id FROM nodes WHERE size >= 25").replace("SELECT head, id, round", "SELECT head, id, round").replace("FROM w GROUP BY 1, 2", "FROM w WHERE head < id AND id IN (SELECT id FROM nodes WHERE size >= 25) GROUP BY 1, 2"))
+@query(path_sql(3, 0.6, HEADS_SQL).replace("FROM w GROUP BY 1, 2", f"FROM w WHERE head < id AND id IN ({HEADS_SQL}) GROUP BY 1, 2"))
 def important_paths(spark, sf):
-    """Best paths between bodies of a given size, each pair once."""
+    """Best paths between the largest bodies, each pair once."""
     nodes, edges = part_graph(spark, sf)
-    big = nodes.where("size >= 25").select("id")
+    big = nodes.orderBy(F.desc("size"), "id").limit(25).select("id")
     return gr.best_paths(edges, big, 0.6, 3).where("head < id").join(big, "id", "left_semi").select("head", "id", F.round("prob", 6).alias("prob"))
 
 
 @query(name="graph_certainty")
 def graph_certainty(spark, sf):
-    nodes, edges = part_graph(spark, sf, whole=True)
+    nodes, edges = part_graph(spark, sf)
     return gr.graph_uncertainty(nodes, edges)
 
 
 @query(name="agglomerated_graph")
 def agglomerated_graph(spark, sf):
-    nodes, edges = part_graph(spark, sf, whole=True)
+    nodes, edges = part_graph(spark, sf)
     return gr.agglomerated(nodes, edges.select("node1", "node2", "edge_size", "weight"), 0.2)[1].select("node1", "node2", "edge_size", F.round("weight", 6).alias("weight"))
 
 
 @query(name="agglomeration_mapping")
 def agglomeration_mapping(spark, sf):
-    nodes, edges = part_graph(spark, sf, whole=True)
+    nodes, edges = part_graph(spark, sf)
     return gr.agglomerated(nodes, edges.select("node1", "node2", "edge_size", "weight"), 0.2)[2]
 
 
@@ -648,19 +654,19 @@ def logistic_belief(spark, sf):
 
 
 @query("""SELECT a.vec_id id1, b.vec_id id2, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0.9""")
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 1.1""")
 def similar_vectors(spark, sf):
     v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return ft.similar_pairs(v, 0.9)
+    return ft.similar_pairs(v, 1.1)
 
 
 @query("""WITH p AS (SELECT a.vec_id i, b.vec_id j, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) d
- FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 0.9)
-SELECT id, round(sum(exp(-d * d / (0.5 * 0.81))), 5) AS degree FROM (SELECT i id, d FROM p UNION ALL SELECT j, d FROM p) GROUP BY id""")
+ FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) < 1.1)
+SELECT id, round(sum(exp(-d * d / (0.5 * 1.21))), 5) AS degree FROM (SELECT i id, d FROM p UNION ALL SELECT j, d FROM p) GROUP BY id""")
 def affinity_degrees(spark, sf):
     p = similar_vectors(spark, sf)
     both = p.select(F.col("id1").alias("id"), "distance").unionAll(p.select("id2", "distance"))
-    return both.groupBy("id").agg(F.round(F.sum(ft.gaussian(F.col("distance"), 0.9)), 5).alias("degree"))
+    return both.groupBy("id").agg(F.round(F.sum(ft.gaussian(F.col("distance"), 1.1)), 5).alias("degree"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings")
@@ -697,7 +703,7 @@ def propagated_beliefs(spark, sf):
 
     e = load(spark, sf, "embeddings")
     seeds = e.where("vec_id < 50").select(F.col("vec_id").alias("id"), F.when(F.col("label") == 0, 1.0).otherwise(-1.0).alias("label"))
-    return propagated(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), seeds, 0.9)
+    return propagated(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), seeds, 1.1)
 
 
 @query(with_rag("""SELECT node1, node2, round(1 - CASE WHEN e.edge_size < 2 THEN 0 ELSE greatest(e.edge_size / a.t, e.edge_size / b.t) END, 6) AS weight FROM edges e
@@ -726,6 +732,6 @@ def edge_mode_questions(spark, sf):
 def body_mode_questions(spark, sf):
     from ..operators.editing import Session
 
-    s = Session(*part_graph(spark, sf, whole=True))
+    s = Session(*part_graph(spark, sf))
     s.set_body_mode(15, hops=2, upper=0.5)
     return s.ranked().select("node1", "node2", F.round("rank_value", 9).alias("rank_value"))

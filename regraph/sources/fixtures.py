@@ -37,12 +37,9 @@ g AS (
 )"""
 
 
-def part_graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(nodes(id, size, boundary_size), edges(node1, node2, edge_size, weight)): parts bought together.
-
-    Only one part in 8, as in RAG_SQL, unless whole.
-    """
-    items = load(spark, sf_dir, "lineitem").where("true" if whole else "l_partkey % 8 = 0").select("l_orderkey", (F.col("l_partkey") + 1).alias("id"), "l_linenumber")
+def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes(id, size, boundary_size), edges(node1, node2, edge_size, weight)): parts bought together."""
+    items = load(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") + 1).alias("id"), "l_linenumber")
     nodes = items.groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("l_linenumber") == 7, 1).otherwise(0)).alias("boundary_size"))
     own = items.select("l_orderkey", "id").distinct()
     pairs = own.select("l_orderkey", F.col("id").alias("node1")).join(own.select("l_orderkey", F.col("id").alias("node2")), "l_orderkey").where("node1 < node2")
@@ -51,7 +48,7 @@ def part_graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[D
 
 
 RAG_SQL = """
-i AS (SELECT l_orderkey o, l_partkey + 1 id, l_linenumber n FROM lineitem WHERE l_partkey % 8 = 0
+i AS (SELECT l_orderkey o, l_partkey + 1 id, l_linenumber n FROM lineitem
 ), nodes AS (SELECT id, count(*) size, CAST(sum(CASE WHEN n = 7 THEN 1 ELSE 0 END) AS BIGINT) boundary_size FROM i GROUP BY id
 ), d AS (SELECT DISTINCT o, id FROM i
 ), edges AS (
@@ -62,7 +59,7 @@ i AS (SELECT l_orderkey o, l_partkey + 1 id, l_linenumber n FROM lineitem WHERE
 
 def synapse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """synapses(syn, pos, x, y, z): orders as synapses, their first line the T-bar and the others its partners."""
-    items = load(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0")
+    items = load(spark, sf_dir, "lineitem")
     rows = items.groupBy(F.col("l_orderkey").alias("syn"), F.col("l_linenumber").cast("int").alias("pos")).agg(F.min("l_partkey").alias("p"))
     return rows.select("syn", "pos", (F.col("syn") % 24).cast("int").alias("x"), (F.col("p") % 24).cast("int").alias("y"), F.col("pos").alias("z"))
 
@@ -70,5 +67,5 @@ def synapse_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 SYN_SQL = """
 syn AS (
   SELECT l_orderkey syn, CAST(l_linenumber AS INT) pos, CAST(l_orderkey % 24 AS INT) x, CAST(min(l_partkey) % 24 AS INT) y, CAST(l_linenumber AS INT) z
-  FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY l_orderkey, l_linenumber
+  FROM lineitem GROUP BY l_orderkey, l_linenumber
 )"""

@@ -100,6 +100,24 @@ def test_agglomeration_of_a_hub_leaves_no_mergeable_edge(spark):
     assert rows(m, "old", "new") == [(i, 1) for i in range(2, 65)]
 
 
+def test_agglomeration_stops_at_confirmed_boundaries(spark):
+    """A boundary of weight over 1, a preserved and a false edge stay apart, also after their ends have met other bodies."""
+    nodes = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4, 5)], "id long, size long")
+    edges = spark.createDataFrame([(1, 2, 10, 1.2), (1, 3, 1, 0.05), (2, 3, 90, 0.1)], "node1 long, node2 long, edge_size long, weight double")
+    n, e, _ = gr.agglomerated(nodes.where("id < 4"), edges, 0.3)
+    assert rows(n, "id", "size") == [(1, 2), (2, 1)] and rows(e, "node1", "node2", "weight") == [(1, 2, 1.2)]
+    marked = spark.createDataFrame([(1, 2, 10, 0.1, True, False), (1, 3, 1, 0.05, False, False), (2, 3, 90, 0.1, False, False), (4, 5, 0, 0.0, False, True)], "node1 long, node2 long, edge_size long, weight double, preserve boolean, false_edge boolean")
+    n, e, _ = gr.agglomerated(nodes, marked, 0.3)
+    assert rows(n, "id", "size") == [(1, 2), (2, 1), (4, 1), (5, 1)]
+    assert rows(e, "node1", "node2", "preserve", "false_edge") == [(1, 2, True, False), (4, 5, False, True)]
+
+
+def test_degrees_leave_false_edges_out_of_the_border(spark):
+    nodes = spark.createDataFrame([(1, 7), (2, 0)], "id long, boundary_size long")
+    edges = spark.createDataFrame([(1, 2, 5, True), (1, 3, 4, False)], "node1 long, node2 long, edge_size long, false_edge boolean")
+    assert rows(gr.degrees(nodes, edges), "id", "degree", "border") == [(1, 2, 11), (2, 1, 0)]
+
+
 def test_coloring_is_proper_and_greedy(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "node1 long, node2 long")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 9)], "id long")
