@@ -114,7 +114,7 @@ def agglomerated(nodes: DataFrame, edges: DataFrame, threshold: float, synapse_m
     """
     mapping, marks = None, {"preserve": F.bool_or("preserve"), "false_edge": F.bool_and("false_edge")}
     edges = edges.select("node1", "node2", "edge_size", "weight", *((F.coalesce(c, F.lit(False)) if c in edges.columns else F.lit(False)).alias(c) for c in marks))
-    mean = F.coalesce(F.sum(F.col("weight") * F.col("edge_size")) / F.sum("edge_size"), F.max("weight"))
+    mean = F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col("edge_size")), F.sum("edge_size").cast("double")), F.max("weight"))
     while True:
         open_ = edges.where((F.col("weight") <= threshold) & valid_edge(synapse_mode))
         pick = endpoints(open_, "weight", F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).groupBy("id").agg(F.min(F.struct("weight", "a", "b")).alias("e"))
@@ -122,12 +122,12 @@ def agglomerated(nodes: DataFrame, edges: DataFrame, threshold: float, synapse_m
         step = kept(chosen.select(F.col("e.b").alias("old"), F.col("e.a").alias("new")))
         if not step.limit(1).count():
             break
-        nodes = kept(relabelled(nodes, step, "id").groupBy("id").agg(*[F.sum(c).alias(c) for c in nodes.columns if c != "id"]))
         moved = canonical(relabelled(edges, step, "node1", "node2")).where("node1 != node2")
         edges = kept(moved.groupBy("node1", "node2").agg(F.sum("edge_size").alias("edge_size"), F.when(F.max("weight") > 1, F.max("weight")).otherwise(mean).alias("weight"), *(f.alias(c) for c, f in marks.items())))
         mapping = step if mapping is None else kept(relabelled(mapping, step, "new").unionByName(step))
     if mapping is None:
         mapping = nodes.sparkSession.createDataFrame([], "old long, new long")
+    nodes = kept(relabelled(nodes, mapping, "id").groupBy("id").agg(*[F.sum(c).alias(c) for c in nodes.columns if c != "id"]))
     return nodes, edges, mapping
 
 
