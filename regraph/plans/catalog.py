@@ -718,6 +718,146 @@ def overlap_weights(spark, sf):
     return weights(nodes, edges, cutoff=2).select("node1", "node2", F.round("weight", 6).alias("weight"))
 
 
+# --- inclusions and passes -----------------------------------------------------------------------
+
+
+#: Without each node x in turn: the inner nodes that still reach the boundary. The outermost x that a node needs encloses it.
+@query(with_rag(""", nb AS (SELECT node1 a, node2 b FROM edges WHERE weight <= 0.04 UNION SELECT node2, node1 FROM edges WHERE weight <= 0.04),
+inner_ AS (SELECT id FROM nodes WHERE boundary_size = 0), outer_ AS (SELECT id FROM nodes WHERE boundary_size > 0),
+near AS (SELECT a, b FROM nb JOIN inner_ ON b = id), c AS (SELECT DISTINCT a x FROM nb UNION ALL SELECT -1),
+r(x, id) AS (SELECT x, b FROM near JOIN outer_ ON a = outer_.id JOIN c ON x <> a AND x <> b UNION SELECT x, b FROM r JOIN near ON a = id WHERE b <> x),
+d AS (SELECT v.id, c.x FROM (SELECT id FROM r WHERE x = -1) v JOIN c ON c.x <> v.id AND c.x <> -1 LEFT JOIN r ON r.x = c.x AND r.id = v.id WHERE r.id IS NULL)
+SELECT id AS old, x AS "new" FROM d WHERE x NOT IN (SELECT id FROM d)""").replace("WITH ", "WITH RECURSIVE ", 1).replace(" , nb", ", nb"))
+def merged_inclusions(spark, sf):
+    """Bodies that likely merges (weight <= 0.04) link with the boundary through one other body only."""
+    from ..operators.inclusions import inclusions
+
+    nodes, edges = part_graph(spark, sf)
+    return inclusions(nodes, edges.where("weight <= 0.04"))
+
+
+def _mito_graph(spark, sf):
+    v = voxel_grid(spark, sf)
+    return rg.rag_nodes(v).join(rg.mito_nodes(v, least=0.4).select("id", "mito_type"), "id"), rg.rag_edges(v)
+
+
+@query(with_near(""", e AS (SELECT least(label, nbr) a, greatest(label, nbr) b, count(*) n FROM (SELECT DISTINCT x, y, z, label, nbr FROM near WHERE label <> 0 AND nbr <> 0 AND label <> nbr) GROUP BY 1, 2),
+k AS (SELECT label id, count(*) size, sum(edge) boundary FROM (SELECT x, y, z, label, max(CASE WHEN nbr = 0 THEN 1 ELSE 0 END) edge FROM near WHERE label <> 0 GROUP BY x, y, z, label) GROUP BY 1),
+t AS (SELECT seg id, round(avg(p1), 6) >= 0.4 AS mito FROM vox WHERE seg <> 0 GROUP BY 1),
+b AS (SELECT a i, b j, n FROM e UNION ALL SELECT b, a, n FROM e), s AS (SELECT i, sum(n) n FROM b GROUP BY i),
+q AS (SELECT b.i, b.j, b.n / (s.n + k.boundary) AS ratio FROM b JOIN s ON s.i = b.i JOIN k ON k.id = b.i JOIN k o ON o.id = b.j JOIN t ON t.id = b.i JOIN t u ON u.id = b.j WHERE t.mito AND NOT u.mito AND k.size <= o.size)
+SELECT CAST(i AS BIGINT) mito, CAST(j AS BIGINT) other, round(1 - ratio, 9) AS "key" FROM q WHERE ratio <= 1""").replace(" , e", ", e"))
+def mito_priorities(spark, sf):
+    from ..operators.passes import mito_keys
+
+    return mito_keys(*_mito_graph(spark, sf)).select("mito", "other", F.round("key", 9).alias("key"))
+
+
+@query(name="mito_agglomeration")
+def mito_agglomeration(spark, sf):
+    from ..operators.passes import mito_merged
+
+    return mito_merged(*_mito_graph(spark, sf))
+
+
+@query(name="two_step_agglomeration")
+def two_step_agglomeration(spark, sf):
+    from ..operators.passes import two_step
+
+    v = voxel_grid(spark, sf)
+    weight = ((F.col("node1") * 31 + F.col("node2") * 17) % 100).cast("double") / F.lit(100.0)
+    return two_step(rg.rag_nodes(v), rg.rag_edges(v).withColumn("weight", weight), 0.2)
+
+
+@query(with_rag("""SELECT node1, node2, round(CAST(('0x' || substr(md5(node1 || '-' || node2 || '-1'), 1, 8)) AS BIGINT) / 4294967296.0 * 0.3, 9) AS priority FROM edges WHERE weight <= 0.3"""))
+def random_priorities(spark, sf):
+    from ..operators.passes import random_priority
+
+    return random_priority(part_graph(spark, sf)[1], 0.3).select("node1", "node2", F.round("priority", 9).alias("priority"))
+
+
+@query(name="greedy_seeds")
+def greedy_seeds(spark, sf):
+    from ..operators.passes import greedy_seeds as seeds
+
+    return seeds(*part_graph(spark, sf))
+
+
+@query(path_sql(3, 0.6, HEADS_SQL).replace("SELECT head, id, round(max(prob), 6) AS prob FROM w GROUP BY 1, 2", f""", big AS ({HEADS_SQL}),
+p AS (SELECT head, id, round(max(prob), 9) AS prob FROM w WHERE id NOT IN (SELECT id FROM big) GROUP BY 1, 2),
+q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prob DESC, head DESC) turn FROM p), gt AS (SELECT p_partkey + 1 id, p_size gt FROM part),
+k AS (SELECT size, CASE WHEN s.gt = l.gt THEN 1 WHEN s.gt IN (SELECT gt FROM gt JOIN big USING (id)) THEN 2 ELSE 3 END kind FROM q JOIN nodes USING (id) JOIN gt s ON s.id = q.id JOIN gt l ON l.id = head WHERE turn <= 2)
+SELECT count(*) FILTER (kind = 1) correct, CAST(coalesce(sum(size) FILTER (kind = 1), 0) AS BIGINT) correct_size, count(*) FILTER (kind = 2) incorrect, CAST(coalesce(sum(size) FILTER (kind = 2), 0) AS BIGINT) incorrect_size,
+ count(*) FILTER (kind = 3) orphan, CAST(coalesce(sum(size) FILTER (kind = 3), 0) AS BIGINT) orphan_size, (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT id FROM big)) - count(*) FILTER (kind = 1) AS "left" FROM k""").replace("\n, big", ", big"))
+def small_segment_work(spark, sf):
+    """Fragments against the 25 largest bodies; a part's size stands for its ground truth."""
+    from ..operators.passes import small_segments
+
+    nodes, edges = part_graph(spark, sf)
+    big = nodes.orderBy(F.desc("size"), "id").limit(25).select("id")
+    paths = gr.best_paths(edges, big, 0.6, 3).withColumn("prob", F.round("prob", 9))
+    gt = load(spark, sf, "part").select((F.col("p_partkey") + 1).alias("id"), F.col("p_size").alias("gt"))
+    return small_segments(paths, big, nodes, gt)
+
+
+@query(path_sql(3, 0.6, HEADS_SQL).replace("SELECT head, id, round(max(prob), 6) AS prob FROM w GROUP BY 1, 2", f"""SELECT *, row_number() OVER (ORDER BY prob DESC, head DESC, id DESC) AS place
+FROM (SELECT head, id, round(max(prob), 6) AS prob FROM w WHERE head < id AND id IN ({HEADS_SQL}) GROUP BY 1, 2)"""))
+def ranked_paths(spark, sf):
+    """The paths between the 25 largest bodies, best first: at most 300 rows in the window's one task."""
+    from pyspark.sql import Window
+
+    return important_paths(spark, sf).withColumn("place", F.row_number().over(Window.orderBy(F.desc("prob"), F.desc("head"), F.desc("id"))).cast("long"))
+
+
+@query(with_rag(""", s AS (SELECT l_partkey + 1 id, count(*) synapses FROM lineitem WHERE l_quantity > 48 GROUP BY 1)
+SELECT count(*) bodies, CAST(coalesce(sum(synapses), 0) AS BIGINT) synapses FROM nodes JOIN s USING (id) WHERE boundary_size = 0 AND synapses >= 2""").replace(" , s", ", s"))
+def orphan_synapse_bodies(spark, sf):
+    nodes, _ = part_graph(spark, sf)
+    syn = load(spark, sf, "lineitem").where("l_quantity > 48").groupBy((F.col("l_partkey") + 1).alias("id")).agg(F.count(F.lit(1)).alias("synapses"))
+    return nodes.join(syn, "id").where("boundary_size = 0 and synapses >= 2").agg(F.count(F.lit(1)).alias("bodies"), F.coalesce(F.sum("synapses"), F.lit(0)).alias("synapses"))
+
+
+@query(with_near(""", loc AS (SELECT node1, node2, x, y, z FROM (
+ SELECT *, row_number() OVER (PARTITION BY node1, node2 ORDER BY strength DESC, z) k FROM (
+  SELECT CAST(least(label, nbr) AS BIGINT) node1, CAST(greatest(label, nbr) AS BIGINT) node2, z, count(*) strength, max(y * 1000 + x) // 1000 y, max(y * 1000 + x) % 1000 x
+  FROM near WHERE label <> 0 AND nbr <> 0 AND label <> nbr GROUP BY 1, 2, z)) WHERE k = 1),
+l AS (SELECT loc.*, seg = node2 AS two, CASE WHEN seg = node2 THEN node1 ELSE node2 END other FROM loc JOIN vox USING (x, y, z)),
+s AS (SELECT * FROM (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, -1, 0, 0), (3, 0, -1, 0), (4, 0, 0, -1)) t(turn, dx, dy, dz)),
+f AS (SELECT node1, node2, min(turn) turn FROM l CROSS JOIN s JOIN vox v ON v.x = l.x + dx AND v.y = l.y + dy AND v.z = l.z + dz AND v.seg = other GROUP BY 1, 2),
+m AS (SELECT l.*, coalesce(l.x + dx, l.x) nx, coalesce(l.y + dy, l.y) ny, coalesce(l.z + dz, l.z + 1) nz FROM l LEFT JOIN f USING (node1, node2) LEFT JOIN s USING (turn))
+SELECT node1, node2, CASE WHEN two THEN nx ELSE x END x1, CASE WHEN two THEN ny ELSE y END y1, CASE WHEN two THEN nz ELSE z END z1,
+ CASE WHEN two THEN x ELSE nx END x2, CASE WHEN two THEN y ELSE ny END y2, CASE WHEN two THEN z ELSE nz END z2 FROM m""").replace(" , loc", ", loc"))
+def edge_second_locations(spark, sf):
+    from ..operators.passes import second_locations
+
+    v = voxel_grid(spark, sf)
+    return second_locations(rg.edge_locations(v), v)
+
+
+@query(with_vox(""", o AS (SELECT * FROM (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)) t(dx, dy, dz)),
+pairs AS (SELECT a.z > 3 AS h, a.x, a.y, a.z, CAST(least(a.seg, b.seg) AS BIGINT) node1, CAST(greatest(a.seg, b.seg) AS BIGINT) node2 FROM vox a CROSS JOIN o JOIN vox b ON b.x = a.x + dx AND b.y = a.y + dy AND b.z = a.z + dz
+ WHERE (a.z > 3) = (b.z > 3) AND a.seg <> 0 AND b.seg <> 0 AND a.seg <> b.seg),
+planes AS (SELECT h, node1, node2, z, count(*) n, max(y * 1000 + x) yx FROM pairs GROUP BY 1, 2, 3, 4),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h, node1, node2 ORDER BY n DESC, z) k FROM planes) WHERE k = 1)
+SELECT node1, node2, CAST(total AS DOUBLE) AS weight, yx % 1000 x, yx // 1000 y, z FROM (
+ SELECT *, sum(n) OVER (PARTITION BY node1, node2) total, row_number() OVER (PARTITION BY node1, node2 ORDER BY n DESC, h) j FROM best) WHERE j = 1""").replace(" , o", ", o"))
+def combined_edge_states(spark, sf):
+    """Edges and locations of two half volumes, merged."""
+    from ..operators.passes import combined_states
+
+    v = voxel_grid(spark, sf)
+    halves = [rg.edge_locations(v.where(c)).withColumnRenamed("strength", "weight") for c in ("z <= 3", "z > 3")]
+    return combined_states(*halves)
+
+
+@query(with_rag("SELECT node1, node2, 1 - weight AS save_prob, 1 - weight AS orig_prob FROM edges"))
+def saved_probabilities(spark, sf):
+    from ..operators.passes import saved_probs
+
+    e = part_graph(spark, sf)[1].select("node1", "node2", F.col("weight").alias("orig_prob"), (1 - F.col("weight")).alias("save_prob"))
+    return saved_probs(e).select("node1", "node2", "save_prob", "orig_prob")
+
+
 # --- proofreading --------------------------------------------------------------------------------
 
 
