@@ -726,8 +726,8 @@ def overlap_weights(spark, sf):
 inner_ AS (SELECT id FROM nodes WHERE boundary_size = 0), outer_ AS (SELECT id FROM nodes WHERE boundary_size > 0),
 near AS (SELECT a, b FROM nb JOIN inner_ ON b = id), c AS (SELECT DISTINCT a x FROM nb UNION ALL SELECT -1),
 r(x, id) AS (SELECT x, b FROM near JOIN outer_ ON a = outer_.id JOIN c ON x <> a AND x <> b UNION SELECT x, b FROM r JOIN near ON a = id WHERE b <> x),
-d AS (SELECT v.id, c.x FROM (SELECT id FROM r WHERE x = -1) v JOIN c ON c.x <> v.id AND c.x <> -1 LEFT JOIN r ON r.x = c.x AND r.id = v.id WHERE r.id IS NULL)
-SELECT id AS old, x AS "new" FROM d WHERE x NOT IN (SELECT id FROM d)""").replace("WITH ", "WITH RECURSIVE ", 1).replace(" , nb", ", nb"))
+needs AS (SELECT v.id, c.x FROM (SELECT id FROM r WHERE x = -1) v JOIN c ON c.x <> v.id AND c.x <> -1 LEFT JOIN r ON r.x = c.x AND r.id = v.id WHERE r.id IS NULL)
+SELECT id AS old, x AS "new" FROM needs WHERE x NOT IN (SELECT id FROM needs)""").replace("WITH ", "WITH RECURSIVE ", 1).replace(" , nb", ", nb"))
 def merged_inclusions(spark, sf):
     """Bodies that likely merges (weight <= 0.04) link with the boundary through one other body only."""
     from ..operators.inclusions import inclusions
@@ -755,9 +755,10 @@ def mito_priorities(spark, sf):
 
 @query(name="mito_agglomeration")
 def mito_agglomeration(spark, sf):
+    """With a threshold that yields rows: these grids' regions touch along long borders."""
     from ..operators.passes import mito_merged
 
-    return mito_merged(*_mito_graph(spark, sf))
+    return mito_merged(*_mito_graph(spark, sf), threshold=0.95)
 
 
 @query(name="two_step_agglomeration")
