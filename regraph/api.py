@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators.graph import agglomerated, best_paths, relabelled
+from .operators.inclusions import inclusions
 from .operators.learning import edge_features, fit_classifier, scored_edges, training_set
 from .operators.overlap import assignment, contingency
+from .operators.passes import mito_merged
 from .operators.rag import mito_nodes, rag_edges, rag_nodes
+from .operators.tables import kept
 
 
 def find_overlaps(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -17,16 +20,23 @@ def find_overlaps(one: DataFrame, two: DataFrame) -> DataFrame:
     return contingency(both)
 
 
-def agglomerate(voxels: DataFrame, channels: tuple[str, ...], model, threshold: float, label: str = "seg") -> DataFrame:
-    """voxels with labels merged: graph, edge scores by the model, contraction up to the threshold, one relabelling.
+def agglomerate(voxels: DataFrame, channels: tuple[str, ...], model, threshold: float, label: str = "seg", mito_channel: str | None = None) -> DataFrame:
+    """voxels with labels merged: inclusions go, edges are scored by the model and contracted up to the threshold, inclusions go again.
 
-    The toolkit's passes over inclusions and mitochondria are not built and left out.
+    With a mito_channel, mitochondria then merge into their neighbours. What they are is told from the
+    regions merged so far, and they take part in the contraction like any region.
     """
-    nodes = rag_nodes(voxels, (), label).select("id", "size")
+    # an enclosed region reads as its encloser from the start, so features are those of the merged regions
+    voxels = relabelled(voxels, kept(inclusions(rag_nodes(voxels, (), label), rag_edges(voxels, (), label))), label)
+    nodes = rag_nodes(voxels, (), label).select("id", "size", "boundary_size")
     edges = rag_edges(voxels, (), label)
     weights = scored_edges(model, edge_features(voxels, channels, label))
-    _, _, mapping = agglomerated(nodes, edges.join(weights, ["node1", "node2"]), threshold)
-    return relabelled(voxels, mapping, label)
+    nodes, edges, mapping = agglomerated(nodes, edges.join(weights, ["node1", "node2"]), threshold)
+    voxels = relabelled(relabelled(voxels, mapping, label), kept(inclusions(nodes, edges)), label)
+    if mito_channel is None:
+        return voxels
+    nodes = rag_nodes(voxels, (), label).join(mito_nodes(voxels, mito_channel, label=label).select("id", "mito_type"), "id")
+    return relabelled(voxels, mito_merged(nodes, rag_edges(voxels, (), label)), label)
 
 
 def learn(voxels: DataFrame, channels: tuple[str, ...], mito_channel: str | None = None, **options):

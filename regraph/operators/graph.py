@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import kept
+from .tables import kept, running_before
 
 CONFIRMED = 1.2
 
@@ -194,5 +194,4 @@ def uncertainty_histogram(edges: DataFrame, same: str = "same") -> DataFrame:
 
 def budgeted(rows: DataFrame, value: str, budget: float) -> DataFrame:
     """Bodies in descending value until the sum of those before exceeds the budget."""
-    w = Window.orderBy(F.desc(value), "id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum(value).over(w), F.lit(0))).where(F.col("before") <= budget)
+    return running_before(rows, value, F.desc(value), F.col("id")).where(F.col("before") <= budget)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import running_before
+
 
 def contingency(rows: DataFrame, seg: str = "seg", gt: str = "gt", weight: str | None = None) -> DataFrame:
     """(seg, gt, count) over rows in which neither label is 0."""
@@ -55,10 +57,9 @@ def overlap_matches(table: DataFrame, least: float = 0.5) -> DataFrame:
 
 def vi_report(by_label: DataFrame, threshold: float) -> DataFrame:
     """Labels in descending share while what remains is at least threshold."""
-    w = Window.orderBy(F.desc("vi"), "id").rowsBetween(Window.unboundedPreceding, -1)  # one row a label
     total = by_label.agg(F.sum("vi").alias("_t"))
-    before = F.coalesce(F.sum("vi").over(w), F.lit(0.0))
-    return by_label.join(F.broadcast(total)).withColumn("left", F.round(F.col("_t") - before, 6)).where(F.col("left") >= threshold).select("id", "vi", "left")
+    rows = running_before(by_label, "vi", F.desc("vi"), F.col("id")).join(F.broadcast(total))  # one row
+    return rows.withColumn("left", F.round(F.col("_t") - F.col("before"), 6)).where(F.col("left") >= threshold).select("id", "vi", "left")
 
 
 def unmerged_pairs(assigned: DataFrame, sizes: DataFrame, least: int) -> DataFrame:

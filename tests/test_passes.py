@@ -91,3 +91,18 @@ def test_random_priority_keeps_to_the_threshold(spark):
     got = [x["priority"] for x in ps.random_priority(e, 0.4).collect()]
     assert len(got) == 201 and 0 <= min(got) and max(got) < 0.4 and len(set(got)) == 201
     assert [x["priority"] for x in ps.random_priority(e, 0.4).collect()] == got != [x["priority"] for x in ps.random_priority(e, 0.4, 2).collect()]
+
+
+def test_running_sums_over_ranges(spark):
+    from regraph.operators.tables import running_before
+
+    r = random.Random(1)
+    values = [r.choice([3, 3, 7, 50, None]) for _ in range(200)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v long")
+    want, total = {}, 0
+    for v, i in sorted(((-v if v is not None else 1), i) for i, v in enumerate(values)):
+        want[i] = total
+        total += values[i] or 0
+    with_ranges = running_before(df.repartition(5), "v", F.desc_nulls_last("v"), F.col("id"))
+    assert {r["id"]: r["before"] for r in with_ranges.collect()} == want
+    assert running_before(df.limit(0), "v", F.desc("v"), F.col("id")).collect() == []
