@@ -195,3 +195,69 @@ def uncertainty_histogram(edges: DataFrame, same: str = "same") -> DataFrame:
 def budgeted(rows: DataFrame, value: str, budget: float) -> DataFrame:
     """Bodies in descending value until the sum of those before exceeds the budget."""
     return running_before(rows, value, F.desc(value), F.col("id")).where(F.col("before") <= budget)
+
+
+def uncertainty_distribution(edges: DataFrame, same: str = "same") -> DataFrame:
+    """(bin, merges, splits, cumulative_splits, cumulative_ideal) of all 101 bins of weight, empty ones too.
+
+    The ideal is the number of splits that weights which are true probabilities would give: each edge of bin i counts i / 100.
+    """
+    at = (F.floor(F.col("weight") * 100 + 0.5) % 101).cast("int")
+    bins = edges.groupBy(at.alias("bin")).agg(F.count_if(F.col(same)).alias("merges"), F.count_if(~F.col(same)).alias("splits"))
+    every = edges.sparkSession.range(101).select(F.col("id").cast("int").alias("bin")).join(bins, "bin", "left").na.fill(0)
+    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # 101 rows
+    ideal = F.sum((F.col("merges") + F.col("splits")) * F.col("bin") / F.lit(100.0)).over(w)
+    return every.select("bin", "merges", "splits", F.sum("splits").over(w).alias("cumulative_splits"), ideal.alias("cumulative_ideal"))
+
+
+def traced_paths(edges: DataFrame, heads: DataFrame, least: float, hops: int | None = None, affinity: Column | None = None) -> DataFrame:
+    """(head, id, prob, path): best_paths with the nodes of each path, from head to id.
+
+    Of equal products the path of fewest edges stays, then the one whose nodes are greatest in order.
+    A head reaches itself by no path; heads without edges give no rows.
+    """
+    p = affinity if affinity is not None else 1 - F.col("weight")
+    near = kept(endpoints(edges.withColumn("_p", p), "_p").where("_p > 0.000001"))
+    first = near.join(heads.select("id").distinct(), "id", "left_semi").where(F.col("_p") >= least)
+    best = front = kept(first.select(F.col("id").alias("head"), F.col("other").alias("id"), F.col("_p").alias("prob"), F.array("id", "other").alias("path")))
+    done = 1
+    while hops is None or done < hops:
+        done += 1
+        step = front.join(near, "id").where(F.col("head") != F.col("other")).select("head", F.col("other").alias("id"), (F.col("prob") * F.col("_p")).alias("prob"), F.concat("path", F.array("other")).alias("path"))
+        step = step.where(F.col("prob") >= least).groupBy("head", "id").agg(F.max(F.struct("prob", "path")).alias("_s")).select("head", "id", "_s.*")
+        old = best.select("head", "id", F.col("prob").alias("_old"))
+        front = kept(step.join(old, ["head", "id"], "left").where("_old is null or prob > _old + 1e-12").select("head", "id", "prob", "path"))
+        if front.isEmpty():
+            break
+        best = kept(best.join(front, ["head", "id"], "left_anti").unionByName(front))
+    return best
+
+
+def path_affinity(edges: DataFrame, pairs: DataFrame, least: float = 0.01, hops: int | None = None) -> DataFrame:
+    """(head, id, prob) of pairs(head, id): the best path's product of affinities; 0 where no path reaches `least`."""
+    asked = pairs.select("head", "id").distinct()
+    found = best_paths(edges, asked.select(F.col("head").alias("id")).distinct(), least, hops)
+    return asked.join(found, ["head", "id"], "left").na.fill(0.0, ["prob"])
+
+
+def neighbourhood(edges: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The edges that touch one of bodies(id) at either end, each once."""
+    ids = bodies.select("id").distinct()
+    marks = [ids.select(F.col("id").alias(n), F.lit(True).alias(f"_{n}")) for n in ("node1", "node2")]
+    return edges.join(marks[0], "node1", "left").join(marks[1], "node2", "left").where("_node1 or _node2").select(*edges.columns)
+
+
+def plane_weights(edges: DataFrame, span: int = 200_000) -> DataFrame:
+    """edges between ids composed by plane: weight -1 where both ends are one label of two planes."""
+    return edges.withColumn("weight", F.when(F.col("node1") % span == F.col("node2") % span, F.lit(-1.0)).otherwise(F.col("weight")))
+
+
+def located(edges: DataFrame, locations: DataFrame) -> DataFrame:
+    """edges with x, y, z of locations(node1, node2, x, y, z); edges without one, as false ones are, get (0, 0, 0)."""
+    at = locations.select("node1", "node2", "x", "y", "z")
+    return edges.drop("x", "y", "z").join(at, ["node1", "node2"], "left").na.fill(0, ["x", "y", "z"])
+
+
+def emitted(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) with a size: what is written when features are handed on."""
+    return nodes.where("size > 0"), edges.where("edge_size > 0")

@@ -66,3 +66,18 @@ def unmerged_pairs(assigned: DataFrame, sizes: DataFrame, least: int) -> DataFra
     """(gt, bodies, pairs): pairs of large bodies that share a ground-truth label."""
     large = assigned.join(sizes.where(F.col("size") > least), F.col("seg") == F.col("id"))
     return large.groupBy("gt").agg(F.count(F.lit(1)).alias("bodies")).withColumn("pairs", F.expr("bodies * (bodies - 1) div 2"))
+
+
+def match_counts(matches: DataFrame) -> DataFrame:
+    """One row of overlap_matches: pairs, distinct segments and distinct ground-truth labels matched."""
+    return matches.agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("seg").alias("segs"), F.countDistinct("gt").alias("gts"))
+
+
+def synapse_violations(points: DataFrame) -> DataFrame:
+    """One row on points(syn, pos, body, gt): pairs of one synapse that share a body, of these the ones of different gt, pairs that share a gt,
+    points, synapses and synapses with a pair that shares a body but not a gt. Background counts as a body."""
+    other = points.toDF(*[f"{c}2" for c in points.columns])
+    pairs = points.join(other, F.col("syn") == F.col("syn2")).where("pos < pos2")  # a synapse has few points
+    shared, one_gt = F.col("body") == F.col("body2"), F.col("gt") == F.col("gt2")
+    sums = pairs.agg(F.count_if(shared).alias("violations"), F.count_if(shared & ~one_gt).alias("true_violations"), F.count_if(one_gt).alias("gt_merges"), F.countDistinct(F.when(shared & ~one_gt, F.col("syn"))).alias("violated_synapses"))
+    return sums.join(points.agg(F.count(F.lit(1)).alias("points"), F.countDistinct("syn").alias("synapses")))  # two single rows

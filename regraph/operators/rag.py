@@ -110,3 +110,17 @@ def without_small(voxels: DataFrame, least: int, keep: DataFrame | None = None,
     if keep is not None:
         small = small.join(keep.select(F.col("id").alias("_id")), "_id", "left_anti")
     return voxels.join(small.select("_id"), F.col(label) == F.col("_id"), "left").withColumn(label, F.when(F.col("_id").isNotNull(), 0).otherwise(F.col(label)).cast("int")).drop("_id")
+
+
+def bodies_at(voxels: DataFrame, points: DataFrame, y_size: int, label: str = "seg") -> DataFrame:
+    """points(x, y, z, ...) with the body there: points count from the unpadded volume with y upwards, voxels are padded by one with y downwards.
+
+    Points outside have no body and are left out.
+    """
+    at = voxels.select((F.col("x") - 1).alias("x"), (F.lit(y_size - 2) - F.col("y")).alias("y"), (F.col("z") - 1).alias("z"), F.col(label).cast("long").alias("body"))
+    return points.join(at, ["x", "y", "z"])
+
+
+def unpadded_locations(locations: DataFrame) -> DataFrame:
+    """Edge locations of a volume padded by one, counted from the unpadded one."""
+    return locations.withColumns({c: F.col(c) - 1 for c in "xyz"})

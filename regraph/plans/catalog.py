@@ -859,6 +859,105 @@ def saved_probabilities(spark, sf):
     return saved_probs(e).select("node1", "node2", "save_prob", "orig_prob")
 
 
+@query(with_rag(""", b AS (SELECT CAST(floor(weight * 100 + 0.5) % 101 AS INT) bin, count(*) FILTER ((node1 + node2) % 3 = 0) merges, count(*) FILTER ((node1 + node2) % 3 <> 0) splits FROM edges GROUP BY 1),
+e AS (SELECT CAST(i AS INT) bin, coalesce(merges, 0) merges, coalesce(splits, 0) splits FROM range(101) t(i) LEFT JOIN b ON bin = i)
+SELECT *, CAST(sum(splits) OVER (ORDER BY bin) AS BIGINT) cumulative_splits, round(CAST(sum((merges + splits) * bin) OVER (ORDER BY bin) AS DOUBLE) / 100, 4) cumulative_ideal FROM e""").replace(" , b", ", b"))
+def uncertainty_distribution(spark, sf):
+    edges = part_graph(spark, sf)[1].withColumn("same", (F.col("node1") + F.col("node2")) % 3 == 0)
+    return gr.uncertainty_distribution(edges).withColumn("cumulative_ideal", F.round("cumulative_ideal", 4))
+
+
+@query(with_rag("SELECT node1, node2, edge_size, weight FROM edges WHERE node1 IN (SELECT id FROM nodes WHERE size > 35) OR node2 IN (SELECT id FROM nodes WHERE size > 35)"))
+def body_neighbourhood(spark, sf):
+    """Edges at either end of a list of bodies, to be scored."""
+    nodes, edges = part_graph(spark, sf)
+    return gr.neighbourhood(edges, nodes.where("size > 35"))
+
+
+#: Edges of the voxel grid's segments with a weight made of their ids.
+VOX_EDGES_SQL = """, e AS (SELECT CAST(least(label, nbr) AS BIGINT) node1, CAST(greatest(label, nbr) AS BIGINT) node2, count(*) n FROM near WHERE label <> 0 AND nbr <> 0 AND label <> nbr GROUP BY 1, 2),
+w0 AS (SELECT node1, node2, 1 - CAST((node1 * 31 + node2 * 17) % 100 AS DOUBLE) / CAST(100 AS DOUBLE) p FROM e),
+n2 AS (SELECT node1 a, node2 b, p FROM w0 UNION ALL SELECT node2, node1, p FROM w0),
+w(head, id, prob, n, path) AS (SELECT a, b, p, 1, [a, b] FROM n2 WHERE a <= 8 AND p >= 0.2
+ UNION SELECT head, b, prob * n2.p, n + 1, list_append(path, b) FROM w JOIN n2 ON a = id WHERE n < 3 AND prob * n2.p >= 0.2 AND b <> head)"""
+
+
+def with_vox_paths(body: str) -> str:
+    return f"WITH RECURSIVE {VOX_SQL}, {NEAR_SQL.strip()}{VOX_EDGES_SQL} {body}"
+
+
+def _vox_edges(spark, sf):
+    weight = ((F.col("node1") * 31 + F.col("node2") * 17) % 100).cast("double") / F.lit(100.0)
+    return rg.rag_edges(voxel_grid(spark, sf)).withColumn("weight", weight)
+
+
+@query(with_vox_paths("SELECT head, id, round(prob, 6) AS prob, array_to_string(path, ',') AS path FROM (SELECT *, row_number() OVER (PARTITION BY head, id ORDER BY round(prob, 11) DESC, n, path DESC) k FROM w) WHERE k = 1"))
+def path_hops(spark, sf):
+    """Best paths from segments 1 to 8 with the nodes on them."""
+    e = _vox_edges(spark, sf)
+    heads = gr.endpoints(e).select("id").where("id <= 8").distinct()
+    return gr.traced_paths(e, heads, 0.2, 3).select("head", "id", F.round("prob", 6).alias("prob"), F.array_join("path", ",").alias("path"))
+
+
+@query(with_vox_paths("""SELECT a.id AS head, b.id, round(coalesce(max(prob), 0), 6) AS prob FROM (SELECT DISTINCT node1 id FROM e WHERE node1 <= 8) a CROSS JOIN (SELECT DISTINCT node2 id FROM e WHERE node2 > 8) b
+LEFT JOIN w ON w.head = a.id AND w.id = b.id GROUP BY 1, 2"""))
+def pair_affinities(spark, sf):
+    """The affinity of segments 1 to 8 with the later ones, 0 where no path is good enough; few ids on either side."""
+    e = _vox_edges(spark, sf)
+    one, two = e.select(F.col("node1").alias("head")).where("head <= 8").distinct(), e.select(F.col("node2").alias("id")).where("id > 8").distinct()
+    return gr.path_affinity(e, one.join(two), 0.2, 3).select("head", "id", F.round("prob", 6).alias("prob"))
+
+
+@query(f"WITH {VOX_SQL.replace('vox AS', 'vox0 AS')}, vox AS (SELECT x, y, z, CASE WHEN seg = 0 THEN 0 ELSE (z + 3) * 200000 + seg END seg, p0, p1 FROM vox0), {NEAR_SQL} " + """SELECT node1, node2, edge_size,
+CASE WHEN node1 % 200000 = node2 % 200000 THEN -1 ELSE round(s / edge_size, 6) END::DOUBLE AS weight FROM (SELECT CAST(least(label, nbr) AS BIGINT) node1, CAST(greatest(label, nbr) AS BIGINT) node2, count(*) edge_size, sum(p0) s
+FROM (SELECT DISTINCT x, y, z, label, nbr, p0 FROM near WHERE label <> 0 AND nbr <> 0 AND label <> nbr) GROUP BY 1, 2)""")
+def superpixel_edges(spark, sf):
+    """The graph of labels by plane, weighted with the mean of the first channel."""
+    v = voxel_grid(spark, sf)
+    v = v.withColumn("seg", F.when(F.col("seg") == 0, 0).otherwise(ft.composed_id(F.col("z"), F.col("seg"), 3)))
+    e = rg.rag_edges(v, ("p0",)).withColumn("weight", F.round(F.col("p0_s1") / F.col("edge_size"), 6))
+    return gr.plane_weights(e).select("node1", "node2", "edge_size", "weight")
+
+
+@query(with_near(""", loc AS (SELECT node1, node2, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY node1, node2 ORDER BY strength DESC, z) k FROM (
+ SELECT CAST(least(label, nbr) AS BIGINT) node1, CAST(greatest(label, nbr) AS BIGINT) node2, z, count(*) strength, max(y * 1000 + x) // 1000 y, max(y * 1000 + x) % 1000 x
+ FROM near WHERE label <> 0 AND nbr <> 0 AND label <> nbr GROUP BY 1, 2, z)) WHERE k = 1),
+a AS (SELECT DISTINCT CAST(seg AS BIGINT) node1, CAST(seg + 1 AS BIGINT) node2 FROM vox WHERE seg <> 0)
+SELECT node1, node2, coalesce(x, 0) x, coalesce(y, 0) y, coalesce(z, 0) z FROM (SELECT node1, node2 FROM loc UNION SELECT node1, node2 FROM a) LEFT JOIN loc USING (node1, node2)""").replace(" , loc", ", loc"))
+def edge_locations_or_origin(spark, sf):
+    """Locations of all edges, false ones between consecutive ids included."""
+    v = voxel_grid(spark, sf)
+    found = rg.edge_locations(v)
+    asked = v.where("seg != 0").select(F.col("seg").cast("long").alias("node1"), (F.col("seg") + 1).cast("long").alias("node2"))
+    return gr.located(found.select("node1", "node2").union(asked).distinct(), found)
+
+
+@query(with_rag("SELECT node1, node2, edge_size FROM edges WHERE edge_size > 0"))
+def emitted_edges(spark, sf):
+    """Edges that are written as features: false edges, which have no size, are not."""
+    nodes, edges = part_graph(spark, sf)
+    asked = nodes.select(F.col("id").alias("node1"), (F.col("id") + 1).alias("node2"))
+    return gr.emitted(nodes, gr.constrained(edges, asked))[1].select("node1", "node2", "edge_size")
+
+
+@query(with_vox(f""", {VI_SQL} SELECT count(*) AS matches, count(DISTINCT seg) segs, count(DISTINCT gt) gts FROM v WHERE n / gs > 0.5 OR n / ss > 0.5""").replace(" , c", ", c"))
+def overlap_match_counts(spark, sf):
+    return ov.match_counts(ov.overlap_matches(ov.contingency(voxel_grid(spark, sf))))
+
+
+@query(f"WITH {VOX_SQL}, {SYN_SQL}, pts AS (SELECT syn, pos, CAST(seg AS BIGINT) body, gt FROM syn JOIN vox USING (x, y, z)), " + """p AS (SELECT a.syn, a.body = b.body s, a.gt = b.gt g FROM pts a JOIN pts b ON a.syn = b.syn AND a.pos < b.pos)
+SELECT count(*) FILTER (s) violations, count(*) FILTER (s AND NOT g) true_violations, count(*) FILTER (g) gt_merges, count(DISTINCT CASE WHEN s AND NOT g THEN syn END) violated_synapses,
+ (SELECT count(*) FROM pts) points, (SELECT count(DISTINCT syn) FROM pts) synapses FROM p""")
+def synapse_violations(spark, sf):
+    at = synapse_points(spark, sf).join(voxel_grid(spark, sf), ["x", "y", "z"])
+    return ov.synapse_violations(at.select("syn", "pos", F.col("seg").cast("long").alias("body"), "gt"))
+
+
+@query(f"WITH {VOX_SQL}, {SYN_SQL} SELECT syn, pos, CAST(seg AS BIGINT) body FROM syn s JOIN vox v ON v.x = s.x + 1 AND v.y = 24 - s.y - 2 AND v.z = s.z + 1")
+def synapse_bodies_unpadded(spark, sf):
+    return rg.bodies_at(voxel_grid(spark, sf), synapse_points(spark, sf), 24).select("syn", "pos", "body")
+
+
 # --- proofreading --------------------------------------------------------------------------------
 
 
