@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, mix64, table, text_or_empty, written
+from .common import WORD, mix64, table, text_or_empty, unused, written
 
 BLOCK, SHARD_SLOTS, MOST, SEED = 128, 4096, 3, 20240
 #: Documents of 2^FINE identifiers are added up first, then 2^COARSE.
@@ -182,19 +182,20 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, most: int = MOST, **opt
     """docs as the mix takes them: pass e of a document holds the words of its blocks drawn more than e times.
 
     The columns are those of docs; text has the taken words joined by one space and n_chars its
-    length. Documents of which nothing is taken are left out.
+    length; further columns of any name are kept. Documents of which nothing is taken are left out.
     """
     rows, slots, pieces, _ = mix(docs, block=block, most=most, **options)
     times = slots.groupBy("src", "block").agg(F.count(F.lit(1)).alias("times"))
     parts = pieces.join(times, ["src", "block"]).groupBy("doc_id", "src", "tie", "copies", "size").agg(F.collect_list(F.struct("start", "taken_words", "times")).alias("_parts"))
-    parts = parts.select(F.col("doc_id").alias("_id"), F.col("src").alias("_src"), F.col("tie").alias("_tie"), F.col("_parts"), (F.col("size") * 0).alias("_zero"))
-    named = docs.withColumns({"_tie2": F.xxhash64(text_or_empty()), "_src2": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))})
-    joined = named.join(parts, named["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_src2") == F.col("_src")) & (F.col("_tie2") == F.col("_tie"))).drop("_tie2", "_src2", "_id", "_src", "_tie", "_zero")
+    parts = parts.select(F.col("doc_id").alias("_id"), F.col("src").alias("_src"), F.col("tie").alias("_tie"), "_parts")
+    own, drawn_parts = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), unused(docs, "_parts")  # a struct: no name of docs meets one used here
+    named = docs.select(own.alias("row"), F.col("doc_id").cast("long").alias("_id2"), F.xxhash64(text_or_empty()).alias("_tie2"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("_src2"))
+    joined = named.join(parts, F.col("_id2").eqNullSafe(F.col("_id")) & (F.col("_src2") == F.col("_src")) & (F.col("_tie2") == F.col("_tie"))).select("row.*", F.col("_parts").alias(drawn_parts))
     schema = docs.schema
 
     def rebuild(batches):
         for batch in batches:
-            at, parts_at = batch.schema.get_field_index("text"), batch.schema.get_field_index("_parts")
+            at, parts_at = batch.schema.get_field_index("text"), batch.schema.get_field_index(drawn_parts)
             rows, texts = [], []
             for i in range(batch.num_rows):
                 words = np.array((batch.column(at)[i].as_py() or "").encode().split(), object)

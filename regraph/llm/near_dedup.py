@@ -405,7 +405,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """docs, with all their columns, without those whose class has a smaller doc_id."""
+    """docs, with all their columns, without those whose class has a smaller doc_id; rows that repeat the doc_id that stays are all kept."""
     name = unused(docs, "keep")
     keep = written(near_classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct())
     return docs.join(keep, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
