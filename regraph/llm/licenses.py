@@ -1,7 +1,10 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-1. Headers: the sentences and lines of a text that hold a licence cue. Distinct ones are scored once,
-   however many documents share them.
+1. Headers: the sentences and lines of a text that hold a licence cue, both as they stand and with
+   hard-wrapped lines joined (a line that goes on in lower case, behind a comment's leading marks). A
+   text named like a licence file is, with all its white space as one space, also a header as a
+   whole; if that reaches a template, it decides. Distinct headers are scored once, however many
+   documents share them.
 2. Terms weigh tf * (ln((1 + N) / (1 + df)) + 1) with df counted over all distinct headers and
    templates. The cosine to a template is a join on terms (templates are a small fixed table) and a
    sum; a header's licence is the template with the largest cosine of at least `least`, ties to the
@@ -12,7 +15,7 @@
    ancestors are joined to the directories by path, and the deepest match wins.
 
 Nulls, ties, odd input: null and empty texts have no licence of their own but inherit; a null path
-inherits nothing; repeated rows each get a row; an empty table gives no rows; input columns that
+inherits nothing; very long texts are scanned whole; repeated rows each get a row; an empty table gives no rows; input columns that
 have the names of the output are replaced.
 """
 
@@ -21,8 +24,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import SPACES, table, text_or_empty, written
 
+#: Public licence texts (fixed values).
+GPL_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+    "the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+)
+MIT_TEXT = (
+    "MIT License. Copyright (c). Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    'files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+    "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+    "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+BSD_START = (
+    "Copyright (c). All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES, HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, ARISING IN ANY "
+    "WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 #: Template statements (fixed values); several may stand for one licence.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -45,10 +75,18 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("Public-Domain", "This work is dedicated to the public domain under the CC0 license"),
+    ("GPL-3.0", GPL_NOTICE.format(3)),
+    ("GPL-2.0", GPL_NOTICE.format(2)),
+    ("MIT", MIT_TEXT),
+    ("BSD-3-Clause", f"{BSD_START} {BSD_NAMES} {BSD_END}"),
+    ("BSD-2-Clause", f"{BSD_START} {BSD_END}"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("All-Rights-Reserved", "Copyright. All rights reserved"),
     ("All-Rights-Reserved", "All rights reserved"),
 ]
-CUE = r"(?i)licen[sc]e|licensing|copyright|rights reserved|public domain|creative commons"
+CUE = r"(?i)licen[sc]e|licensing|copyright|rights reserved|public domain|creative commons|redistribution and use|permission is hereby granted"
+#: A line break in the middle of a sentence, with the comment marks before its next line.
+WRAP = r"(?<![.!?:\x20\x09\x0A\x0D])[\x20\x09]*\x0D?\x0A[\x20\x09]*(?:[#*;%]+|//+|--+|\|)?[\x20\x09]*(?=[a-z(])"
 BREAK = r"(?<=[.!?])[\x20\x09-\x0D]+|[\x0A\x0D]+"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
@@ -82,13 +120,17 @@ def scored_headers(headers: DataFrame, least: float = LEAST, templates=TEMPLATES
 def scan(docs: DataFrame, path: Column, least: float = LEAST, templates=TEMPLATES) -> DataFrame:
     """One row per row of docs: doc_id, path, license, score, origin (header, inherited or null), license_path."""
     rows = docs.select(F.col("doc_id"), path.alias("path"), text_or_empty().alias("text"))
-    rows = rows.withColumn("headers", F.when(F.col("text").rlike(CUE), F.filter(F.split("text", BREAK), lambda s: s.rlike(CUE))))
+    cued = lambda text: F.filter(F.split(text, BREAK), lambda s: s.rlike(CUE))
+    rows = rows.withColumn("headers", F.when(F.col("text").rlike(CUE), cued(F.col("text"))))
     whole = F.col("text").rlike(CUE) & (F.size("headers") >= 1) & (F.size(F.split(F.trim("text"), BREAK)) == F.size("headers"))
     named = F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
-    own = rows.where(F.size("headers") > 0).select("doc_id", "path", (whole | named).alias("is_file"), F.explode(F.array_distinct("headers")).alias("header"))
+    piece = lambda rank: lambda h: F.struct(F.lit(rank).alias("rank"), h.alias("header"))
+    pieces = F.transform(F.array_union("headers", cued(F.regexp_replace("text", WRAP, " "))), piece(1))
+    text = F.when(named, F.array(piece(0)(F.trim(F.regexp_replace("text", SPACES, " "))))).otherwise(F.slice(F.array(piece(0)(F.lit(""))), 1, 0))
+    own = rows.where(F.size("headers") > 0).select("doc_id", "path", (whole | named).alias("is_file"), F.explode(F.concat(text, pieces)).alias("_p")).select("doc_id", "path", "is_file", "_p.*")
     own = written(own)
     scores = written(scored_headers(own.select("header"), least, templates))
-    best = own.join(scores, "header").groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("_b"), F.max("is_file").alias("is_file"))
+    best = own.join(scores, "header").groupBy("doc_id", "path").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"), "license")).alias("_b"), F.max("is_file").alias("is_file"))
     best = written(best.select("doc_id", "path", F.col("_b.license").alias("license"), (-F.col("_b.s")).alias("score"), "is_file"))
     directory = F.regexp_replace("path", "[^/]*$", "")
     homes = best.where("is_file and path is not null").groupBy(directory.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"), "license")).alias("_h"))

@@ -418,3 +418,25 @@ def test_licenses(spark):
     }
     assert licenses.scan(df, F.col("path")).count() == 10
     assert licenses.scan(df.limit(0), F.col("path")).count() == 0
+
+
+def test_wrapped_headers_and_whole_licence_files(spark):
+    def wrap(text, mark=""):
+        out, line = [], mark
+        for w in text.split():
+            if len(line) + len(w) > 60:
+                out, line = [*out, line], mark
+            line += " " + w
+        return "\n".join([*out, line])
+
+    bsd = lambda *parts: "Copyright (c) 2011, Somebody\n\n" + wrap(" ".join(parts))
+    rows = [
+        (1, "a/x.py", wrap(licenses.GPL_NOTICE.format(3), "#") + "\n\nimport os"), (2, "a/y.c", "/*\n" + wrap(licenses.GPL_NOTICE.format(2), " *") + "\n */\nint main() {}"),
+        (3, "m/LICENSE", wrap(licenses.MIT_TEXT)), (4, "b/LICENSE.txt", bsd(licenses.BSD_START, licenses.BSD_NAMES, licenses.BSD_END)), (5, "c/COPYING", bsd(licenses.BSD_START, licenses.BSD_END)),
+        (6, "b/z.py", "code"), (7, "d/LICENSE", None), (8, "e/LICENSE", "the licence of " + "nothing " * 50_000),
+    ]
+    got = {r.doc_id: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert got == {
+        1: ("GPL-3.0", "header"), 2: ("GPL-2.0", "header"), 3: ("MIT", "header"), 4: ("BSD-3-Clause", "header"), 5: ("BSD-2-Clause", "header"),
+        6: ("BSD-3-Clause", "inherited"), 7: (None, None), 8: (None, None),
+    }
