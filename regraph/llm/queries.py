@@ -8,8 +8,10 @@ from .licenses import op10_licenses
 from .mixing import op3_mixing
 from .near_dedup import op2_near_dedup
 from .packing import op5_packing
+from .periodic_runs import op13_runs
 from .substring_dedup import op1_substring_dedup
 from .surrogates import op7_surrogates
+from .token_alignment import op11_alignment
 from .toxicity import op4_toxicity
 from .url_filter import OP6_SQL, op6_url_filter
 
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_licenses": op10_licenses,
+    "op11_alignment": op11_alignment,
+    "op13_runs": op13_runs,
 }
 
 ORACLE_SQL = {
