@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import table, text_slices, written
 
 #: Bytes of text in a block.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 
 #: White space of any tokenizer's pattern; text is never cut beside it (a few more than Unicode has).
 BLANK = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
@@ -71,30 +72,39 @@ def label_string(ends_a: np.ndarray, ends_b: np.ndarray) -> bytes:
 
 def scanned(labels: bytes) -> list[tuple[int, int]]:
     """(A tokens, B tokens) of each group."""
-    out = []
-    for span in SPAN.findall(labels):
-        out.append((span.count(1) + 1, span.count(2) + 1))
-    return out
-
-
-class Chunk:
-    """What an alignment makes of one chunk: token numbers, groups as text, linked pairs as a * n + b."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "links")
-
-    def __init__(self, a: list[int], b: list[int], lengths_a: np.ndarray, lengths_b: np.ndarray, n: int):
-        labels = label_string(np.cumsum(lengths_a[a]), np.cumsum(lengths_b[b]))
-        groups = scanned(labels)
+    return [(span.count(1) + 1, span.count(2) + 1) for span in SPAN.findall(labels)]
+
+
+class Alignments:
+    """What is made of some chunks: by chunk whether it is given back, its numbers of tokens and groups and its groups as text; links, as A id * n_b + B id, lie one after another."""
+
+    def __init__(self, good: np.ndarray, a: np.ndarray, sizes_a: np.ndarray, b: np.ndarray, sizes_b: np.ndarray, lengths_a: np.ndarray, lengths_b: np.ndarray):
+        """a, b: ids of the good chunks one after another; sizes: how many each chunk has, 0 if not good."""
+        n = len(good)
+        self.good, self.n_a, self.n_b = good, sizes_a, sizes_b
+        self.n_groups, self.n_links = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.texts, self.links = [""] * n, np.zeros(0, np.int64)
+        if not len(a):
+            return
+        labels = label_string(np.cumsum(lengths_a[a]), np.cumsum(lengths_b[b]))  # a chunk's bytes are as many for both
+        names_a, names_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        parts, ends = [], []
         at_a = at_b = 0
-        parts = []
-        for x, y in groups:
-            parts.append(",".join(map(str, a[at_a : at_a + x])) + "|" + ",".join(map(str, b[at_b : at_b + y])))
+        for x, y in scanned(labels):
+            parts.append(f"{names_a[at_a]}|{names_b[at_b]}" if x == y == 1 else ",".join(names_a[at_a : at_a + x]) + "|" + ",".join(names_b[at_b : at_b + y]))
             at_a, at_b = at_a + x, at_b + y
-        ends = np.frombuffer(labels, np.uint8)
-        ends = ends[ends != 0]
-        of_a, of_b = np.cumsum(ends & 1) - (ends & 1), np.cumsum(ends >> 1) - (ends >> 1)
-        self.n_a, self.n_b, self.n_groups, self.text = len(a), len(b), len(groups), ";".join(parts)
-        self.links = (np.asarray(a)[of_a] * n + np.asarray(b)[of_b]).tolist()
+            ends.append(at_a)
+        stops = np.searchsorted(np.array(ends), np.cumsum(sizes_a[good]))  # the last group of each good chunk
+        first = 0
+        for c, last in zip(np.flatnonzero(good).tolist(), stops.tolist()):
+            self.texts[c] = ";".join(parts[first : last + 1])
+            self.n_groups[c] = last + 1 - first
+            first = last + 1
+        marks = np.frombuffer(labels, np.uint8)
+        marks = marks[marks != 0].astype(np.int64)
+        of_a, of_b = np.cumsum(marks & 1) - (marks & 1), np.cumsum(marks >> 1) - (marks >> 1)
+        self.links = a[of_a] * len(lengths_b) + b[of_b]
+        self.n_links[good] = sizes_a[good] + sizes_b[good] - self.n_groups[good]  # one more end of a link for each token, but both in one at a group's end
 
 
 class Aligner:
@@ -118,15 +128,20 @@ class Aligner:
         self.lengths_a, self.lengths_b = np.array([len(x) for x in self.bytes_a]), np.array([len(x) for x in self.bytes_b])
         self.crossing = any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not self.b.is_control(i))
 
-    def align(self, chunks: list[str]) -> list[Chunk | None]:
-        """A Chunk of each text, which begins with a space; None where a tokenizer does not give it back."""
-        out = []
+    def align(self, chunks: list[str]) -> Alignments:
+        """Alignments of texts that begin with a space; good are those that both tokenizers give back."""
+        good, a, b = [], [], []
+        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
         ids_b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        for c, e, b in zip(chunks, self.a.encode_batch_fast(chunks, add_special_tokens=False), ids_b):
-            a, whole = e.ids, c.encode()
-            same = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
-            out.append(Chunk(a, b, self.lengths_a, self.lengths_b, self.n) if same and a and b else None)
-        return out
+        for c, e, y in zip(chunks, self.a.encode_batch_fast(chunks, add_special_tokens=False), ids_b):
+            x, whole = e.ids, c.encode()
+            same = b"".join(map(of_a, x)) == whole == b"".join(map(of_b, y))
+            good.append(same)
+            a.append(x if same else [])
+            b.append(y if same else [])
+        flat = [np.fromiter(chain.from_iterable(ids), np.int64) for ids in (a, b)]
+        sizes = [np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b)]
+        return Alignments(np.array(good, bool), flat[0], sizes[0], flat[1], sizes[1], self.lengths_a, self.lengths_b)
 
 
 def chunked(texts: pa.Array, whole: bool) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -152,7 +167,7 @@ def chunked(texts: pa.Array, whole: bool) -> tuple[np.ndarray, np.ndarray, list[
         first = np.flatnonzero(cut)[:-1] if len(codes) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(codes)))
         own = codes[first]
-        known = {c: i for i, c in enumerate(chunks)}
+        known: dict[str, int] = {}
         for k in np.flatnonzero(size > 1).tolist():  # white space beside a space: pieces stay together
             c = " ".join([chunks[x] for x in codes[first[k] : first[k] + size[k]].tolist()])
             if c not in known:
@@ -172,7 +187,7 @@ def chunked(texts: pa.Array, whole: bool) -> tuple[np.ndarray, np.ndarray, list[
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of values[offsets[i]:offsets[i + 1]]."""
     before = np.r_[0, np.cumsum(values)]
-    return before[offsets[1:]] - before[offsets[:-1]]
+    return before[offsets[1:]] - before[offsets[:-1]]  # of booleans, how many hold
 
 
 _aligners: dict = {}
@@ -196,36 +211,34 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int =
         for batch in batches:
             for part in text_slices(batch, "text", block_bytes):
                 offsets, codes, texts = chunked(part.column("text"), both.crossing)
-                found: list[Chunk | None] = []
+                found: list[Alignments] = []
                 at = 0
-                while at < len(texts):  # some MB of tokens at a time
+                while at < len(texts):  # some tokens at a time
                     end, size = at, 0
-                    while end < len(texts) and (end == at or size < 1 << 20):
+                    while end < len(texts) and (end == at or size < 1 << 19):
                         size += len(texts[end])
                         end += 1
-                    found += both.align(texts[at:end])
+                    found.append(both.align(texts[at:end]))
                     at = end
-                docs_n = len(part)
-                bad = np.array([c is None for c in found] or [False])
-                n_bad = sums(bad[codes].astype(np.int64), offsets) if len(codes) else np.zeros(docs_n, np.int64)
-                stay = n_bad == 0
-                codes = codes[np.repeat(stay, np.diff(offsets))]
-                offsets = np.r_[0, np.cumsum(np.where(stay, np.diff(offsets), 0))]
-                facts = np.array([(c.n_a, c.n_b, c.n_groups, len(c.links)) if c else (0,) * 4 for c in found] or [(0,) * 4], np.int64)
-                groups = [c.text if c else "" for c in found]
+                docs_n, none = len(part), np.zeros(0, np.int64)
+                good = np.concatenate([x.good for x in found] or [none.astype(bool)])
+                facts = [np.concatenate([getattr(x, k) for x in found] or [none]) for k in ("n_a", "n_b", "n_groups", "n_links")]
+                groups = [t for x in found for t in x.texts]
+                stay = sums(~good[codes], offsets) == 0
+                sizes = np.where(stay, np.diff(offsets), 0)
+                codes, offsets = codes[np.repeat(stay, np.diff(offsets))], np.r_[0, np.cumsum(sizes)]
                 digests = []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     digests.append(hashlib.sha256(";".join([groups[c] for c in codes[a:b].tolist()]).encode()).hexdigest() if b > a else "")
-                starts = np.r_[0, np.cumsum(facts[:, 3])] if found else np.zeros(1, np.int64)
-                links = np.array([x for c in found if c for x in c.links], np.int64)
-                pairs, which = np.unique(links, return_inverse=True)
-                times = np.bincount(codes, minlength=len(found)) if len(found) else np.zeros(0, np.int64)
-                number = np.bincount(which, np.repeat(times, np.diff(starts)), len(pairs)).astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
-                order = codes[np.lexsort((codes, np.repeat(np.arange(docs_n), np.diff(offsets))))]  # order does not matter to sums, but packs better
-                cols = [sums(facts[codes, k], offsets) if len(codes) else np.zeros(docs_n, np.int64) for k in range(4)]
-                none = {n: pa.nulls(docs_n, schema.field(n).type) for n in names[8:]}
+                starts = np.r_[0, np.cumsum(facts[3])]
+                pairs, which = np.unique(np.concatenate([x.links for x in found] or [none]), return_inverse=True)
+                times = np.bincount(codes, minlength=len(good))
+                number = np.bincount(which, np.repeat(times, facts[3]), len(pairs)).astype(np.int64)
+                order = codes[np.lexsort((codes, np.repeat(np.arange(docs_n), sizes)))]  # order does not matter to sums, but packs better
+                cols = [sums(x[codes], offsets) for x in facts]
+                rest = {n: pa.nulls(docs_n, schema.field(n).type) for n in names[8:]}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(docs_n, block)), part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), lists(order, offsets, pa.int32()), *none.values()],
+                    [pa.array(np.full(docs_n, block)), part.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols), pa.array(digests, pa.string()), lists(order, offsets, pa.int32()), *rest.values()],
                     schema=schema,
                 )
                 one = lambda v, kind: lists(v, np.array([0, len(v)]), kind)

@@ -100,7 +100,7 @@ def test_chunks_of_whole_texts_agree(spark):
     for whole in (False, True):
         offsets, codes, chunks = token_alignment.chunked(texts, whole)
         found = both.align(chunks)
-        joined.append([";".join(found[c].text for c in codes[a:b]) if all(found[c] for c in codes[a:b]) else None for a, b in zip(offsets, offsets[1:])])
+        joined.append([";".join(found.texts[c] for c in codes[a:b]) if all(found.good[c] for c in codes[a:b]) else None for a, b in zip(offsets, offsets[1:])])
     assert joined[0] == joined[1]
 
 
