@@ -23,6 +23,7 @@ links all count; an empty table gives an empty result; other columns are not rea
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from itertools import chain
 
@@ -111,6 +112,7 @@ class Aligner:
     """Both tokenizers of a task."""
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread keeps memory of its own
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -215,7 +217,7 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int =
                 at = 0
                 while at < len(texts):  # some tokens at a time
                     end, size = at, 0
-                    while end < len(texts) and (end == at or size < 1 << 19):
+                    while end < len(texts) and (end == at or size < 1 << 16):
                         size += len(texts[end])
                         end += 1
                     found.append(both.align(texts[at:end]))
