@@ -39,6 +39,9 @@ from .common import table, text_slices, written
 #: Bytes of text in a block.
 BLOCK = 8 << 20
 
+#: Chunks a task remembers.
+CACHE = 100_000
+
 #: White space of any tokenizer's pattern; text is never cut beside it (a few more than Unicode has).
 BLANK = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
@@ -192,6 +195,48 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return before[offsets[1:]] - before[offsets[:-1]]  # of booleans, how many hold
 
 
+class Memory:
+    """Alignments of chunks that a task has met before: of those that came at least twice in a block, up to CACHE."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.good, self.facts, self.texts = np.zeros(0, bool), np.zeros((4, 0), np.int64), []
+        self.links = np.zeros(0, np.int64)
+
+    def aligned(self, both: Aligner, chunks: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+        """(good, facts, texts, links) of the chunks; facts are rows of n_a, n_b, n_groups and n_links."""
+        met = [self.at.get(c, -1) for c in chunks]
+        new = [c for c, k in zip(chunks, met) if k < 0]
+        found: list[Alignments] = []
+        at = 0
+        while at < len(new):  # some tokens at a time
+            end, size = at, 0
+            while end < len(new) and (end == at or size < 1 << 16):
+                size += len(new[end])
+                end += 1
+            found.append(both.align(new[at:end]))
+            at = end
+        good = np.concatenate([self.good, *(x.good for x in found)])
+        facts = np.hstack([self.facts, *(np.vstack([x.n_a, x.n_b, x.n_groups, x.n_links]) for x in found)])
+        texts = self.texts + [t for x in found for t in x.texts]
+        links = np.concatenate([self.links, *(x.links for x in found)])
+        order = np.array(met, np.int64)
+        order[order < 0] = len(self.texts) + np.arange(len(new))
+        starts = np.cumsum(facts[3]) - facts[3]
+        if len(self.at) < CACHE:
+            keep = np.r_[np.arange(len(self.texts)), order[(order >= len(self.texts)) & (times >= 2)]][:CACHE]
+            names = dict(zip(order.tolist(), chunks))
+            self.at |= {names[k]: i for i, k in enumerate(keep.tolist()) if i >= len(self.texts)}
+            self.links = links[ragged(starts[keep], facts[3][keep])]
+            self.good, self.facts, self.texts = good[keep], facts[:, keep], [texts[k] for k in keep.tolist()]
+        return good[order], facts[:, order], [texts[k] for k in order.tolist()], links[ragged(starts[order], facts[3][order])]
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices starts[i] to starts[i] + sizes[i], one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 _aligners: dict = {}
 
 
@@ -209,23 +254,13 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int =
         if (path_a, path_b) not in _aligners:
             _aligners[path_a, path_b] = Aligner(path_a, path_b)
         both = _aligners[path_a, path_b]
+        memory = Memory()
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in text_slices(batch, "text", block_bytes):
                 offsets, codes, texts = chunked(part.column("text"), both.crossing)
-                found: list[Alignments] = []
-                at = 0
-                while at < len(texts):  # some tokens at a time
-                    end, size = at, 0
-                    while end < len(texts) and (end == at or size < 1 << 16):
-                        size += len(texts[end])
-                        end += 1
-                    found.append(both.align(texts[at:end]))
-                    at = end
-                docs_n, none = len(part), np.zeros(0, np.int64)
-                good = np.concatenate([x.good for x in found] or [none.astype(bool)])
-                facts = [np.concatenate([getattr(x, k) for x in found] or [none]) for k in ("n_a", "n_b", "n_groups", "n_links")]
-                groups = [t for x in found for t in x.texts]
+                docs_n = len(part)
+                good, facts, groups, links = memory.aligned(both, texts, np.bincount(codes, minlength=len(texts)))
                 stay = sums(~good[codes], offsets) == 0
                 sizes = np.where(stay, np.diff(offsets), 0)
                 codes, offsets = codes[np.repeat(stay, np.diff(offsets))], np.r_[0, np.cumsum(sizes)]
@@ -233,7 +268,7 @@ def aligned_blocks(docs: DataFrame, path_a: str, path_b: str, block_bytes: int =
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                     digests.append(hashlib.sha256(";".join([groups[c] for c in codes[a:b].tolist()]).encode()).hexdigest() if b > a else "")
                 starts = np.r_[0, np.cumsum(facts[3])]
-                pairs, which = np.unique(np.concatenate([x.links for x in found] or [none]), return_inverse=True)
+                pairs, which = np.unique(links, return_inverse=True)
                 times = np.bincount(codes, minlength=len(good))
                 number = np.bincount(which, np.repeat(times, facts[3]), len(pairs)).astype(np.int64)
                 order = codes[np.lexsort((codes, np.repeat(np.arange(docs_n), sizes)))]  # order does not matter to sums, but packs better
