@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op8_ann
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .jaccard_join import op12_jaccard
 from .licenses import op10_licenses
 from .mixing import op3_mixing
 from .near_dedup import op2_near_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_licenses": op10_licenses,
     "op11_alignment": op11_alignment,
+    "op12_jaccard": op12_jaccard,
     "op13_runs": op13_runs,
 }
 

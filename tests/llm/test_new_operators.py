@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from regraph.llm import periodic_runs, token_alignment
+from regraph.llm import jaccard_join, periodic_runs, token_alignment
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -206,3 +206,87 @@ def test_collapsed_texts(spark):
     rows = [(1, "a b " * 5 + "end"), (2, "one  two\nthree"), (3, None)]
     out = {r.doc_id: r for r in periodic_runs.collapsed(table(spark, rows)).collect()}
     assert out[1].text == "a b end" and out[2].text == "one  two\nthree" and out[3].text is None and out[1].lang == "en"
+
+
+# --- n-gram join ---------------------------------------------------------------------------------
+
+
+def shingles(text):
+    w = [x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in WORD.findall(text or "")]
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def join_brute(rows):
+    sets = [shingles(t) for _, t in rows]
+    part = list(range(len(rows)))
+
+    def root(k):
+        while part[k] != k:
+            k = part[k]
+        return k
+
+    for x in range(len(rows)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if sets[x] and sets[y] and 100 * both >= 80 * len(sets[x] | sets[y]):
+                part[root(x)] = root(y)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return sorted(((i, len(sets[k]), least.get(root(k))) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def families(seed, groups=12, members=14, long=160):
+    """Families of edited, cut and assembled texts, copies among them, and passages that many texts share."""
+    r = random.Random(seed)
+    word = lambda: f"W{r.randrange(3000)}"
+    passage = [word() for _ in range(40)]
+    rows = []
+    for _ in range(groups):
+        base = [word() for _ in range(r.choice([1, 3, 4, 5, 6, 9, 30, 80, long]))]
+        if r.random() < 0.5:
+            base += passage
+        for _ in range(members):
+            own = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 4])):
+                own[r.randrange(len(own))] = word()
+            if r.random() < 0.2:
+                own = own[r.randrange(len(own) // 5 + 1) :]
+            rows.append((len(rows) * 3 + 1, r.choice([" ", "\n\t"]).join(own if r.random() < 0.8 else [x.lower() for x in own])))
+    r.shuffle(rows)
+    return rows + [(5000, None), (5001, ""), (5002, " \n"), (5003, "a b"), (5004, "A  b"), (5005, "b a"), (5006, "x " * 30), (5007, "x " * 9), (5007, "x " * 9), (None, "p q r s t u v"), (None, "p q r s t u v")]
+
+
+@pytest.mark.parametrize("seed,rare,block", [(1, 8, 1 << 23), (2, 0, 1 << 12), (3, 1, 1 << 11)])
+def test_jaccard_join(spark, seed, rare, block):
+    rows = families(seed)
+    docs = table(spark, rows).withColumnRenamed("n_chars", "row").withColumnRenamed("source", "one")
+    got = jaccard_join.jaccard_components(docs, rare=rare, block_bytes=block)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == join_brute(rows)
+
+
+def test_jaccard_join_of_nothing(spark):
+    assert jaccard_join.jaccard_components(table(spark, [])).count() == 0
+    assert join_brute([(1, None)]) == [tuple(r) for r in jaccard_join.jaccard_components(table(spark, [(1, None)])).collect()]
+
+
+@pytest.mark.parametrize("rare", [0, 2, 50])
+def test_similar_sets_share_a_signature(rare):
+    """Sets at exactly the least similarity, whatever tokens they lack, from size 1 to 400."""
+    r = np.random.default_rng(rare)
+    for n in [*range(1, 40), 63, 64, 65, 100, 127, 128, 129, 200, 255, 256, 257, 400]:
+        for _ in range(12):
+            tokens = r.integers(0, 2**63, 2 * n + 2).astype(np.uint64)
+            counts = r.integers(2, 60, len(tokens))
+            m = min(int(r.integers(n, 100 * n // 80 + 1)), len(tokens))
+            both = next(k for k in range(n + 1) if 100 * k >= 80 * (n + m - k)) if 100 * n >= 80 * m else None
+            if both is None or n + m - both > len(tokens):
+                continue
+            x, y = np.r_[0:n], np.r_[n - both : n - both + m]
+            shuffled = r.permutation(len(tokens))
+            found = []
+            for s in (shuffled[x], shuffled[y]):
+                s = s[np.lexsort((tokens[s], counts[s]))]
+                found.append(set(jaccard_join.signatures_of(len(s), tokens[s], counts[s], rare=rare).tolist()))
+            assert found[0] & found[1]
