@@ -44,6 +44,9 @@ SHINGLE, PERCENT = 5, 80
 #: Bytes of text in a block; words in a range of hashes.
 BLOCK, RANGE = 8 << 20, 1 << 21
 
+#: Signatures a set may have for them to be listed with each, so that a pair is met once; pairs of larger sets are met in each they share.
+LISTED = 256
+
 #: Tokens of more documents than this are frequent.
 RARE = 8
 
@@ -198,16 +201,20 @@ def candidates(blocks: DataFrame, shared: DataFrame, bits: int, range_bits: int,
     return docs.groupBy("block").cogroup(shared.groupBy("to")).applyInArrow(run, CANDIDATES)
 
 
-def signatures_of(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> np.ndarray:
-    """Signature hashes of a set of n: its shared tokens from rare to frequent and their numbers."""
+def signatures_of(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT, rare: int = RARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature hashes, places, lasts) of a set of n: its shared tokens from rare to frequent and their numbers.
+
+    Places among the shared tokens are those of a signature's rarer and more frequent token.
+    """
     need = n - needed(n, percent) + 1 - (n - len(tokens))  # tokens of its own count as covered
     if need <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     few = int(np.searchsorted(counts, rare, side="right"))
-    out = [mix64(tokens[: min(few, need)] ^ _M)]
+    out, at = [mix64(tokens[: min(few, need)] ^ _M)], [np.arange(min(few, need))]
+    last = [at[0]]
     need -= few
     if need <= 0:
-        return out[0]
+        return out[0], at[0], at[0]
     frequent = tokens[few:]
     most = 100 * n // percent  # the largest partner
     for level in range(n.bit_length() - 1, most.bit_length()):
@@ -215,6 +222,8 @@ def signatures_of(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int =
         salt = np.uint64(level + 1)
         if not groups:
             out.append(mix64(frequent[:need] * _M + salt))
+            at.append(few + np.arange(min(need, len(frequent))))
+            last.append(at[-1])
             continue
         group = (mix64(frequent ^ salt) % np.uint64(groups)).astype(np.int64)
         order = np.argsort(group, kind="stable")
@@ -222,45 +231,44 @@ def signatures_of(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int =
         first[order[np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])]] = True
         covered = np.cumsum(~first)
         end = int(np.searchsorted(covered, need)) + 1  # subclasses() is small enough for sizes of the level to reach it
-        group, prefix = group[:end], frequent[:end]
-        order = np.lexsort((prefix, group))
-        group, prefix = group[order], prefix[order]
-        sizes = np.unique(group, return_counts=True)[1]
+        order = np.argsort(group[:end], kind="stable")
         start = 0
-        for m in sizes.tolist():
-            own = prefix[start : start + m]
+        for m in np.unique(group[:end], return_counts=True)[1].tolist():
+            place = order[start : start + m]
             a, b = np.triu_indices(m, 1)
+            own = frequent[place]
             out.append(mix64((own[a] * _POWER + own[b]) * _M + salt))
+            at.append(few + place[a])
+            last.append(few + place[b])
             start += m
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out), np.concatenate(at), np.concatenate(last)
 
 
-SIGNATURES = "signature long, row long, n long, own long"
+SIGNATURES = "signature long, row long, n long, shared long, place long, last long"
 
 
 def signatures(sets: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
-    """(signature, row, n, own): own is how many of the set's tokens no other set has."""
+    """(signature, row, n, shared, place, last): shared is how many of the set's tokens another set has."""
+    names = [x.split()[0] for x in SIGNATURES.split(", ")]
 
     def run(batches):
         for batch in batches:
-            out, at = [], []
-            size = batch.column("n").to_numpy()
+            size, row = batch.column("n").to_numpy(), batch.column("row").to_numpy()
+            out = []
             for k in range(len(batch)):
                 t, c = (batch.column(x)[k].values.to_numpy() for x in ("tokens", "counts"))
-                s = signatures_of(int(size[k]), t.view(np.uint64), c, percent, rare)
-                out.append(s.view(np.int64))
-                at.append((len(s), size[k] - len(t)))
+                s, at, last = signatures_of(int(size[k]), t.view(np.uint64), c, percent, rare)
+                out.append((s.view(np.int64), *(np.full(len(s), x) for x in (row[k], size[k], len(t))), at, last))
             if out:
-                times = [x for x, _ in at]
-                cols = [np.concatenate(out), *(np.repeat(v, times) for v in (batch.column("row").to_numpy(), size, np.array([x for _, x in at], np.int64)))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in SIGNATURES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=names)
 
     return sets.select("row", "n", "tokens", "counts").mapInArrow(run, SIGNATURES)
 
 
-def may_link(n1, own1, n2, own2, percent: int = PERCENT):
-    """Whether sets of these sizes can be similar, if none shares a token of its own."""
-    most = F.least(n1 - own1, n2 - own2)
+def may_link(one: str, two: str, percent: int = PERCENT):
+    """Whether sets that meet in a signature can be similar: before, between and after its tokens no more agree than the set with fewer shared ones has."""
+    n1, s1, p1, q1, n2, s2, p2, q2 = (F.col(c + x) for x in (one, two) for c in ("n", "shared", "place", "last"))
+    most = F.least(p1, p2) + F.least(q1 - p1, q2 - p2) + F.least(s1 - q1, s2 - q2)
     return 100 * most >= percent * (n1 + n2 - most)
 
 
@@ -294,19 +302,21 @@ def in_components(rows: DataFrame, mapping: DataFrame) -> DataFrame:
 def linked_classes(sets: DataFrame, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
     """mapping(old, new) of sets' rows to the smallest row they are linked with; rows without links may lack."""
     signed = written(signatures(sets, percent, rare))
-    central = F.struct((-F.col("own") / F.col("n")).alias("share"), "n", F.col("row").alias("a"), F.col("own").alias("own1"))
-    heads = signed.groupBy("signature").agg(F.max(central).alias("h"), F.count(F.lit(1)).alias("_k")).where("_k > 1").select("signature", "h.a", F.col("h.n").alias("n1"), "h.own1")
-    ok = (F.col("a") != F.col("row")) & may_link(F.col("n1"), F.col("own1"), F.col("n"), F.col("own"), percent)
-    first = signed.join(heads, "signature").where(ok).select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct()
-    first = written(first)
+    side = lambda df, mark: df.select("signature", *(F.col(c).alias(c + mark) for c in df.columns if c != "signature"))
+    central = F.struct((F.col("shared") / F.col("n")).alias("_share"), "n", "row", "shared", "place", "last")
+    heads = signed.groupBy("signature").agg(F.max(central).alias("h"), F.count(F.lit(1)).alias("_k")).where("_k > 1").select("signature", "h.row", "h.n", "h.shared", "h.place", "h.last")
+    met = side(signed, "2").join(side(heads, "1"), "signature").where((F.col("row1") != F.col("row2")) & may_link("1", "2", percent))
+    first = written(met.select(F.least("row1", "row2").alias("a"), F.greatest("row1", "row2").alias("b")).distinct())
     links = written(verified(first, sets, percent))
     parts = written(in_components(signed, components(links)))
     mixed = parts.groupBy("signature").agg(F.min("part").alias("_l"), F.max("part").alias("_m")).where("_l < _m").select("signature")
     open_ = written(parts.join(mixed, "signature", "left_semi"))
-    left = open_.select("signature", F.col("row").alias("a"), F.col("n").alias("n1"), F.col("own").alias("own1"), F.col("part").alias("part1"))
-    ok = (F.col("a") < F.col("row")) & (F.col("part1") != F.col("part")) & may_link(F.col("n1"), F.col("own1"), F.col("n"), F.col("own"), percent)
-    rest = left.join(open_, "signature").where(ok).select("a", F.col("row").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(verified(rest, sets, percent))
+    all_ = open_.groupBy("row").agg(F.collect_set("signature").alias("_s")).where(F.size("_s") <= LISTED)  # a set has its prefix's number of signatures
+    open_ = written(open_.join(all_, "row", "left").withColumn("before", F.filter("_s", lambda x: x < F.col("signature"))).drop("_s"))
+    ok = (F.col("row1") < F.col("row2")) & (F.col("part1") != F.col("part2")) & may_link("1", "2", percent)
+    ok = ok & ~F.coalesce(F.arrays_overlap("before1", "before2"), F.lit(False))  # else the pair meets in an earlier signature too
+    rest = side(open_, "1").join(side(open_, "2"), "signature").where(ok).select(F.col("row1").alias("a"), F.col("row2").alias("b")).distinct()
+    more = written(verified(rest.join(first, ["a", "b"], "left_anti"), sets, percent))
     return components(links.unionAll(more))
 
 
