@@ -97,40 +97,6 @@ def flat_merge(edges: DataFrame, threshold: float) -> DataFrame:
     return components(edges.where(F.col("weight") <= threshold))
 
 
-def agglomerated(nodes: DataFrame, edges: DataFrame, threshold: float, synapse_mode: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, mapping) after merging by rounds of mutual smallest edges.
-
-    In each round every node picks its edge of smallest (weight, node1, node2) among those of weight
-    <= threshold that `valid_edge` admits; edges picked from both ends are contracted, smaller id kept,
-    and the merged graph goes on. Edge weights combine by the mean weighted with edge sizes, so an edge may
-    leave or enter the threshold; a weight over 1 marks a confirmed boundary and stays the largest. A
-    merged edge is preserved if any part is and false only if all are; without these two columns no
-    edge is either. Other columns of edges are left out. With this reducible rule, merging mutual nearest pairs gives the order-free result
-    of always merging the smallest edge where weights differ.
-
-    The smallest edge of all is mutual, so every round merges and rounds end only when no edge of
-    weight <= threshold is left. A hub merges one neighbour a round, so their number can reach that
-    of a hub's neighbours.
-    """
-    mapping, marks = None, {"preserve": F.bool_or("preserve"), "false_edge": F.bool_and("false_edge")}
-    edges = edges.select("node1", "node2", "edge_size", "weight", *((F.coalesce(c, F.lit(False)) if c in edges.columns else F.lit(False)).alias(c) for c in marks))
-    mean = F.coalesce(F.try_divide(F.sum(F.col("weight") * F.col("edge_size")), F.sum("edge_size").cast("double")), F.max("weight"))
-    while True:
-        open_ = edges.where((F.col("weight") <= threshold) & valid_edge(synapse_mode))
-        pick = endpoints(open_, "weight", F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).groupBy("id").agg(F.min(F.struct("weight", "a", "b")).alias("e"))
-        chosen = pick.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-        step = kept(chosen.select(F.col("e.b").alias("old"), F.col("e.a").alias("new")))
-        if not step.limit(1).count():
-            break
-        moved = canonical(relabelled(edges, step, "node1", "node2")).where("node1 != node2")
-        edges = kept(moved.groupBy("node1", "node2").agg(F.sum("edge_size").alias("edge_size"), F.when(F.max("weight") > 1, F.max("weight")).otherwise(mean).alias("weight"), *(f.alias(c) for c, f in marks.items())))
-        mapping = step if mapping is None else kept(relabelled(mapping, step, "new").unionByName(step))
-    if mapping is None:
-        mapping = nodes.sparkSession.createDataFrame([], "old long, new long")
-    nodes = kept(relabelled(nodes, mapping, "id").groupBy("id").agg(*[F.sum(c).alias(c) for c in nodes.columns if c != "id"]))
-    return nodes, edges, mapping
-
-
 def best_paths(edges: DataFrame, heads: DataFrame | None, least: float, hops: int | None, affinity: Column | None = None) -> DataFrame:
     """(head, id, prob): the largest product of affinities over paths of at most `hops` edges (None: of any length), at least `least`.
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import mito_ratio
-from .graph import agglomerated, canonical, contracted, degrees, endpoints, relabelled
+from .agglomeration import agglomerated
+from .graph import canonical, contracted, degrees, endpoints, relabelled
 from .inclusions import inclusions
 from .tables import kept
 

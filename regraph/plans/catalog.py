@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
+from ..operators import agglomeration as ag
 from ..operators import graph as gr
 from ..operators import overlap as ov
 from ..operators import rag as rg
@@ -404,9 +405,8 @@ def budgeted_bodies(spark, sf):
     return gr.budgeted(part_graph(spark, sf)[0].select("id", "size"), "size", 1000).select("id", "size", "before")
 
 
-@query(with_rag(""", k AS (SELECT a.node1, a.node2, a.edge_size, a.weight, CASE WHEN o.w IS NULL OR a.edge_size > 3 THEN a.weight ELSE o.w END AS w2 FROM edges a
- LEFT JOIN (SELECT node1, node2, 1 - weight AS w FROM edges WHERE node1 % 2 = 0) o ON o.node1 = a.node1 AND o.node2 = a.node2)
-SELECT node1, node2, round(w2, 6) AS weight FROM k""").replace(" , k", ", k"))
+@query("WITH " + RAG_SQL.replace("edges AS (", "edges AS MATERIALIZED (") + """, o AS MATERIALIZED (SELECT node1, node2, 1 - weight AS w FROM edges WHERE node1 % 2 = 0)
+SELECT node1, node2, round(CASE WHEN w IS NULL OR edge_size > 3 THEN weight ELSE w END, 6) AS weight FROM edges LEFT JOIN o USING (node1, node2)""")
 def updated_weights(spark, sf):
     """Weights from a second graph, but for edges of more than three contacts."""
     _, edges = part_graph(spark, sf)
@@ -518,13 +518,13 @@ def graph_certainty(spark, sf):
 @query(name="agglomerated_graph")
 def agglomerated_graph(spark, sf):
     nodes, edges = part_graph(spark, sf)
-    return gr.agglomerated(nodes, edges.select("node1", "node2", "edge_size", "weight"), 0.2)[1].select("node1", "node2", "edge_size", F.round("weight", 6).alias("weight"))
+    return ag.agglomerated(nodes, edges.select("node1", "node2", "edge_size", "weight"), 0.2)[1].select("node1", "node2", "edge_size", F.round("weight", 6).alias("weight"))
 
 
 @query(name="agglomeration_mapping")
 def agglomeration_mapping(spark, sf):
     nodes, edges = part_graph(spark, sf)
-    return gr.agglomerated(nodes, edges.select("node1", "node2", "edge_size", "weight"), 0.2)[2]
+    return ag.agglomerated(nodes, edges.select("node1", "node2", "edge_size", "weight"), 0.2)[2]
 
 
 @query(name="graph_coloring")
@@ -909,13 +909,13 @@ def pair_affinities(spark, sf):
 
 
 @query(f"WITH {VOX_SQL.replace('vox AS', 'vox0 AS')}, vox AS (SELECT x, y, z, CASE WHEN seg = 0 THEN 0 ELSE (z + 3) * 200000 + seg END seg, p0, p1 FROM vox0), {NEAR_SQL} " + """SELECT node1, node2, edge_size,
-CASE WHEN node1 % 200000 = node2 % 200000 THEN -1 ELSE round(s / edge_size, 6) END::DOUBLE AS weight FROM (SELECT CAST(least(label, nbr) AS BIGINT) node1, CAST(greatest(label, nbr) AS BIGINT) node2, count(*) edge_size, sum(p0) s
+CASE WHEN node1 % 200000 = node2 % 200000 THEN -1 ELSE round(s / edge_size, 9) END::DOUBLE AS weight FROM (SELECT CAST(least(label, nbr) AS BIGINT) node1, CAST(greatest(label, nbr) AS BIGINT) node2, count(*) edge_size, sum(p0) s
 FROM (SELECT DISTINCT x, y, z, label, nbr, p0 FROM near WHERE label <> 0 AND nbr <> 0 AND label <> nbr) GROUP BY 1, 2)""")
 def superpixel_edges(spark, sf):
     """The graph of labels by plane, weighted with the mean of the first channel."""
     v = voxel_grid(spark, sf)
     v = v.withColumn("seg", F.when(F.col("seg") == 0, 0).otherwise(ft.composed_id(F.col("z"), F.col("seg"), 3)))
-    e = rg.rag_edges(v, ("p0",)).withColumn("weight", F.round(F.col("p0_s1") / F.col("edge_size"), 6))
+    e = rg.rag_edges(v, ("p0",)).withColumn("weight", F.round(F.col("p0_s1") / F.col("edge_size"), 9))
     return gr.plane_weights(e).select("node1", "node2", "edge_size", "weight")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regraph.functions import codecs
 from regraph.functions import features as ft
+from regraph.operators import agglomeration as ag
 from regraph.operators import graph as gr
 from regraph.operators import overlap as ov
 from regraph.operators import rag as rg
@@ -86,7 +87,7 @@ def test_components_and_agglomeration(spark):
     edges = spark.createDataFrame([(i, i + 1, 1, 0.1) for i in range(1, 40)] + [(100, 101, 1, 0.9), (40, 100, 1, 0.8)], "node1 long, node2 long, edge_size long, weight double")
     nodes = spark.createDataFrame([(i, 1) for i in [*range(1, 41), 100, 101]], "id long, size long")
     assert {r.new for r in gr.flat_merge(edges, 0.2).collect()} == {1}
-    n, e, m = gr.agglomerated(nodes, edges, 0.2)
+    n, e, m = ag.agglomerated(nodes, edges, 0.2)
     assert rows(n, "id", "size") == [(1, 40), (100, 1), (101, 1)]
     assert m.count() == 39
 
@@ -94,7 +95,7 @@ def test_components_and_agglomeration(spark):
 def test_agglomeration_of_a_hub_leaves_no_mergeable_edge(spark):
     edges = spark.createDataFrame([(1, i, 1, 0.001 * i) for i in range(2, 65)] + [(1, 65, 1, 0.9)], "node1 long, node2 long, edge_size long, weight double")
     nodes = spark.createDataFrame([(i, 1) for i in range(1, 66)], "id long, size long")
-    n, e, m = gr.agglomerated(nodes, edges, 0.2)
+    n, e, m = ag.agglomerated(nodes, edges, 0.2)
     assert rows(n, "id", "size") == [(1, 64), (65, 1)]
     assert rows(e, "node1", "node2", "weight") == [(1, 65, 0.9)]
     assert rows(m, "old", "new") == [(i, 1) for i in range(2, 65)]
@@ -104,10 +105,10 @@ def test_agglomeration_stops_at_confirmed_boundaries(spark):
     """A boundary of weight over 1, a preserved and a false edge stay apart, also after their ends have met other bodies."""
     nodes = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4, 5)], "id long, size long")
     edges = spark.createDataFrame([(1, 2, 10, 1.2), (1, 3, 1, 0.05), (2, 3, 90, 0.1)], "node1 long, node2 long, edge_size long, weight double")
-    n, e, _ = gr.agglomerated(nodes.where("id < 4"), edges, 0.3)
+    n, e, _ = ag.agglomerated(nodes.where("id < 4"), edges, 0.3)
     assert rows(n, "id", "size") == [(1, 2), (2, 1)] and rows(e, "node1", "node2", "weight") == [(1, 2, 1.2)]
     marked = spark.createDataFrame([(1, 2, 10, 0.1, True, False), (1, 3, 1, 0.05, False, False), (2, 3, 90, 0.1, False, False), (4, 5, 0, 0.0, False, True)], "node1 long, node2 long, edge_size long, weight double, preserve boolean, false_edge boolean")
-    n, e, _ = gr.agglomerated(nodes, marked, 0.3)
+    n, e, _ = ag.agglomerated(nodes, marked, 0.3)
     assert rows(n, "id", "size") == [(1, 2), (2, 1), (4, 1), (5, 1)]
     assert rows(e, "node1", "node2", "preserve", "false_edge") == [(1, 2, True, False), (4, 5, False, True)]
 
