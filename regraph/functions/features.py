@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def moments(n: str | Column, sums: list[str]) -> list[Column]:
+def moments(n: str | Column, sums: list[str | Column]) -> list[Column]:
     """mean and central moments 2 to 4 (not standardised) from a count and power sums."""
-    e1, e2, e3, e4 = (F.col(s) / F.col(n) if isinstance(n, str) else F.col(s) / n for s in sums)
+    e1, e2, e3, e4 = ((F.col(s) if isinstance(s, str) else s) / (F.col(n) if isinstance(n, str) else n) for s in sums)
     return [e1, e2 - e1**2, e3 - 3 * e1 * e2 + 2 * e1**3, e4 - 4 * e1 * e3 + 6 * e1**2 * e2 - 3 * e1**4]
 
 

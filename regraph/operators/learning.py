@@ -10,29 +10,19 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.features import gaussian, moments, similar_pairs
-from .rag import rag_edges, rag_nodes
+from ..functions.features import gaussian, similar_pairs
+from ..functions.states import FeatureSet, basic, edge_vectors
+from .blocks import region_states
 from .tables import kept
 
 #: Forest parameters (fixed values).
 TREES, DEPTH, MIN_ROWS, FEATURES = 255, 20, 10, "5"
 
 
-def edge_features(voxels: DataFrame, channels: tuple[str, ...], label: str = "seg") -> DataFrame:
-    """(node1, node2, features): smaller node, larger node, edge and absolute node differences; count and moments a channel."""
-    nodes, edges = rag_nodes(voxels, channels, label), rag_edges(voxels, channels, label)
-
-    def stats(df: DataFrame, n: str, keys: list[str], name: str) -> DataFrame:
-        values = [F.col(n).cast("double")] + [m for c in channels for m in moments(n, [f"{c}_s{k}" for k in (1, 2, 3, 4)])]
-        return df.select(*keys, F.col(n).alias(f"_{name}n"), F.array(*values).alias(f"_{name}"))
-
-    one = stats(nodes, "size", ["id"], "a").withColumnRenamed("id", "node1")
-    two = stats(nodes, "size", ["id"], "b").withColumnRenamed("id", "node2")
-    both = stats(edges, "edge_size", ["node1", "node2"], "e").join(one, "node1").join(two, "node2")
-    swap = F.col("_an") > F.col("_bn")
-    small, large = F.when(swap, F.col("_b")).otherwise(F.col("_a")), F.when(swap, F.col("_a")).otherwise(F.col("_b"))
-    apart = F.zip_with("_a", "_b", lambda x, y: F.abs(x - y))
-    return both.select("node1", "node2", F.concat(small, large, F.col("_e"), apart).alias("features"))
+def edge_features(voxels: DataFrame, channels: tuple[str, ...], label: str = "seg", features: FeatureSet | None = None) -> DataFrame:
+    """(node1, node2, features): smaller node, larger node, edge and absolute node differences; the basic set unless another is given."""
+    features = features or basic(channels)
+    return edge_vectors(*region_states(voxels, features, label), features)
 
 
 def training_set(features: DataFrame, gt: DataFrame, mito: DataFrame | None = None) -> DataFrame:

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as ft
+from ..functions.states import FeatureSet
 from ..operators import agglomeration as ag
 from ..operators import graph as gr
 from ..operators import overlap as ov
 from ..operators import rag as rg
 from ..operators import stencil as st
-from ..sources.fixtures import RAG_SQL, SYN_SQL, VOX_SQL, load, part_graph, synapse_points, voxel_grid
+from ..operators.blocks import region_states
+from ..sources.fixtures import GROWN_SQL, RAG_SQL, SYN_SQL, VOX_SQL, grown_grid, load, part_graph, synapse_points, voxel_grid
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -680,12 +682,61 @@ def vector_norms(spark, sf):
 # --- learning ------------------------------------------------------------------------------------
 
 
-@query(name="edge_feature_vectors")
+#: nodes and edges of the grown grid, as elements (a, b, c, v) of channel c; b is 0 for a node's.
+GROWN_NEAR_SQL = f"{GROWN_SQL}, {NEAR_SQL.replace('near AS (', 'near AS MATERIALIZED (')}"
+
+#: Values are given in millionths, rounded up a hair before halves, so that the order of additions cannot show.
+FEATURE_SQL = f"""WITH {GROWN_NEAR_SQL},
+touch AS (SELECT DISTINCT x, y, z, least(label, nbr) a, greatest(label, nbr) b, p0, p1 FROM near WHERE label <> 0 AND nbr <> 0 AND label <> nbr),
+both_ AS (SELECT seg a, 0 b, p0, p1 FROM vox WHERE seg <> 0 UNION ALL SELECT a, b, p0, p1 FROM touch),
+el AS MATERIALIZED (SELECT a, b, 0 c, p0 v FROM both_ UNION ALL SELECT a, b, 1, p1 FROM both_),
+m AS (SELECT a, b, c, count(*) n, avg(v) e1, avg(v ** 2) e2, avg(v ** 3) e3, avg(v ** 4) e4 FROM el GROUP BY 1, 2, 3),
+h AS (SELECT a, b, c, CAST(least(floor(v * 25), 24) AS INT) bin, count(*) k FROM el GROUP BY 1, 2, 3, 4),
+q AS (SELECT *, sum(k) OVER (PARTITION BY a, b, c ORDER BY bin) cum, sum(k) OVER (PARTITION BY a, b, c) tot FROM h),
+t AS (SELECT j, t FROM (SELECT unnest(range(5)) j, unnest([0.1, 0.3, 0.5, 0.7, 0.9]::DOUBLE[]) t)),
+f AS MATERIALIZED (
+ SELECT a, b, 0 pos, CAST(n AS DOUBLE) val FROM m WHERE c = 0
+ UNION ALL SELECT a, b, 1 + 9 * c, e1 FROM m
+ UNION ALL SELECT a, b, 2 + 9 * c, e2 - e1 ** 2 FROM m
+ UNION ALL SELECT a, b, 3 + 9 * c, e3 - 3 * e1 * e2 + 2 * e1 ** 3 FROM m
+ UNION ALL SELECT a, b, 4 + 9 * c, e4 - 4 * e1 * e3 + 6 * e1 ** 2 * e2 - 3 * e1 ** 4 FROM m
+ UNION ALL SELECT a, b, 5 + 9 * c + j, (bin + (t * tot - (cum - k)) / k) / 25 FROM q CROSS JOIN t WHERE cum >= t * tot AND cum - k < t * tot
+), s AS (
+ SELECT e.a node1, e.b node2, CASE WHEN x.n > y.n THEN e.b ELSE e.a END small, CASE WHEN x.n > y.n THEN e.a ELSE e.b END large
+ FROM (SELECT DISTINCT a, b FROM f WHERE b <> 0) e JOIN m x ON x.a = e.a AND x.b = 0 AND x.c = 0 JOIN m y ON y.a = e.b AND y.b = 0 AND y.c = 0
+), r AS (
+ SELECT node1, node2, pos, val FROM s JOIN f ON f.a = small AND f.b = 0
+ UNION ALL SELECT node1, node2, pos + 19, val FROM s JOIN f ON f.a = large AND f.b = 0
+ UNION ALL SELECT node1, node2, pos + 38, val FROM s JOIN f ON f.a = node1 AND f.b = node2
+ UNION ALL SELECT node1, node2, 57 + CASE WHEN u.pos < 5 THEN u.pos ELSE u.pos - 5 END, abs(u.val - w.val)
+ FROM s JOIN f u ON u.a = small AND u.b = 0 JOIN f w ON w.a = large AND w.b = 0 AND w.pos = u.pos WHERE u.pos < 5 OR u.pos BETWEEN 10 AND 13
+) SELECT node1, node2, CAST(pos AS INT) AS "position", CAST(floor(val * 1000000 + 0.5001) AS BIGINT) AS millionths FROM r"""
+
+
+@query(FEATURE_SQL)
 def edge_feature_vectors(spark, sf):
+    """The basic vectors of all edges of the grown grid, a row for each value."""
     from ..operators.learning import edge_features
 
-    f = edge_features(voxel_grid(spark, sf), ("p0", "p1"))
-    return f.select("node1", "node2", F.size("features").alias("dimensions"), F.round(F.aggregate("features", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+    f = edge_features(grown_grid(spark, sf), ("p0", "p1"))
+    rows = f.select("node1", "node2", F.posexplode("features").alias("position", "v"))
+    return rows.select("node1", "node2", "position", F.floor(F.col("v") * 1000000 + 0.5001).cast("long").alias("millionths"))
+
+
+@query(f"""WITH {GROWN_NEAR_SQL}, v AS (SELECT x, y, z, label, p0, max(CASE WHEN nbr = 0 THEN 1 ELSE 0 END) b FROM near WHERE label <> 0 GROUP BY 1, 2, 3, 4, 5)
+SELECT label AS id, count(*) size, CAST(sum(b) AS BIGINT) boundary_size, CAST(sum(CAST(round(p0 * 1000000) AS BIGINT)) AS BIGINT) sum_p0 FROM v GROUP BY 1""")
+def block_nodes(spark, sf):
+    nodes, _ = region_states(grown_grid(spark, sf), FeatureSet(("p0",)))
+    return nodes.select("id", "size", "boundary_size", F.round(F.col("sums")[0] * 1000000).cast("long").alias("sum_p0"))
+
+
+@query(f"""WITH {GROWN_NEAR_SQL}, e AS (SELECT DISTINCT x, y, z, label, nbr, p0, p1 FROM near WHERE label <> 0 AND nbr <> 0 AND label <> nbr)
+SELECT least(label, nbr) node1, greatest(label, nbr) node2, count(*) edge_size, CAST(sum(CAST(round(p0 * 1000000) AS BIGINT)) AS BIGINT) sum_p0,
+ CAST(sum(CASE WHEN p1 * 10 >= 10 THEN 1 ELSE 0 END) AS BIGINT) full_p1 FROM e GROUP BY 1, 2""")
+def block_edges(spark, sf):
+    """Edges of the grown grid by halo blocks, with a sum of one channel and the last slot of the other's histogram."""
+    _, edges = region_states(grown_grid(spark, sf), FeatureSet(("p0", "p1")).add_hist(10, (0.5,)))
+    return edges.select("node1", "node2", F.col("size").alias("edge_size"), F.round(F.col("sums")[0] * 1000000).cast("long").alias("sum_p0"), F.col("hist")[21].alias("full_p1"))
 
 
 @query(name="classifier_scores")

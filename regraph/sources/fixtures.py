@@ -37,6 +37,29 @@ g AS (
 )"""
 
 
+def grown_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """voxels(x, y, z, p0, p1, seg, gt) whose x side grows with the line items: a cell per order and line, 64 orders a plane."""
+    items = load(spark, sf_dir, "lineitem")
+    cells = items.groupBy(F.floor(F.col("l_orderkey") / 64).cast("long").alias("x"), (F.col("l_orderkey") % 64).alias("y"), F.col("l_linenumber").cast("long").alias("z")).agg(
+        F.min("l_suppkey").alias("s"), *(F.round(F.least(F.lit(1.0), F.max(c) * 10), 6).alias(p) for c, p in (("l_discount", "p0"), ("l_tax", "p1")))
+    )
+    block = lambda a, b: 1 + F.floor(F.col("x") / a) * 16 + F.floor(F.col("y") / b)
+    seg = F.when(F.col("s") % 9 == 4, 0).when(F.col("s") % 27 == 7, -1 - F.floor(F.col("x") / 24)).otherwise(block(6, 6))
+    return cells.select("x", "y", "z", "p0", "p1", seg.cast("long").alias("seg"), block(12, 8).cast("long").alias("gt"))
+
+
+GROWN_SQL = """
+g AS (
+  SELECT l_orderkey // 64 x, l_orderkey % 64 y, CAST(l_linenumber AS BIGINT) z, min(l_suppkey) s,
+         round(least(1.0, max(l_discount) * 10), 6) p0, round(least(1.0, max(l_tax) * 10), 6) p1
+  FROM lineitem GROUP BY 1, 2, 3
+), vox AS MATERIALIZED (
+  SELECT x, y, z, p0, p1, CASE WHEN s % 9 = 4 THEN 0 WHEN s % 27 = 7 THEN -1 - x // 24 ELSE 1 + x // 6 * 16 + y // 6 END seg,
+    1 + x // 12 * 16 + y // 8 gt
+  FROM g
+)"""
+
+
 def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes(id, size, boundary_size), edges(node1, node2, edge_size, weight)): parts bought together."""
     items = load(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") + 1).alias("id"), "l_linenumber")

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 def test_features_training_and_scores(spark):
     v = voxel_grid(spark, SF).cache()
     f = ln.edge_features(v, ("p0", "p1")).cache()
-    assert {len(r.features) for r in f.select("features").collect()} == {4 * (1 + 2 * 4)}
+    assert {len(r.features) for r in f.select("features").collect()} == {3 * (1 + 2 * (4 + 5)) + 1 + 2 * 4}
     gt = ov.assignment(ov.contingency(v)).select("seg", "gt")
     samples = ln.training_set(f, gt).cache()
     assert {r.label for r in samples.select("label").distinct().collect()} == {-1, 1}
