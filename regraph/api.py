@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators.graph import agglomerated, best_paths, relabelled
+from .functions.states import FeatureSet, basic, edge_vectors, merged_states
+from .operators.agglomeration import scored_agglomeration
+from .operators.blocks import region_states
+from .operators.graph import best_paths, relabelled
 from .operators.inclusions import inclusions
 from .operators.learning import edge_features, fit_classifier, scored_edges, training_set
 from .operators.overlap import assignment, contingency
@@ -20,18 +23,27 @@ def find_overlaps(one: DataFrame, two: DataFrame) -> DataFrame:
     return contingency(both)
 
 
-def agglomerate(voxels: DataFrame, channels: tuple[str, ...], model, threshold: float, label: str = "seg", mito_channel: str | None = None) -> DataFrame:
-    """voxels with labels merged: inclusions go, edges are scored by the model and contracted up to the threshold, inclusions go again.
+def agglomerate(voxels: DataFrame, channels: tuple[str, ...], model, threshold: float, label: str = "seg", mito_channel: str | None = None, features: FeatureSet | None = None) -> DataFrame:
+    """voxels with labels merged: inclusions go, edges are merged up to the threshold of the model's weight, inclusions go again.
 
-    With a mito_channel, mitochondria then merge into their neighbours. What they are is told from the
-    regions merged so far, and they take part in the contraction like any region.
+    Merged regions carry their feature states on, and the model scores their edges anew. With a
+    mito_channel, mitochondria (told from the regions at the start) take no part, and merge into
+    their neighbours at the end.
     """
+    features = features or basic(channels)
     # an enclosed region reads as its encloser from the start, so features are those of the merged regions
-    voxels = relabelled(voxels, kept(inclusions(rag_nodes(voxels, (), label), rag_edges(voxels, (), label))), label)
-    nodes = rag_nodes(voxels, (), label).select("id", "size", "boundary_size")
-    edges = rag_edges(voxels, (), label)
-    weights = scored_edges(model, edge_features(voxels, channels, label))
-    nodes, edges, mapping = agglomerated(nodes, edges.join(weights, ["node1", "node2"]), threshold)
+    first = region_states(voxels, FeatureSet(()), label)
+    voxels = relabelled(voxels, kept(inclusions(*first)), label)
+    nodes, edges = region_states(voxels, features, label)
+    mito = mito_nodes(voxels, mito_channel, label=label).where("mito_type = 2").select("id") if mito_channel else None
+
+    def score(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        return scored_edges(model, edge_vectors(nodes, edges, features))
+
+    def merge(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return merged_states(rows, keys, features)
+
+    nodes, edges, mapping = scored_agglomeration(nodes, edges, threshold, score, merge, mito)
     voxels = relabelled(relabelled(voxels, mapping, label), kept(inclusions(nodes, edges)), label)
     if mito_channel is None:
         return voxels

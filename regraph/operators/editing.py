@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import voi_change
-from .graph import CONFIRMED, best_paths, components, contracted, with_sizes
+from .graph import CONFIRMED, components, contracted, with_sizes
+from .heads import head_candidates
+
+#: A large body, bodies too small to gain anything, and the largest 1 - affinity of a path from an orphan (fixed values).
+BIG_BODY, SMALL_BODY, ORPHAN_UPPER = 25_000, 1_000, 0.99
 
 
 @dataclass
@@ -28,6 +32,8 @@ class Session:
     start: float = 0.0
     ignore_size: float = 1
     hops: int = 3
+    big: float = BIG_BODY
+    small: float = SMALL_BODY
     events: list[tuple[int, int, bool]] = field(default_factory=list)
 
     def set_edge_mode(self, lower: float, upper: float, start: float, ignore_size: float = 1) -> None:
@@ -35,13 +41,19 @@ class Session:
             raise ValueError("0 <= lower <= start <= upper <= 1 is needed")
         self.mode, self.lower, self.upper, self.start, self.ignore_size = "edge", lower, upper, start, ignore_size
 
-    def set_body_mode(self, ignore_size: float, hops: int = 3, upper: float = 0.9) -> None:
-        self.mode, self.ignore_size, self.hops, self.upper = "body", ignore_size, hops, upper
+    def set_body_mode(self, ignore_size: float, hops: int = 3, upper: float = 0.9, big: float = BIG_BODY, small: float = SMALL_BODY) -> None:
+        """Heads are bodies of at least ignore_size; a question counts if it could gain as much as a body of size `big` with one of ignore_size.
+
+        Bodies smaller than `small` gain nothing.
+        """
+        self.mode, self.ignore_size, self.hops, self.upper, self.big, self.small = "body", ignore_size, hops, upper, big, small
 
-    def set_synapse_mode(self, ignore_size: float, hops: int = 3, upper: float = 0.9) -> None:
+    def set_synapse_mode(self, ignore_size: float, hops: int = 0, upper: float = 0.9) -> None:
+        """As body mode by numbers of synapses; a question counts if it could gain as much as two bodies of ignore_size synapses. hops=0: any."""
         self.mode, self.ignore_size, self.hops, self.upper = "synapse", ignore_size, hops, upper
 
-    def set_orphan_mode(self, ignore_size: float, hops: int = 3, upper: float = 0.9) -> None:
+    def set_orphan_mode(self, ignore_size: float, hops: int = 0, upper: float = ORPHAN_UPPER) -> None:
+        """Heads are bodies without boundary that have synapses or are of at least ignore_size; asked is the way to the boundary."""
         self.mode, self.ignore_size, self.hops, self.upper = "orphan", ignore_size, hops, upper
 
     def set_result(self, node1: int, node2: int, remove: bool) -> None:
@@ -68,28 +80,34 @@ class Session:
             return self.nodes, edges
         return contracted(self.nodes, edges, components(yes))
 
-    def ranked(self) -> DataFrame:
-        """(node1, node2, rank_value) of the open questions, best first by ascending rank_value."""
+    def heads(self) -> DataFrame:
+        """(head, mass, id, first, prob, gain): each head's best candidate in body, synapse and orphan mode, at most one row a head."""
         nodes, edges = self.graph()
-        open_ = edges.where(F.col("weight") <= 1)
+        synapses = F.coalesce(F.col("synapses"), F.lit(0)) if "synapses" in nodes.columns else F.lit(0)
+        if self.mode == "orphan":
+            heads = nodes.where((F.coalesce("boundary_size", F.lit(0)) == 0) & ((synapses > 0) | (F.col("size") >= self.ignore_size))).select("id", F.col("size").alias("mass"))
+            targets = nodes.where("boundary_size > 0").select("id", F.lit(1.0).alias("mass"))
+            gain, accept = (lambda p, a, b: p * b), 0.0
+        else:
+            bodies = nodes.select("id", (synapses if self.mode == "synapse" else F.col("size")).cast("double").alias("mass")).where("mass > 0")
+            total = float(bodies.agg(F.sum("mass")).first()[0] or 1)
+            one, small = (self.ignore_size, 0.0) if self.mode == "synapse" else (self.big, self.small)
+            heads = bodies if self.mode == "synapse" else bodies.where(F.col("mass") >= self.ignore_size)
+            targets = bodies.where(F.col("mass") >= small)
+            change = lambda a, b: voi_change(a, b, total)
+            gain, accept = (lambda p, a, b: p * change(a, b)), float(nodes.sparkSession.range(1).select(change(F.lit(float(one)), F.lit(float(self.ignore_size)))).first()[0])
+        found = head_candidates(edges, heads, targets, gain, 1 - self.upper, self.hops or None, round(accept, 15), preserve=self.mode != "orphan")
+        return heads.select(F.col("id").alias("head"), "mass").join(found, "head")
+
+    def ranked(self) -> DataFrame:
+        """(node1, node2, rank_value) of the open questions, best first by ascending rank_value; at most one a head, largest heads first."""
         if self.mode == "edge":
+            nodes, edges = self.graph()
             big = nodes.where(F.col("size") > self.ignore_size)
-            rows = with_sizes(open_.where(F.col("weight").between(self.lower, self.upper)), big)
+            rows = with_sizes(edges.where((F.col("weight") <= 1) & F.col("weight").between(self.lower, self.upper)), big)
             return rows.select("node1", "node2", F.abs(F.col("weight") - self.start).alias("rank_value"))
-        size = "synapses" if self.mode == "synapse" else "size"
-        heads = nodes.where(F.col(size) >= self.ignore_size)
-        if self.mode == "orphan":
-            heads = heads.where("boundary_size = 0")
-        paths = best_paths(open_, heads, 1 - self.upper, max(1, self.hops))
-        a = nodes.select(F.col("id").alias("head"), F.col(size).cast("double").alias("s1"))
-        b = nodes.select("id", F.col(size).cast("double").alias("s2"), F.col("boundary_size").alias("b2"))
-        rows = paths.join(a, "head").join(b, "id").where("s1 > 0 and s2 > 0")
-        if self.mode == "orphan":
-            rows = rows.where("b2 > 0").withColumn("gain", F.col("prob"))
-        else:
-            total = nodes.agg(F.sum(size).cast("double").alias("_t"))
-            rows = rows.join(F.broadcast(total)).withColumn("gain", F.col("prob") * voi_change(F.col("s1"), F.col("s2"), F.col("_t")))
-        pairs = rows.select(F.least("head", "id").alias("node1"), F.greatest("head", "id").alias("node2"), (-F.col("gain")).alias("rank_value"))
+        rows = self.heads()
+        pairs = rows.select(F.least("head", "first").alias("node1"), F.greatest("head", "first").alias("node2"), (-F.col("mass").cast("double")).alias("rank_value"))
         return pairs.groupBy("node1", "node2").agg(F.min("rank_value").alias("rank_value"))
 
     def next_edge(self) -> tuple[int, int] | None:

@@ -1021,10 +1021,25 @@ def edge_mode_questions(spark, sf):
     return s.ranked().select("node1", "node2", F.round("rank_value", 6).alias("rank_value"))
 
 
-@query(name="body_mode_questions")
+def _change(a: str, b: str) -> str:
+    return f"-({a} / tot * log2({a} / tot) + {b} / tot * log2({b} / tot) - ({a} + {b}) / tot * log2(({a} + {b}) / tot))"
+
+
+@query(with_rag(f""", e2 AS MATERIALIZED (SELECT node1 a, node2 b, round(1 - weight, 9) p FROM edges WHERE round(1 - weight, 9) >= 0.5),
+d2 AS MATERIALIZED (SELECT a, b, p FROM e2 UNION ALL SELECT b, a, p FROM e2),
+n2 AS MATERIALIZED (SELECT id, CAST(size AS DOUBLE) m, (SELECT CAST(sum(size) AS DOUBLE) FROM nodes) tot FROM nodes),
+hop AS (SELECT a head, b id, b first, p prob, 1 hops FROM d2
+ UNION ALL SELECT u.a, w.b, u.b, round(u.p * w.p, 9), 2 FROM d2 u JOIN d2 w ON w.a = u.b AND w.b <> u.a WHERE round(u.p * w.p, 9) >= 0.5),
+top AS (SELECT head, id, CASE WHEN e.node1 IS NULL THEN first ELSE id END first, prob FROM (SELECT *, row_number() OVER (PARTITION BY head, id ORDER BY prob DESC, hops, first) k FROM hop)
+ LEFT JOIN edges e ON e.node1 = least(head, id) AND e.node2 = greatest(head, id) WHERE k = 1),
+c AS (SELECT head, t.id, first, x.m, round(prob * ({_change('x.m', 'y.m').replace('tot', 'x.tot')}), 15) gain, x.tot
+ FROM top t JOIN n2 x ON x.id = head JOIN n2 y ON y.id = t.id WHERE x.m >= 15 AND y.m >= 12),
+r AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY gain DESC, id) k FROM c WHERE gain >= round({_change('10.0', '15.0')}, 15))
+SELECT least(head, first) node1, greatest(head, first) node2, -max(m) rank_value FROM r WHERE k = 1 GROUP BY 1, 2""").replace(" , e2", ", e2"))
 def body_mode_questions(spark, sf):
+    """Each large body's best question over paths of at most two edges, in the order of the bodies' sizes."""
     from ..operators.editing import Session
 
     s = Session(*part_graph(spark, sf))
-    s.set_body_mode(15, hops=2, upper=0.5)
-    return s.ranked().select("node1", "node2", F.round("rank_value", 9).alias("rank_value"))
+    s.set_body_mode(15, hops=2, upper=0.5, big=10, small=12)
+    return s.ranked()

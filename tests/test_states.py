@@ -137,3 +137,38 @@ def test_nulls_and_empty_volumes(spark):
     assert [(r.node1, r.node2, r["size"]) for r in edges.collect()] == [(1, 2, 2)]
     empty = region_states(spark.createDataFrame([], schema), features)
     assert fs.edge_vectors(*empty, features).count() == 0 and empty[0].count() == 0
+
+
+class MeanDifference:
+    """A model whose weight is the difference of the first channel's means (one channel, basic set)."""
+
+    def transform(self, df):
+        from pyspark.ml.functions import array_to_vector
+        from pyspark.sql import functions as F
+
+        w = F.col("features")[31]
+        return df.withColumn("probability", array_to_vector(F.array(1 - w, w)))
+
+
+def test_api_agglomeration_scores_merged_edges_again_and_skips_mitochondria(spark):
+    from regraph import api
+
+    # slabs along x: label -> (length, p0, p1)
+    slabs = {1: (1, 0.10, 0.0), 2: (2, 0.18, 0.0), 3: (2, 0.23, 0.0), 4: (1, 0.60, 0.0), 5: (1, 0.61, 1.0), 6: (1, 0.90, 0.0), 7: (1, 0.91, 0.0)}
+    rows, x = [], 0
+    for label, (n, p0, p1) in slabs.items():
+        for _ in range(n):
+            rows += [(x, y, 0, label, p0, p1) for y in range(2 if label == 4 else 3)]
+            x += 1
+    v = spark.createDataFrame(rows, "x int, y int, z int, seg int, p0 double, p1 double")
+
+    def regions(**options):
+        got = {}
+        for r in api.agglomerate(v, ("p0",), MeanDifference(), 0.09, **options).collect():
+            got.setdefault(r.seg, set()).add(r.x)
+        return sorted(map(sorted, got.values()))
+
+    # 2 and 3 merge to a mean of 0.205, so 1 (first at 0.08) is now at 0.105
+    assert regions() == [[0], [1, 2, 3, 4], [5, 6], [7, 8]]
+    # a mitochondrion is left out of the contraction and then takes the one neighbour that is large enough
+    assert regions(mito_channel="p1") == [[0], [1, 2, 3, 4], [5], [6, 7, 8]]
