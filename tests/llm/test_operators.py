@@ -61,8 +61,10 @@ def test_index_of_batches(spark, docs):
     index = exact_dedup.DigestIndex(spark)
     index.flush(docs.where("doc_id > 4"))
     index.flush(docs.where("doc_id <= 4 or doc_id is null"))
+    over_runs = sorted(map(str, index.lookup(docs).collect()))
+    assert len(over_runs) == docs.count()
     index.compact()
-    assert len(index.runs) == 1
+    assert len(index.runs) == 1 and sorted(map(str, index.lookup(docs).collect())) == over_runs
     found = {r.id: r.keep_id for r in index.lookup(docs).collect()}
     assert found[8] == 7 and found[4] == 4 and found[1] == 1 and found[6] == 5
 
