@@ -98,22 +98,17 @@ def merged_states(rows: DataFrame, keys: list[str], features: FeatureSet) -> Dat
     return out.select(*keys, *plain, pack("sums", features.width[0], "double"), pack("hist", features.width[1], "long"))
 
 
-def percentile(counts: Column, size: Column, bins: int, threshold: float) -> Column:
-    """Interpolated in the first of `bins` counts whose running sum reaches the share; 0 of an empty state."""
-    need = F.lit(threshold) * size
-    start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).alias("bin"), F.lit(None).cast("double").alias("value"))
-
-    def step(s, k):
-        hit = s["value"].isNull() & (k > 0) & (s["before"] + k >= need)
-        value = F.when(hit, (s["bin"] + F.try_divide(need - s["before"], k)) / bins).otherwise(s["value"])
-        return F.struct((s["before"] + k).alias("before"), (s["bin"] + 1).alias("bin"), value.alias("value"))
-
-    return F.coalesce(F.aggregate(counts, start, step, lambda s: s["value"]), F.lit(0.0))
+def percentile(counts: str, bins: int, threshold: float) -> Column:
+    """Interpolated in the first of `bins` counts whose running sum reaches the share of the size; 0 of an empty state."""
+    need = f"{threshold}D * size"
+    value = f"if(s.value is null and k > 0 and s.before + k >= {need}, (s.bin + try_divide({need} - s.before, k)) / {bins}, s.value)"
+    start = "struct(0L as before, 0 as bin, cast(null as double) as value)"
+    return F.expr(f"coalesce(aggregate({counts}, {start}, (s, k) -> struct(s.before + k as before, s.bin + 1 as bin, {value} as value), s -> s.value), 0D)")
 
 
 def values(features: FeatureSet, channel: int, feature: Feature) -> list[Column]:
     """The values of one feature from a state's columns."""
-    size, sums, hist = F.col("size"), F.col("sums"), F.col("hist")
+    size, sums = F.col("size"), F.col("sums")
     if feature.kind == "count":
         return [size.cast("double")]
     if feature.kind == "moments":
@@ -122,8 +117,8 @@ def values(features: FeatureSet, channel: int, feature: Feature) -> list[Column]
         return [F.coalesce(m, F.lit(0.0)) for m in moments(n, [sums[at + k] for k in range(POWERS)])[: feature.many]]
     b = feature.many
     at = channel * sum(x + 1 for x in features.bins) + sum(x + 1 for x in features.bins if x < b)
-    counts = F.concat(F.slice(hist, at + 1, b - 1), F.array(hist[at + b - 1] + hist[at + b]))
-    return [percentile(counts, size, b, t) for t in feature.thresholds]
+    counts = f"concat(slice(hist, {at + 1}, {b - 1}), array(hist[{at + b - 1}] + hist[{at + b}]))"
+    return [percentile(counts, b, t) for t in feature.thresholds]
 
 
 def vector(features: FeatureSet, mode: int, by_mode: bool = False) -> Column:

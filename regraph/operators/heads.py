@@ -26,6 +26,7 @@ def head_candidates(edges: DataFrame, heads: DataFrame, targets: DataFrame, gain
 
     Ties: of equal products the fewest edges, then the smallest first body on the way; of equal gains the smallest target.
     """
+    edges = kept(edges.select("node1", "node2", "weight", *(c for c in ("preserve", "false_edge") if c in edges.columns)))
     flagged = F.coalesce("preserve", F.lit(False)) if preserve and "preserve" in edges.columns else F.lit(False)
     affinity = edges.where(~flagged).withColumn("_p", F.round(1 - F.col("weight"), 9))
     near = kept(endpoints(affinity, "_p").where(F.col("_p") >= max(least, 0.000001)))
@@ -36,6 +37,12 @@ def head_candidates(edges: DataFrame, heads: DataFrame, targets: DataFrame, gain
     targets = kept(targets.select("id", F.col("mass").cast("double").alias("_t")))
     most = targets.agg(F.max("_t")).first()[0]
     worth = lambda p, a, b: F.round(gain(p, a, b), 15)
+
+    def promising(paths: DataFrame, best: DataFrame) -> DataFrame:
+        bound = worth(F.col("prob"), F.col("_m"), F.lit(most))
+        known = paths.join(best.select("head", F.col("gain").alias("_g")), "head", "left")
+        return known.where((bound >= accept) & (F.col("_g").isNull() | (bound >= F.col("_g")))).drop("_g")
+
     seen: list[DataFrame] = []
     best = heads.sparkSession.createDataFrame([], "head long, id long, first long, prob double, gain double")
     if most is None:
@@ -44,12 +51,12 @@ def head_candidates(edges: DataFrame, heads: DataFrame, targets: DataFrame, gain
     done = 0
     while hops is None or done < hops:
         done += 1
+        if seen:  # what the heads have found since bounds the front before it is followed
+            front = promising(front, best)
         step = front.join(near, "id").where("other != head").select("head", "_m", F.col("other").alias("id"), F.coalesce("first", "other").alias("first"), F.round(F.col("prob") * F.col("_p"), 9).alias("prob")).where(F.col("prob") >= least)
         step = step.groupBy("head", "_m", "id").agg(F.max(F.struct("prob", (-F.col("first")).alias("f"))).alias("_s")).select("head", "_m", "id", (-F.col("_s.f")).alias("first"), "_s.prob")
         step = step.join(touch, ["head", "id"], "left").where("not coalesce(_barred, false)").withColumn("first", F.when(F.col("_asked"), F.col("id")).otherwise(F.col("first"))).drop("_barred", "_asked")
-        step = step.join(best.select("head", F.col("gain").alias("_g")), "head", "left")
-        bound = worth(F.col("prob"), F.col("_m"), F.lit(most))
-        step = step.where((bound >= accept) & (F.col("_g").isNull() | (bound >= F.col("_g")))).drop("_g")
+        step = promising(step, best)
         if seen:
             old = seen[0]
             for s in seen[1:]:
