@@ -12,6 +12,7 @@ from ..functions import features as ft
 from ..functions.states import FeatureSet
 from ..operators import agglomeration as ag
 from ..operators import graph as gr
+from ..operators import labels as lb
 from ..operators import overlap as ov
 from ..operators import rag as rg
 from ..operators import stencil as st
@@ -1043,3 +1044,51 @@ def body_mode_questions(spark, sf):
     s = Session(*part_graph(spark, sf))
     s.set_body_mode(15, hops=2, upper=0.5, big=10, small=12)
     return s.ranked()
+
+
+# --- label history -------------------------------------------------------------------------------
+
+
+def label_events(spark, sf):
+    """(labels, merges, splits) over all parts: each part goes to the part of half its number, some come out again and are merged anew."""
+    ids = load(spark, sf, "part").select((F.col("p_partkey") + 1).cast("long").alias("id"))
+    rows = ids.join(F.broadcast(ids.agg(F.max("id").alias("mx"))))  # one row
+    up = rows.where("id >= 2").selectExpr("2 * (mx - id) AS step", "id AS remove", "id div 2 AS keep")
+    again = rows.where("id % 20 = 7").selectExpr("2 * mx + id AS step", "id AS remove", "CAST(1 AS BIGINT) AS keep")
+    out = rows.where("id % 10 = 7").selectExpr("2 * (mx - id div 4) + 1 AS step", "id AS label", "id AS head")
+    more = rows.where("id % 20 = 7 AND id + 3 <= mx").selectExpr("2 * (mx - id div 4) + 1 AS step", "id + 3 AS label", "id AS head")
+    return ids.toDF("label"), up.union(again), out.union(more)
+
+
+@query("""WITH RECURSIVE ids AS (SELECT CAST(p_partkey + 1 AS BIGINT) id, (SELECT max(p_partkey) + 1 FROM part) mx FROM part),
+merges AS (SELECT 2 * (mx - id) step, id remove, id // 2 keep FROM ids WHERE id >= 2 UNION ALL SELECT 2 * mx + id, id, 1 FROM ids WHERE id % 20 = 7),
+splits AS (SELECT 2 * (mx - id // 4) + 1 step, id AS label, id head FROM ids WHERE id % 10 = 7
+ UNION ALL SELECT 2 * (mx - id // 4) + 1, id + 3, id FROM ids WHERE id % 20 = 7 AND id + 3 <= mx),
+heads AS (SELECT DISTINCT head, step FROM splits),
+edges AS (SELECT remove, coalesce(max(r.step), -1) rv, keep, coalesce(max(k.step), -1) kv, m.step FROM merges m
+ LEFT JOIN heads r ON r.head = remove AND r.step <= m.step LEFT JOIN heads k ON k.head = keep AND k.step <= m.step GROUP BY remove, keep, m.step),
+times AS (SELECT DISTINCT 'middle' AS at, mx AS t FROM ids UNION ALL SELECT DISTINCT 'end', 4 * mx FROM ids),
+own AS (SELECT at, t, id AS label, coalesce(arg_max(head, s.step), id) node, coalesce(max(s.step), -1) v FROM ids CROSS JOIN times LEFT JOIN splits s ON s.label = id AND s.step <= t GROUP BY at, t, id),
+walk AS (SELECT at, t, label, node, v, 0 AS hops FROM own
+ UNION ALL SELECT w.at, w.t, w.label, e.keep, e.kv, hops + 1 FROM walk w JOIN edges e ON e.remove = w.node AND e.rv = w.v AND e.step <= w.t)
+SELECT at, label, CAST(arg_max(node, hops) AS BIGINT) body FROM walk GROUP BY at, label""")
+def labels_over_time(spark, sf):
+    """The body of each part halfway through the events and after all of them."""
+    labels, merges, splits = label_events(spark, sf)
+    middle = load(spark, sf, "part").agg(F.max("p_partkey") + 1).first()[0]
+    parts = [lb.labels_at(labels, merges, splits, t).withColumn("at", F.lit(n)) for n, t in (("middle", middle), ("end", None))]
+    return parts[0].union(parts[1]).select("at", "label", "body")
+
+
+@query(f"""WITH {GROWN_SQL}, c AS MATERIALIZED (SELECT seg, gt, count(*) n FROM vox WHERE seg > 0 AND gt <> 0 GROUP BY 1, 2),
+a AS (SELECT seg - 1 seg, arg_max(gt, n * 1000000 - gt) gt, max(n) n FROM c WHERE seg % 4 = 3 GROUP BY seg),
+c2 AS (SELECT seg, gt, sum(n) n FROM (SELECT * FROM c UNION ALL SELECT * FROM a) WHERE seg % 4 <> 3 GROUP BY 1, 2),
+b AS (SELECT seg - seg % 4 seg, arg_max(gt, n * 1000000 - gt) gt, max(n) n FROM c2 WHERE seg % 4 <> 0 GROUP BY c2.seg),
+c3 AS (SELECT seg, gt, sum(n) n FROM (SELECT * FROM c2 UNION ALL SELECT * FROM b) WHERE seg % 4 = 0 GROUP BY 1, 2)
+SELECT CAST(seg AS BIGINT) seg, CAST(arg_max(gt, n * 1000000 - gt) AS BIGINT) gt, CAST(max(n) AS BIGINT) AS "count" FROM c3 GROUP BY seg""")
+def assignment_after_merges(spark, sf):
+    """Ground-truth labels of the segments that are left after merging four segments into one, in two steps."""
+    table = ov.contingency(grown_grid(spark, sf).where("seg > 0"))
+    segs = table.select("seg").distinct()
+    merges = segs.where("seg % 4 != 0").selectExpr("4 - seg % 4 AS step", "seg AS remove", "CASE WHEN seg % 4 = 3 THEN seg - 1 ELSE seg - seg % 4 END AS keep")
+    return lb.assigned_after(table, merges)
