@@ -1067,17 +1067,17 @@ splits AS (SELECT 2 * (mx - id // 4) + 1 step, id AS label, id head FROM ids WHE
 heads AS (SELECT DISTINCT head, step FROM splits),
 edges AS (SELECT remove, coalesce(max(r.step), -1) rv, keep, coalesce(max(k.step), -1) kv, m.step FROM merges m
  LEFT JOIN heads r ON r.head = remove AND r.step <= m.step LEFT JOIN heads k ON k.head = keep AND k.step <= m.step GROUP BY remove, keep, m.step),
-times AS (SELECT DISTINCT 'middle' AS at, mx AS t FROM ids UNION ALL SELECT DISTINCT 'end', 4 * mx FROM ids),
-own AS (SELECT at, t, id AS label, coalesce(arg_max(head, s.step), id) node, coalesce(max(s.step), -1) v FROM ids CROSS JOIN times LEFT JOIN splits s ON s.label = id AND s.step <= t GROUP BY at, t, id),
-walk AS (SELECT at, t, label, node, v, 0 AS hops FROM own
- UNION ALL SELECT w.at, w.t, w.label, e.keep, e.kv, hops + 1 FROM walk w JOIN edges e ON e.remove = w.node AND e.rv = w.v AND e.step <= w.t)
-SELECT at, label, CAST(arg_max(node, hops) AS BIGINT) body FROM walk GROUP BY at, label""")
+times AS (SELECT DISTINCT 'middle' AS moment, mx AS t FROM ids UNION ALL SELECT DISTINCT 'end', 4 * mx FROM ids),
+own AS (SELECT moment, t, id AS label, coalesce(arg_max(head, s.step), id) node, coalesce(max(s.step), -1) v FROM ids CROSS JOIN times LEFT JOIN splits s ON s.label = id AND s.step <= t GROUP BY moment, t, id),
+walk AS (SELECT moment, t, label, node, v, 0 AS hops FROM own
+ UNION ALL SELECT w.moment, w.t, w.label, e.keep, e.kv, hops + 1 FROM walk w JOIN edges e ON e.remove = w.node AND e.rv = w.v AND e.step <= w.t)
+SELECT moment, label, CAST(arg_max(node, hops) AS BIGINT) body FROM walk GROUP BY moment, label""")
 def labels_over_time(spark, sf):
     """The body of each part halfway through the events and after all of them."""
     labels, merges, splits = label_events(spark, sf)
     middle = load(spark, sf, "part").agg(F.max("p_partkey") + 1).first()[0]
-    parts = [lb.labels_at(labels, merges, splits, t).withColumn("at", F.lit(n)) for n, t in (("middle", middle), ("end", None))]
-    return parts[0].union(parts[1]).select("at", "label", "body")
+    parts = [lb.labels_at(labels, merges, splits, t).withColumn("moment", F.lit(n)) for n, t in (("middle", middle), ("end", None))]
+    return parts[0].union(parts[1]).select("moment", "label", "body")
 
 
 @query(f"""WITH {GROWN_SQL}, c AS MATERIALIZED (SELECT seg, gt, count(*) n FROM vox WHERE seg > 0 AND gt <> 0 GROUP BY 1, 2),
