@@ -17,6 +17,7 @@ from ..operators import overlap as ov
 from ..operators import rag as rg
 from ..operators import stencil as st
 from ..operators.blocks import region_states
+from ..operators.growing import absorbed
 from ..sources.fixtures import GROWN_SQL, RAG_SQL, SYN_SQL, VOX_SQL, grown_grid, load, part_graph, synapse_points, voxel_grid
 
 QUERIES: dict = {}
@@ -1092,3 +1093,9 @@ def assignment_after_merges(spark, sf):
     segs = table.select("seg").distinct()
     merges = segs.where("seg % 4 != 0").selectExpr("4 - seg % 4 AS step", "seg AS remove", "CASE WHEN seg % 4 = 3 THEN seg - 1 ELSE seg - seg % 4 END AS keep")
     return lb.assigned_after(table, merges)
+
+
+@query()
+def absorbed_regions(spark, sf):
+    """The grown grid after segments of fewer than 60 voxels and the background are flooded from the others; tested against a heap flood."""
+    return absorbed(grown_grid(spark, sf), "p0", 60)
