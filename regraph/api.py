@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.states import FeatureSet, basic, edge_vectors, merged_states
 from .operators.agglomeration import scored_agglomeration
 from .operators.blocks import region_states
-from .operators.graph import best_paths, relabelled
+from .operators.graph import relabelled, traced_paths
 from .operators.inclusions import inclusions
 from .operators.learning import edge_features, fit_classifier, scored_edges, training_set
 from .operators.overlap import assignment, contingency
@@ -58,7 +58,20 @@ def learn(voxels: DataFrame, channels: tuple[str, ...], mito_channel: str | None
     return fit_classifier(training_set(edge_features(voxels, channels), gt, mito), **options)
 
 
-def find_close_bodies(edges: DataFrame, body: int, hops: int, least: float) -> DataFrame:
-    """(head, id, prob) of the bodies that best paths of at most `hops` edges reach."""
-    heads = edges.sparkSession.createDataFrame([(body,)], "id long")
-    return best_paths(edges, heads, least, hops)
+def find_close_bodies(edges: DataFrame, body: int, hops: int | None, least: float) -> DataFrame:
+    """(head, id, hops, prob) of the bodies that best paths of at most `hops` edges (None: any number) reach from one.
+
+    hops holds the bodies in between, the one next to id first; it is empty for neighbours. A body
+    without edges gives no rows.
+    """
+    return _with_hops(traced_paths(edges, edges.sparkSession.createDataFrame([(body,)], "id long"), least, hops))
+
+
+def find_important_paths(edges: DataFrame, bodies: DataFrame, hops: int | None = 3, least: float = 0.1) -> DataFrame:
+    """(head, id, hops, prob) of find_close_bodies for all pairs head < id of bodies(id); ids that repeat or are null count once or not."""
+    ids = bodies.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct()
+    return _with_hops(traced_paths(edges, ids, least, hops).where("head < id").join(ids, "id", "left_semi"))
+
+
+def _with_hops(paths: DataFrame) -> DataFrame:
+    return paths.select("head", "id", F.expr("reverse(slice(path, 2, size(path) - 2))").alias("hops"), "prob")
