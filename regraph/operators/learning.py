@@ -34,7 +34,7 @@ def training_set(features: DataFrame, gt: DataFrame, mito: DataFrame | None = No
         ends = ends.join(m.toDF("node1", "_m1"), "node1").join(m.toDF("node2", "_m2"), "node2").where("not (_m1 and _m2)")
         label = F.when(F.col("_m1") != F.col("_m2"), 1).otherwise(label)
     rows = ends.withColumn("label", label)
-    return rows.groupBy("features").agg(F.min(F.struct("node1", "node2", "label")).alias("_r")).select("_r.node1", "_r.node2", "features", "_r.label")
+    return first_of_equal(rows.select("node1", "node2", "features", "label"))
 
 
 def vectors(df: DataFrame) -> DataFrame:
@@ -169,6 +169,11 @@ def overlap_weights(nodes: DataFrame, edges: DataFrame, zeros: str | None = None
 
 
 def first_of_equal(samples: DataFrame) -> DataFrame:
-    """samples without later rows of equal features, by (node1, node2)."""
-    w = Window.partitionBy("features").orderBy("node1", "node2")
-    return samples.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """samples(node1, node2, features, ...) without later rows of equal features, by (node1, node2), then the other columns.
+
+    Features are equal if they are to 15 decimals, which is the spacing of doubles near 1; nulls and NaN equal
+    themselves. Partial minima come before the shuffle, so a feature row that many samples share is no hot key.
+    """
+    others = [c for c in samples.columns if c not in ("node1", "node2", "features")]
+    first = samples.groupBy(F.transform("features", lambda x: F.round(x, 15)).alias("_key")).agg(F.min(F.struct("node1", "node2", *others, "features")).alias("_r"))
+    return first.select("_r.*").select(*samples.columns)

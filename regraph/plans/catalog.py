@@ -245,8 +245,10 @@ def merged_states(spark, sf):
 
 @query("""SELECT l_quantity, l_discount, min(l_orderkey * 100 + l_linenumber) first_row FROM lineitem GROUP BY 1, 2""")
 def distinct_feature_rows(spark, sf):
-    rows = load(spark, sf, "lineitem").withColumn("_row", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
-    return rows.groupBy("l_quantity", "l_discount").agg(F.min("_row").alias("first_row"))
+    from ..operators.learning import first_of_equal
+
+    rows = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("node1"), F.col("l_linenumber").alias("node2"), F.array("l_quantity", "l_discount").alias("features"))
+    return first_of_equal(rows).select(F.col("features")[0].alias("l_quantity"), F.col("features")[1].alias("l_discount"), (F.col("node1") * 100 + F.col("node2")).alias("first_row"))
 
 
 # --- two labellings ------------------------------------------------------------------------------

@@ -89,3 +89,15 @@ def test_whole_part_graph_against_brute_force(spark):
     assert {(r.node1, r.node2): r.edge_size for r in edges.collect()} == pairs
     asked = catalog.QUERIES["body_mode_questions"](spark, SF)
     assert asked.where("node1 % 8 != 1 or node2 % 8 != 1").limit(1).count()
+
+
+def test_first_of_equal_features(spark):
+    from regraph.operators.learning import first_of_equal
+
+    third = 0.1 + 0.2  # one spacing above 0.3
+    rows = [(2, 3, [0.3, 1.0], 1), (1, 9, [third, 1.0], -1), (1, 9, [third, 1.0], -1), (1, 2, [0.3001, 1.0], 1), (5, 6, [float("nan"), None], 1), (4, 6, [float("nan"), None], -1)]
+    df = spark.createDataFrame(rows, "node1 long, node2 long, features array<double>, label int")
+    got = first_of_equal(df)
+    assert got.columns == df.columns
+    assert sorted((r.node1, r.node2, r.label) for r in got.collect()) == [(1, 2, 1), (1, 9, -1), (4, 6, -1)]
+    assert first_of_equal(df.limit(0)).count() == 0
