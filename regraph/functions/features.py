@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,20 +90,66 @@ def logistic(f: Column) -> Column:
     return 1 / (1 + F.exp(-f))
 
 
+#: Vectors of a block, and of a tile of the products of two blocks (fixed values).
+BLOCK, TILE = 16_384, 1024
+
+
+def close_rows(a: np.ndarray, b: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b, distance) of all pairs within radius, some 65,536 candidates at a time.
+
+    Products of tiles leave candidates, with room for rounding; their distances are added up component
+    by component, as `distance` does.
+    """
+    a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    for i in range(0, len(a), TILE):
+        for j in range(0, len(b), TILE):
+            sums = a2[i : i + TILE, None] + b2[None, j : j + TILE]
+            apart = sums - 2 * (a[i : i + TILE] @ b[j : j + TILE].T)
+            left, right = np.nonzero(~(apart > radius * radius * (1 + 1e-9) + 1e-9 * sums))  # what overflows stays a candidate
+            for k in range(0, len(left), 65_536):
+                x, y = left[k : k + 65_536] + i, right[k : k + 65_536] + j
+                off = a[x] - b[y]
+                far = np.sqrt(np.add.accumulate(off * off, axis=1)[:, -1]) if off.shape[1] else np.zeros(len(x))
+                near = far < radius
+                yield x[near], y[near], far[near]
+
+
 def similar_pairs(vectors: DataFrame, radius: float) -> DataFrame:
-    """(id1, id2, distance) within radius: a band join on norms, then the exact distance.
+    """(id1, id2, distance) of vectors(id, v) within radius, id1 < id2, by an exact comparison of all pairs.
 
-    |a| and |b| of such a pair differ by at most the radius, so rows meet in their own or an adjacent
-    band of norms; within a band the join is further keyed by slices of the first component, which
-    differ by at most the radius as well.
+    Rows are dealt to blocks of some BLOCK, and each pair of blocks is compared in its own task, a tile of
+    products at a time: work grows with the square of the rows, as no bound on norms or components parts
+    vectors of one length, but a task's memory does not. Nulls and components that are null or not
+    finite are within no radius of anything; neither are vectors of different numbers of components.
     """
-    v = vectors.withColumns({"norm": F.sqrt(dot(F.col("v"), F.col("v"))), "c": F.col("v")[0].cast("double")})
-    v = v.withColumns({"band": F.floor(F.col("norm") / radius), "cell": F.floor(F.col("c") / radius)})
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    left = v.select(F.col("id").alias("id1"), F.col("v").alias("v1"), "band", "cell", F.explode(around).alias("o")).select("id1", "v1", (F.col("band") + F.col("o.a")).alias("band"), (F.col("cell") + F.col("o.b")).alias("cell"))
-    right = v.select(F.col("id").alias("id2"), F.col("v").alias("v2"), "band", "cell")
-    pairs = left.join(right, ["band", "cell"]).where("id1 < id2").withColumn("distance", distance(F.col("v1"), F.col("v2")))
-    return pairs.where(F.col("distance") < radius).select("id1", "id2", F.round("distance", 6).alias("distance"))
+    kind = vectors.schema["id"].dataType.simpleString()
+    rows = vectors.select("id", F.col("v").cast("array<double>").alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    blocks = max(8, -(-vectors.count() // BLOCK))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("*", other.alias("_o"))
+    dealt = rows.select("id", "v", "block", F.least("block", "_o").alias("one"), F.greatest("block", "_o").alias("two"))
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two = (k.as_py() for k in key)
+        rows = pa.Table.from_batches(list(batches))
+        block, size = rows.column("block").to_numpy(), pc.list_value_length(rows.column("v")).to_numpy()
+        for n in np.unique(size):
+            sides = []
+            for b in (one, two) if one < two else (one,):
+                part = rows.filter(pa.array((block == b) & (size == n)))
+                values = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                sides.append((part.column("id").combine_chunks(), values.reshape(part.num_rows, n)))
+            (id1, a), (id2, b) = sides[0], sides[-1]
+            for x, y, far in close_rows(a, b, radius):
+                x, y = id1.take(pa.array(x)), id2.take(pa.array(y))
+                less = pc.less(x, y)
+                keep = less if one == two else pc.not_equal(x, y)
+                found = [pc.if_else(less, x, y), pc.if_else(less, y, x), pa.array(far)]
+                yield pa.RecordBatch.from_arrays(found, names=["id1", "id2", "distance"]).filter(keep)
+
+    pairs = dealt.repartition(min(blocks * (blocks + 1) // 2, 10_000), "one", "two").groupBy("one", "two").applyInArrow(compare, f"id1 {kind}, id2 {kind}, distance double")
+    return pairs.select("id1", "id2", F.round("distance", 6).alias("distance"))
 
 
 def feature_screen(rows: DataFrame, columns: list[str], least: float = 0.001) -> DataFrame:

@@ -154,6 +154,25 @@ def test_similar_pairs_against_brute_force(spark):
     assert rows(ft.similar_pairs(df, 1.0), "id1", "id2") == want
 
 
+def test_similar_pairs_odd_rows_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ft, "BLOCK", 7)
+    monkeypatch.setattr(ft, "TILE", 3)
+    x = np.random.default_rng(2).normal(size=(90, 4)).tolist() + [[1e200] * 4] * 2 + [[0.5] * 4] * 20
+    odd = [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (204, [0.5] * 3), (205, []), (None, [0.5] * 4), (7, x[7])]
+    df = spark.createDataFrame([*enumerate(x), *odd], "id long, v array<double>")
+    near = [(i, j) for i in range(112) for j in range(i + 1, 112) if np.linalg.norm(np.subtract(x[i], x[j])) < 1.0]
+    assert rows(ft.similar_pairs(df, 1.0), "id1", "id2") == sorted(near + [p for p in near if 7 in p])
+
+
+def test_similar_pairs_of_one_length_make_no_row_a_pair(spark):
+    x = np.random.default_rng(3).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = ft.similar_pairs(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>"), 1.1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+    assert 0 < got.count() < 20_000
+
+
 def test_stream_merge_equals_batch(spark, tmp_path):
     from regraph.streaming.merge import merged_stream, write_totals
 
