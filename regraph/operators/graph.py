@@ -30,10 +30,10 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(near, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), (F.coalesce("_s", F.lit(0)) + F.col("boundary_size")).alias("border"))
 
 
-def with_sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def with_sizes(edges: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:
     one = nodes.select(F.col("id").alias("node1"), F.col("size").alias("size1"))
     two = nodes.select(F.col("id").alias("node2"), F.col("size").alias("size2"))
-    return edges.join(one, "node1").join(two, "node2")
+    return dealt(dealt(edges, tasks, "node1").join(one, "node1"), tasks, "node2").join(two, "node2")
 
 
 def valid_edge(synapse_mode: bool = False, size: Column | None = None) -> Column:
@@ -43,30 +43,35 @@ def valid_edge(synapse_mode: bool = False, size: Column | None = None) -> Column
     return ~F.col("preserve") & ~F.col("false_edge")
 
 
-def constrained(edges: DataFrame, constraints: DataFrame) -> DataFrame:
+def dealt(df: DataFrame, tasks: int | None, *cols: str) -> DataFrame:
+    """df by cols in that many tasks, which bounds what a task holds; with None Spark settles their number."""
+    return df if tasks is None else df.repartition(tasks, *cols)
+
+
+def constrained(edges: DataFrame, constraints: DataFrame, tasks: int | None = None) -> DataFrame:
     """edges with preserve, false_edge: constraints(node1, node2) preserve an edge or add a false one of weight 1."""
     asked = canonical(constraints).select("node1", "node2").where("node1 != node2 and node1 != 0").distinct().withColumn("_c", F.lit(True))
-    both = edges.join(asked, ["node1", "node2"], "full")
+    both = dealt(edges, tasks, "node1", "node2").join(dealt(asked, tasks, "node1", "node2"), ["node1", "node2"], "full")
     new = F.col("edge_size").isNull()
     return both.select("node1", "node2", F.coalesce("edge_size", F.lit(0)).alias("edge_size"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("_c", F.lit(False)).alias("preserve"), new.alias("false_edge"))
 
 
-def relabelled(df: DataFrame, mapping: DataFrame, *cols: str) -> DataFrame:
+def relabelled(df: DataFrame, mapping: DataFrame, *cols: str, tasks: int | None = None) -> DataFrame:
     """df with each of cols sent through mapping(old, new); ids without an entry stay."""
     for c in cols:
         m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-        df = df.join(m, F.col(c) == F.col("_old"), "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
+        df = dealt(df, tasks, c).join(m, F.col(c) == F.col("_old"), "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
     return df
 
 
-def contracted(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, weight: str = "low") -> tuple[DataFrame, DataFrame]:
+def contracted(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, weight: str = "low", tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The graph after merging nodes by mapping(old, new).
 
     Sizes add, preserve is OR, false_edge is AND. weight "low" takes the smallest weight unless one
     is over 1 (then the largest); "zero" resets it, as where a classifier scores merged edges anew.
     """
     merged_nodes = relabelled(nodes, mapping, "id").groupBy("id").agg(*[F.sum(c).alias(c) for c in nodes.columns if c != "id"])
-    moved = canonical(relabelled(edges, mapping, "node1", "node2")).where("node1 != node2")
+    moved = dealt(canonical(relabelled(edges, mapping, "node1", "node2", tasks=tasks)).where("node1 != node2"), tasks, "node1", "node2")
     low = F.when(F.max("weight") > 1, F.max("weight")).otherwise(F.min("weight")) if weight == "low" else F.when(F.count(F.lit(1)) > 1, F.lit(0.0)).otherwise(F.max("weight"))
     how = {"edge_size": F.sum("edge_size"), "weight": low, "preserve": F.bool_or("preserve"), "false_edge": F.bool_and("false_edge")}
     return merged_nodes, moved.groupBy("node1", "node2").agg(*[how.get(c, F.sum(c)).alias(c) for c in edges.columns if c not in ("node1", "node2")])
@@ -206,11 +211,11 @@ def path_affinity(edges: DataFrame, pairs: DataFrame, least: float = 0.01, hops:
     return asked.join(found, ["head", "id"], "left").na.fill(0.0, ["prob"])
 
 
-def neighbourhood(edges: DataFrame, bodies: DataFrame) -> DataFrame:
+def neighbourhood(edges: DataFrame, bodies: DataFrame, tasks: int | None = None) -> DataFrame:
     """The edges that touch one of bodies(id) at either end, each once."""
     ids = bodies.select("id").distinct()
     marks = [ids.select(F.col("id").alias(n), F.lit(True).alias(f"_{n}")) for n in ("node1", "node2")]
-    return edges.join(marks[0], "node1", "left").join(marks[1], "node2", "left").where("_node1 or _node2").select(*edges.columns)
+    return dealt(dealt(edges, tasks, "node1").join(marks[0], "node1", "left"), tasks, "node2").join(marks[1], "node2", "left").where("_node1 or _node2").select(*edges.columns)
 
 
 def plane_weights(edges: DataFrame, span: int = 200_000) -> DataFrame:

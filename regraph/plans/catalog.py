@@ -18,7 +18,7 @@ from ..operators import rag as rg
 from ..operators import stencil as st
 from ..operators.blocks import region_states
 from ..operators.growing import absorbed
-from ..sources.fixtures import GROWN_SQL, RAG_SQL, SYN_SQL, VOX_SQL, grown_grid, load, part_graph, synapse_points, voxel_grid
+from ..sources.fixtures import GROWN_SQL, RAG_SQL, SYN_SQL, VOX_SQL, grown_grid, load, part_graph, part_tasks, synapse_points, voxel_grid
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -343,7 +343,7 @@ def node_degrees(spark, sf):
 @query(with_rag("SELECT node1, node2, a.size size1, b.size size2, weight, edge_size FROM edges JOIN nodes a ON a.id = node1 JOIN nodes b ON b.id = node2"))
 def edge_endpoints(spark, sf):
     nodes, edges = part_graph(spark, sf)
-    return gr.with_sizes(edges, nodes).select("node1", "node2", "size1", "size2", "weight", "edge_size")
+    return gr.with_sizes(edges, nodes, part_tasks(spark, sf)).select("node1", "node2", "size1", "size2", "weight", "edge_size")
 
 
 @query(with_rag("SELECT id, boundary_size = 0 AS orphan FROM nodes"))
@@ -394,7 +394,9 @@ def uncertain_edges(spark, sf):
 def zero_pruned_edges(spark, sf):
     nodes, edges = part_graph(spark, sf)
     live = nodes.where("boundary_size > 5").select("id")
-    return edges.join(live, F.col("node1") == F.col("id"), "left_semi").join(live, F.col("node2") == F.col("id"), "left_semi").select("node1", "node2", "edge_size")
+    tasks = part_tasks(spark, sf)
+    one = gr.dealt(edges, tasks, "node1").join(live, F.col("node1") == F.col("id"), "left_semi")
+    return gr.dealt(one, tasks, "node2").join(live, F.col("node2") == F.col("id"), "left_semi").select("node1", "node2", "edge_size")
 
 
 @query(with_rag("SELECT id, size, rank() OVER (ORDER BY size DESC, id) AS place FROM nodes ORDER BY size DESC, id LIMIT 25"))
@@ -440,7 +442,7 @@ def contracted_nodes(spark, sf):
 FROM edges JOIN mm a ON a.old = node1 JOIN mm b ON b.old = node2 WHERE a."new" <> b."new" GROUP BY 1, 2""").replace(" , m", ", m"))
 def contracted_edges(spark, sf):
     nodes, edges = part_graph(spark, sf)
-    return gr.contracted(nodes, edges, _mapping(nodes))[1]
+    return gr.contracted(nodes, edges, _mapping(nodes), tasks=part_tasks(spark, sf))[1]
 
 
 @query(with_rag(""", k AS (SELECT DISTINCT least(id, id + 8 * (1 + id % 5)) a, greatest(id, id + 8 * (1 + id % 5)) b FROM nodes)
@@ -449,7 +451,7 @@ FROM edges FULL JOIN k ON node1 = a AND node2 = b""").replace(" , k", ", k"))
 def constrained_edges(spark, sf):
     nodes, edges = part_graph(spark, sf)
     pairs = nodes.select(F.col("id").alias("node1"), (F.col("id") + 8 * (1 + F.col("id") % 5)).alias("node2"))
-    return gr.constrained(edges, pairs)
+    return gr.constrained(edges, pairs, part_tasks(spark, sf))
 
 
 #: Every round each node takes the smallest label around it; 40 rounds are enough for the whole part graph, whose components are dense.
@@ -926,7 +928,7 @@ def uncertainty_distribution(spark, sf):
 def body_neighbourhood(spark, sf):
     """Edges at either end of a list of bodies, to be scored."""
     nodes, edges = part_graph(spark, sf)
-    return gr.neighbourhood(edges, nodes.where("size > 35"))
+    return gr.neighbourhood(edges, nodes.where("size > 35"), part_tasks(spark, sf))
 
 
 #: Edges of the voxel grid's segments with a weight made of their ids.
@@ -992,7 +994,7 @@ def emitted_edges(spark, sf):
     """Edges that are written as features: false edges, which have no size, are not."""
     nodes, edges = part_graph(spark, sf)
     asked = nodes.select(F.col("id").alias("node1"), (F.col("id") + 1).alias("node2"))
-    return gr.emitted(nodes, gr.constrained(edges, asked))[1].select("node1", "node2", "edge_size")
+    return gr.emitted(nodes, gr.constrained(edges, asked, part_tasks(spark, sf)))[1].select("node1", "node2", "edge_size")
 
 
 @query(with_vox(f""", {VI_SQL} SELECT count(*) AS matches, count(DISTINCT seg) segs, count(DISTINCT gt) gts FROM v WHERE n / gs > 0.5 OR n / ss > 0.5""").replace(" , c", ", c"))

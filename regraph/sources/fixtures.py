@@ -60,14 +60,24 @@ g AS (
 )"""
 
 
+#: Line items of a task of the part graph; an item makes some two edges (fixed value).
+TASK_ITEMS = 100_000
+
+
+def part_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that the part graph's edges are dealt to: they grow with the line items, so that a task's memory does not."""
+    return max(spark.sparkContext.defaultParallelism, -(-load(spark, sf_dir, "lineitem").count() // TASK_ITEMS))
+
+
 def part_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes(id, size, boundary_size), edges(node1, node2, edge_size, weight)): parts bought together."""
     items = load(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") + 1).alias("id"), "l_linenumber")
+    tasks = part_tasks(spark, sf_dir)
     nodes = items.groupBy("id").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("l_linenumber") == 7, 1).otherwise(0)).alias("boundary_size"))
-    own = items.select("l_orderkey", "id").distinct()
+    own = items.select("l_orderkey", "id").repartition(tasks, "l_orderkey").distinct()
     pairs = own.select("l_orderkey", F.col("id").alias("node1")).join(own.select("l_orderkey", F.col("id").alias("node2")), "l_orderkey").where("node1 < node2")
     weight = ((F.col("node1") * 31 + F.col("node2") * 17) % 100).cast("double") / F.lit(100.0)
-    return nodes, pairs.groupBy("node1", "node2").agg(F.count(F.lit(1)).alias("edge_size")).withColumn("weight", weight)
+    return nodes, pairs.repartition(tasks, "node1", "node2").groupBy("node1", "node2").agg(F.count(F.lit(1)).alias("edge_size")).withColumn("weight", weight)
 
 
 RAG_SQL = """

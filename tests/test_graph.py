@@ -173,6 +173,17 @@ def test_similar_pairs_of_one_length_make_no_row_a_pair(spark):
     assert 0 < got.count() < 20_000
 
 
+def test_part_graph_deals_more_items_to_more_tasks(spark, monkeypatch):
+    from regraph.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    want = rows(fixtures.part_graph(spark, sf)[1], "node1", "node2", "edge_size")
+    monkeypatch.setattr(fixtures, "TASK_ITEMS", 300)
+    edges = fixtures.part_graph(spark, sf)[1]
+    assert edges.rdd.getNumPartitions() == -(-fixtures.load(spark, sf, "lineitem").count() // 300) == fixtures.part_tasks(spark, sf)
+    assert rows(edges, "node1", "node2", "edge_size") == want
+
+
 def test_stream_merge_equals_batch(spark, tmp_path):
     from regraph.streaming.merge import merged_stream, write_totals
 
