@@ -184,6 +184,14 @@ def test_part_graph_deals_more_items_to_more_tasks(spark, monkeypatch):
     assert rows(edges, "node1", "node2", "edge_size") == want
 
 
+def test_components_broadcast_no_labels(spark, monkeypatch):
+    plans, kept = [], gr.kept
+    monkeypatch.setattr(gr, "kept", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8)], "node1 long, node2 long")
+    assert rows(gr.components(edges), "old", "new") == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_stream_merge_equals_batch(spark, tmp_path):
     from regraph.streaming.merge import merged_stream, write_totals
 
