@@ -26,22 +26,23 @@ def head_candidates(edges: DataFrame, heads: DataFrame, targets: DataFrame, gain
 
     Ties: of equal products the fewest edges, then the smallest first body on the way; of equal gains the smallest target.
     """
-    edges = kept(edges.select("node1", "node2", "weight", *(c for c in ("preserve", "false_edge") if c in edges.columns)))
     flagged = F.coalesce("preserve", F.lit(False)) if preserve and "preserve" in edges.columns else F.lit(False)
-    affinity = edges.where(~flagged).withColumn("_p", F.round(1 - F.col("weight"), 9))
-    near = kept(endpoints(affinity, "_p").where(F.col("_p") >= max(least, 0.000001)))
     false = F.coalesce("false_edge", F.lit(False)) if "false_edge" in edges.columns else F.lit(False)
-    touch = endpoints(edges.withColumns({"_barred": flagged | (F.col("weight") > CONFIRMED_OVER), "_asked": ~false}), "_barred", "_asked")
-    touch = kept(touch.groupBy(F.col("id").alias("head"), F.col("other").alias("id")).agg(F.bool_or("_barred").alias("_barred"), F.bool_or("_asked").alias("_asked")))
+    pair = [F.least("node1", "node2").alias("node1"), F.greatest("node1", "node2").alias("node2")]
+    rows = edges.select(*pair, F.when(~flagged, F.round(1 - F.col("weight"), 9)).alias("_p"), (flagged | (F.col("weight") > CONFIRMED_OVER)).alias("_barred"), (~false).alias("_asked"))
+    pairs = kept(rows.groupBy("node1", "node2").agg(F.max("_p").alias("_p"), F.bool_or("_barred").alias("_barred"), F.bool_or("_asked").alias("_asked")))
     heads = kept(heads.select(F.col("id").alias("head"), F.col("mass").cast("double").alias("_m")))
     targets = kept(targets.select("id", F.col("mass").cast("double").alias("_t")))
     most = targets.agg(F.max("_t")).first()[0]
     worth = lambda p, a, b: F.round(gain(p, a, b), 15)
+    # each step with the mass of the target that it leads to, if it is one: the last step is bounded by that
+    near = endpoints(pairs, "_p", "_barred").where(F.col("_p") >= max(least, 0.000001))
+    near = kept(near.join(targets.withColumnRenamed("id", "other"), "other", "left"))
 
-    def promising(paths: DataFrame, best: DataFrame) -> DataFrame:
-        bound = worth(F.col("prob"), F.col("_m"), F.lit(most))
-        known = paths.join(best.select("head", F.col("gain").alias("_g")), "head", "left")
-        return known.where((bound >= accept) & (F.col("_g").isNull() | (bound >= F.col("_g")))).drop("_g")
+    def promising(paths: DataFrame, mass: Column) -> DataFrame:
+        """paths whose gain with a target of that mass would reach accept and _g, the head's best so far."""
+        bound = worth(F.col("prob"), F.col("_m"), mass)
+        return paths.where((bound >= accept) & (F.col("_g").isNull() | (bound >= F.col("_g"))))
 
     seen: list[DataFrame] = []
     best = heads.sparkSession.createDataFrame([], "head long, id long, first long, prob double, gain double")
@@ -51,23 +52,29 @@ def head_candidates(edges: DataFrame, heads: DataFrame, targets: DataFrame, gain
     done = 0
     while hops is None or done < hops:
         done += 1
-        if seen:  # what the heads have found since bounds the front before it is followed
-            front = promising(front, best)
-        step = front.join(near, "id").where("other != head").select("head", "_m", F.col("other").alias("id"), F.coalesce("first", "other").alias("first"), F.round(F.col("prob") * F.col("_p"), 9).alias("prob")).where(F.col("prob") >= least)
-        step = step.groupBy("head", "_m", "id").agg(F.max(F.struct("prob", (-F.col("first")).alias("f"))).alias("_s")).select("head", "_m", "id", (-F.col("_s.f")).alias("first"), "_s.prob")
-        step = step.join(touch, ["head", "id"], "left").where("not coalesce(_barred, false)").withColumn("first", F.when(F.col("_asked"), F.col("id")).otherwise(F.col("first"))).drop("_barred", "_asked")
-        step = promising(step, best)
-        if seen:
+        # what the heads have found since bounds the front before it is followed, and each step as it is made
+        front = front.drop("_t").join(best.select("head", F.col("gain").alias("_g")), "head", "left") if seen else front.withColumn("_g", F.lit(None).cast("double"))
+        step = promising(front, F.lit(most)).join(near, "id").where("other != head")
+        step = step.select("head", "_m", "_g", F.col("other").alias("id"), F.coalesce("first", "other").alias("first"), F.round(F.col("prob") * F.col("_p"), 9).alias("prob"), "_t", "_barred").where(F.col("prob") >= least)
+        step = promising(step, F.col("_t") if done == hops else F.lit(most))
+        if not seen:  # the first step is the edge itself, one a pair
+            step = step.where("not _barred").drop("_barred", "_g")
+        else:
+            top = F.max(F.struct("prob", (-F.col("first")).alias("f"))).alias("_s")
+            step = step.groupBy("head", "id").agg(top, F.max("_m").alias("_m"), F.max("_t").alias("_t")).select("head", "_m", "id", (-F.col("_s.f")).alias("first"), "_s.prob", "_t")
             old = seen[0]
             for s in seen[1:]:
                 old = old.unionByName(s)
             old = old.groupBy("head", "id").agg(F.max("prob").alias("_old"))
             step = step.join(old, ["head", "id"], "left").where("_old is null or prob > _old").drop("_old")
+            touch = pairs.select("node1", "node2", "_barred", "_asked")
+            step = step.withColumns({"node1": F.least("head", "id"), "node2": F.greatest("head", "id")}).join(touch, ["node1", "node2"], "left").where("not coalesce(_barred, false)")
+            step = step.withColumn("first", F.when(F.col("_asked"), F.col("id")).otherwise(F.col("first"))).select("head", "_m", "id", "first", "prob", "_t")
         front = kept(step)
         if front.isEmpty():
             break
         seen.append(front.select("head", "id", "prob"))
-        found = front.join(targets, "id").withColumn("gain", worth(F.col("prob"), F.col("_m"), F.col("_t"))).where(F.col("gain") >= accept)
+        found = front.withColumn("gain", worth(F.col("prob"), F.col("_m"), F.col("_t"))).where(F.col("_t").isNotNull() & (F.col("gain") >= accept))
         # a later path to the same target is a better one, so it replaces the earlier
         both = found.select("head", "id", "first", "prob", "gain").unionByName(best)
         top = both.groupBy("head").agg(F.max(F.struct("gain", (-F.col("id")).alias("i"), "prob", (-F.col("first")).alias("f"))).alias("_s"))

@@ -96,3 +96,26 @@ def test_synapse_mode_preserved_edges_and_empty_graphs(spark):
     few = head_candidates(edges.limit(0), nodes.select("id", F.lit(1).alias("mass")), nodes.select("id", F.lit(1).alias("mass")), lambda p, a, b: p * b, 0.1)
     none = head_candidates(edges, nodes.select("id", F.lit(1).alias("mass")), nodes.limit(0).select("id", F.lit(1).alias("mass")), lambda p, a, b: p * b, 0.1)
     assert few.count() == 0 and none.count() == 0
+
+
+def test_last_step_writes_only_paths_that_can_win(spark, monkeypatch):
+    """A path of two edges to a small target is not written where a head already has a better one (the bound by the largest target would keep it)."""
+    from regraph.operators import heads as module
+
+    n, written = 60, []
+
+    def counted(df):
+        out = kept(df)
+        written.append((out.columns, out.count()))
+        return out
+
+    kept = module.kept
+    monkeypatch.setattr(module, "kept", counted)
+    edges = spark.createDataFrame([(a, b, 0.1) for a in range(1, n + 1) for b in range(a + 1, n + 1) if (a + b) % 2], "node1 long, node2 long, weight double")
+    # all targets are small but one, which no head reaches
+    bodies = spark.createDataFrame([(i, 2.0) for i in range(1, n + 1)], "id long, mass double")
+    targets = bodies.unionByName(spark.createDataFrame([(1000, 50.0)], "id long, mass double"))
+    got = head_candidates(edges, bodies, targets, lambda p, a, b: p * b, 0.5, hops=2)
+    assert got.count() == n and {round(r.gain, 9) for r in got.collect()} == {1.8}
+    fronts = [k for c, k in written if "prob" in c and "gain" not in c]
+    assert fronts == [n * n // 2, 0]
