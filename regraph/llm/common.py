@@ -57,13 +57,18 @@ def text_or_empty(col: str = "text"):
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
-    """Slices of an Arrow batch of about `limit` bytes of text each, so long texts stay few at a time."""
+    """Slices of an Arrow batch of about `limit` bytes of text each, so long texts stay few at a time.
+
+    What Arrow's pool holds of a slice's words goes back after it: workers live on between tasks and stages.
+    """
+    pool = pa.default_memory_pool()
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     group = (np.cumsum(size) - size) // limit
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(size)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+            pool.release_unused()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

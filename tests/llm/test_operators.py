@@ -442,3 +442,22 @@ def test_wrapped_headers_and_whole_licence_files(spark):
         1: ("GPL-3.0", "header"), 2: ("GPL-2.0", "header"), 3: ("MIT", "header"), 4: ("BSD-3-Clause", "header"), 5: ("BSD-2-Clause", "header"),
         6: ("BSD-3-Clause", "inherited"), 7: (None, None), 8: (None, None),
     }
+
+
+def test_slices_give_their_memory_back(monkeypatch):
+    """Arrow's pool is asked to let go after each slice, and packing takes slices of 2 MB, so a worker holds little when the next stage begins."""
+    import pyarrow as pa
+
+    from regraph.llm import common
+
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(len(seen))
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    seen, batch = [], pa.RecordBatch.from_pydict({"text": ["a " * 500_000] * 6})
+    for part in common.text_slices(batch, "text", 2 << 20):
+        seen.append(part.num_rows)
+    assert sum(seen) == 6 and len(seen) > 1 and released == list(range(1, len(seen) + 1))
