@@ -59,6 +59,7 @@ def two_step(nodes: DataFrame, edges: DataFrame, threshold: float, score: Callab
     if threshold == 0:
         return nodes.sparkSession.createDataFrame([], "old long, new long")
     less, merged, mapping = agglomerated(nodes, edges, first)
+    merged = kept(merged)
     inside = kept(inclusions(less, merged))
     less, merged = contracted(less, merged, inside)
     mapping = composed(mapping, inside)
