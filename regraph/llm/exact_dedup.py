@@ -101,7 +101,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     name = unused(docs, "keep")
     keep = written(exact_dedup(docs).where("kept").select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    return docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")  # identifiers grow with the table
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,9 @@ one text. Buckets with at most FEW members outside their largest component, or P
 all pairs across components, which is linear; pairs whose counts of k-mers by slot already differ too
 much are not aligned. In another bucket a leader L is compared with all others, also linear: first the
 text that shares most buckets with others, which tends to be the one that the group varies, later the
-member that adds least to the leader before. If many members stay outside, let x miss m(x) k-mers of L
+member that adds least to the leader before. As what follows holds of any L, be it in the bucket or not,
+the first buckets take the leader that most of their members have elsewhere: a group has few leaders,
+and few rows of a leader and a member, however many buckets it has. If many members stay outside, let x miss m(x) k-mers of L
 and hold i(x) further ones, I(x). Two members x and y that are not both linked with L can reach the
 similarity only if they differ in at most (n(x) + n(y)) / 9 k-mers; they differ in at least
 i(x) + i(y) - 2 |I(x) & I(y)| + |m(x) - m(y)|. So either
@@ -319,9 +321,24 @@ def first_buckets(reps: DataFrame) -> DataFrame:
     return rows.join(rank, "rep").select("bucket", "rep", F.col("rep").alias("own"), "rank", F.lit(True).alias("fresh"), "size")
 
 
-def split(rows: DataFrame, few, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def shared_leads(rows: DataFrame) -> DataFrame:
+    """rows(bucket, rep, lead, rank, size) with their buckets' leads replaced by those that most members have.
+
+    A member has the lead of lowest (rank, rep) of all its buckets. Members that follow it already need no
+    further comparison; a member that merely joins two groups does not give one the lead of the other.
+    """
+    heads = written(rows.groupBy("bucket").agg(F.min(F.struct("rank", "rep")).alias("_h")))
+    best = written(rows.select("bucket", "rep").join(heads, "bucket").groupBy("rep").agg(F.min("_h").alias("_h")))
+    votes = rows.select("bucket", "rep").join(best, "rep").groupBy("bucket", "_h").agg(F.count(F.lit(1)).alias("n"))
+    lead = votes.groupBy("bucket").agg(F.min(F.struct((-F.col("n")).alias("n"), "_h")).alias("_v")).select("bucket", F.col("_v._h.rep").alias("lead"))
+    return rows.drop("lead").join(written(lead), "bucket")
+
+
+def split(rows: DataFrame, few, least: float, share: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of sized rows: pairs of the buckets with few, pairs of the others' leads with their members, and the rows of these others."""
-    led = written(rows.where(~few & (F.col("rep") != F.col("lead"))).select("bucket", "rep", "lead", "rank", "size"))
+    led = rows.where(~few).select("bucket", "rep", "lead", "rank", "size")
+    led = shared_leads(written(led)) if share else led
+    led = written(led.where("rep != lead"))
     star = led.select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.lit(True).alias("led"))
     return outright(rows.where(few), least), star, led
 
@@ -363,7 +380,7 @@ def level_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
     """(id, component) of the representatives that are linked with others; None where there are no links."""
-    few, star, led = split(sized(first_buckets(reps)), F.col("outside") <= FEW, least)
+    few, star, led = split(sized(first_buckets(reps)), F.col("outside") <= FEW, least, share=True)
     pairs = written(both_of([few, star]))
     members = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
     kmers = written(kmer_table(docs, members.join(reps.select("rep", "digest"), "rep")))
@@ -408,7 +425,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs, with all their columns, without those whose class has a smaller doc_id; rows that repeat the doc_id that stays are all kept."""
     name = unused(docs, "keep")
     keep = written(near_classes(docs, least).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
+    return docs.join(keep.hint("merge"), docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")  # identifiers grow with the table
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -461,3 +461,15 @@ def test_slices_give_their_memory_back(monkeypatch):
     for part in common.text_slices(batch, "text", 2 << 20):
         seen.append(part.num_rows)
     assert sum(seen) == 6 and len(seen) > 1 and released == list(range(1, len(seen) + 1))
+
+
+def test_buckets_of_one_group_share_a_leader(spark):
+    """Text 1 leads most members of buckets 10 to 12, though it is only in 10; bucket 20 is joined to them by one member and keeps its own."""
+    members = {10: [1, 2, 3, 4, 5, 6], 11: [2, 3, 4, 5, 6], 12: [3, 4, 5, 6, 7], 20: [7, 21, 22, 23, 24]}
+    rank = {1: -90, 2: -50, 3: -40, 7: -5, 21: -30}
+    rows = [(b, x, min(own, key=lambda y: (rank.get(y, 0), y)), rank.get(x, 0), 9) for b, own in members.items() for x in own]
+    rows = spark.createDataFrame(rows, "bucket long, rep long, lead long, rank long, size int")
+    out = near_dedup.shared_leads(rows)
+    assert {(r.bucket, r.lead) for r in out.collect()} == {(10, 1), (11, 1), (12, 1), (20, 21)} and out.count() == rows.count()
+    led = lambda df: df.where("rep != lead").select("rep", "lead").distinct().count()
+    assert led(out) < led(rows)
