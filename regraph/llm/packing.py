@@ -91,7 +91,7 @@ class WordTokens:
         letters and the mark: the tokenizer itself lower-cases and splits there.
         """
         plain = pc.match_substring_regex(vocabulary, "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$")
-        marked = pc.and_(plain, pc.match_substring_regex(vocabulary, "[.,;:!?]$"))
+        marked = pc.and_(plain, pc.is_in(pc.utf8_slice_codeunits(vocabulary, -1), pa.array(list(".,;:!?"), vocabulary.type)))
         core = pc.if_else(plain, pc.utf8_lower(pc.if_else(marked, pc.utf8_slice_codeunits(vocabulary, 0, -1), vocabulary)), vocabulary)
         has = marked.to_numpy(zero_copy_only=False).astype(bool)
         units = np.empty(len(vocabulary) + int(has.sum()), np.int64)
@@ -117,7 +117,7 @@ class WordTokens:
         total = int(ends[-1]) if len(ends) else 0
         ids = flat[np.repeat(start[codes] - (ends - count[codes]), count[codes]) + np.arange(total)]
         ends = np.concatenate([[0], ends])
-        stops = pc.match_substring_regex(vocabulary, r"[.!?…。]$").to_numpy(zero_copy_only=False).astype(bool)
+        stops = pc.is_in(pc.utf8_slice_codeunits(vocabulary, -1), pa.array(list(".!?…。"), vocabulary.type)).to_numpy(zero_copy_only=False).astype(bool)
         return ids, ends[offsets[1:]], ends[1:][stops[codes]] if len(codes) else np.zeros(0, np.int64)
 
 
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, sent
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
         for batch in batches:
-            for part in text_slices(batch, "text", 2 << 20):
+            for part in text_slices(batch, "text"):
                 ids, doc_ends, stops = _tokens[tokenizer].encode(part.column("text"))
                 ids = np.insert(ids, doc_ends, end)
                 more = np.arange(len(doc_ends))
