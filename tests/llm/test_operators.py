@@ -69,6 +69,35 @@ def test_index_of_batches(spark, docs):
     assert found[8] == 7 and found[4] == 4 and found[1] == 1 and found[6] == 5
 
 
+@pytest.mark.parametrize("compacted", [False, True])
+def test_index_compares_bytes(spark, docs, compacted):
+    """With one digest for all texts of a length, bytes still tell them apart, over runs and for texts that were not flushed."""
+    norm = lambda t: __import__("re").sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    index = exact_dedup.DigestIndex(spark, digest=lambda norm: F.encode((F.length(norm) % 2).cast("string"), "utf-8"))
+    held = [(i, norm(t)) for i, t, *_ in corpus() if i not in (4, 8)]
+    index.flush(docs.where("doc_id is null or doc_id not in (4, 8)"), batches=3)
+    if compacted:
+        index.compact()
+        assert len(index.runs) == 1
+    for own in (False, True):
+        asked = docs.where("doc_id is null or doc_id not in (4, 8)") if own else docs
+        got = {r.id: (r.keep_id, r.size) for r in index.lookup(asked, own=own).collect()}
+        assert len(got) == asked.count()
+        for i, t, *_ in corpus():
+            same = [x for x, y in held if y == norm(t)]
+            if not own or i not in (4, 8):
+                assert got[i] == (min((x for x in same if x is not None), default=None), len(same) or None)
+
+
+def test_filters_take_what_runs_share(spark):
+    """A run's filter takes all of its digests and few others, and a run is not probed against itself."""
+    rows = spark.range(6000).select((F.col("id") % 3).cast("int").alias("run"), F.encode(F.col("id").cast("string"), "utf-8").alias("digest"))
+    both = rows.where("run < 2").unionByName(rows.where("run = 2").limit(50).withColumn("run", F.lit(0)))
+    filters = exact_dedup.Filters(both.unionByName(rows.where("run = 2")), [0, 1, 2])
+    assert filters.taken(rows).count() == 6000
+    assert 100 <= filters.taken(both.unionByName(rows.where("run = 2")), "run").count() < 1200
+
+
 def brute_removed(rows, k=13):
     first = {}
     for i, w in sorted((i, w) for i, w in rows if i is not None):
