@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,21 +78,22 @@ def greedy_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, degree): nodes by descending (degree, then ascending id), each taken unless a neighbour was.
 
     In each round a node is taken if it comes before all its open neighbours, and these are closed: the
-    same set as one by one. Nodes without edges are all taken.
+    same set as one by one. Pairs with a closed node go, so rounds have ever fewer pairs. Nodes without
+    edges are all taken.
     """
-    near = endpoints(edges).where("id != other").distinct()
-    rank = kept(nodes.select("id").distinct().join(near.groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")))
-    other = rank.toDF("other", "degree2")
-    ahead = (F.col("degree") < F.col("degree2")) | ((F.col("degree") == F.col("degree2")) & (F.col("id") > F.col("other")))
-    before = kept(near.join(rank, "id").join(other, "other").where(ahead).select("id", "other"))  # other comes before id
-    near, taken, open_ = kept(near), None, rank.select("id")
+    pairs = kept(canonical(edges.select("node1", "node2")).where("node1 != node2").distinct())
+    degree = endpoints(pairs).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    rank = kept(nodes.select("id").distinct().join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")))
+    both = pairs.join(rank.toDF("node1", "degree1"), "node1").join(rank.toDF("node2", "degree2"), "node2")
+    ends = F.when(F.col("degree1") >= F.col("degree2"), F.struct(F.col("node2").alias("id"), F.col("node1").alias("other"))).otherwise(F.struct(F.col("node1").alias("id"), F.col("node2").alias("other")))
+    before = kept(both.select(ends.alias("_e")).select("_e.*"))  # other comes before id; only pairs of open nodes stay
+    taken, open_ = [], rank.select("id")
     while not open_.isEmpty():
-        alive = before.join(open_, "id", "left_semi").join(open_.toDF("other"), "other", "left_semi").select("id").distinct()
-        new = kept(open_.join(alive, "id", "left_anti"))
-        taken = new if taken is None else kept(taken.unionByName(new))
-        gone = new.unionByName(near.join(new, "id").select(F.col("other").alias("id")))
-        open_ = kept(open_.join(gone, "id", "left_anti"))
-    return rank.limit(0) if taken is None else rank.join(taken, "id", "left_semi")
+        taken.append(kept(open_.join(before.select("id").distinct(), "id", "left_anti")))
+        gone = kept(before.join(taken[-1].toDF("other"), "other", "left_semi").select("id").distinct())
+        open_ = kept(open_.join(taken[-1].unionByName(gone), "id", "left_anti"))
+        before = kept(before.join(gone, "id", "left_anti").join(gone.toDF("other"), "other", "left_anti"))
+    return rank.join(reduce(DataFrame.unionByName, taken), "id", "left_semi") if taken else rank.limit(0)
 
 
 def small_segments(paths: DataFrame, large: DataFrame, small: DataFrame, gt: DataFrame, depth: int = 2) -> DataFrame:

@@ -86,6 +86,23 @@ def test_greedy_seeds_equal_one_by_one(spark):
     assert sorted(tuple(x) for x in got.collect()) == sorted(want)
 
 
+def test_greedy_seeds_drop_pairs_of_closed_nodes(spark, monkeypatch):
+    """Every round keeps fewer pairs than the one before it, until none is left; a pair given twice or with itself counts once or not."""
+    rows, kept = [], ps.kept
+
+    def counted(df):
+        out = kept(df)
+        if out.columns == ["id", "other"]:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(ps, "kept", counted)
+    edges = [(i, i + 1) for i in range(9)] + [(0, 1), (3, 3), (10, 1)]
+    got = ps.greedy_seeds(spark.range(11), spark.createDataFrame(edges, "node1 long, node2 long"))
+    assert sorted(tuple(x) for x in got.collect()) == [(1, 3), (3, 2), (5, 2), (7, 2), (9, 1)]
+    assert rows[0] == 10 and rows[-1] == 0 and all(a > b or a == b == 0 for a, b in zip(rows, rows[1:]))
+
+
 def test_random_priority_keeps_to_the_threshold(spark):
     e = spark.range(500).selectExpr("id node1", "id + 1 node2", "id / 500.0D weight")
     got = [x["priority"] for x in ps.random_priority(e, 0.4).collect()]
