@@ -16,6 +16,11 @@ longest common subsequence of two texts is a longest increasing run of matched p
 off the band that 0.8 allows (insertions plus deletions) are left out first. The similarity is
 L / (n + m - L).
 
+Texts that share buckets, directly or through others, are one candidate group; no link leads out of it. A group of at most
+LOCAL k-mers is solved in one task, small groups share one: with the group's k-mers ordered from the rarest to the most
+common, two similar texts share one of the first 0.2 n + 1 of each, so all their pairs come up, in one pass and whatever their
+buckets; a pair whose texts are of one class already is not aligned. What follows is for larger groups, which take rounds.
+
 No large group is ever paired with itself, and no link of a bucket is lost. Texts of equal words are
 one text. Buckets with at most FEW members outside their largest component, or PAIRS pairs, give
 all pairs across components, which is linear; pairs whose counts of k-mers by slot already differ too
@@ -57,6 +62,10 @@ from .common import mix64, table, text_slices, unused, word_hashes, words_of, wr
 
 KMER, SIMILARITY, SKETCHES, PICKED, SHORT = 5, 0.8, 40, 6, 40
 FEW, PAIRS, SLOTS, WORDS = 8, 2048, 128, 1024
+
+#: Labelled k-mers of a candidate group that is solved in one task (a text counts as LEAST_KMERS at least), and of small groups
+#: that share a task; k-mers that are counted by bits.
+LOCAL, LEAST_KMERS, SHARED, BITS = 4_000_000, 80, 200_000, 1024
 _random = np.random.default_rng(7)
 XOR, TIMES = (_random.integers(0, 2**63, (SKETCHES, 1), np.uint64) for _ in range(2))
 TIMES |= np.uint64(1)
@@ -412,11 +421,126 @@ def linked(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
     return label
 
 
+def joined(texts: list[np.ndarray], least: float) -> np.ndarray:
+    """For each text of labelled k-mers the first text of its class: whatever pairs have an alignment that reaches least are linked.
+
+    Texts are taken up one after the other; of the earlier ones of other classes that share a k-mer of both prefixes, those that
+    share enough k-mers are aligned. Shared k-mers are counted by bits for the BITS most common, by lists of texts for the rest.
+    """
+    n, size = len(texts), np.array([len(x) for x in texts])
+    label = np.arange(n)
+    near = lambda x, y: aligned(texts[x], texts[y], least) >= least - 1e-9
+    if n == 2:
+        return np.zeros(2, np.int64) if near(0, 1) else label
+    owner = np.repeat(np.arange(n, dtype=np.int32), size)
+    _, code, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int32)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.int32)
+    code, common = rank[code], max(0, len(count) - BITS)
+    order = np.lexsort((code, owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+    prefix = order[place < np.repeat(((1 - least) * size + 1e-9).astype(np.int64) + 1, size)]
+    bits = np.zeros((n, -(-min(len(count), BITS) // 64)), np.uint64)
+    top = np.flatnonzero(code >= common)
+    np.bitwise_or.at(bits, (owner[top], (code[top] - common) // 64), np.uint64(1) << ((code[top] - common) % 64).astype(np.uint64))
+    lists = [_earlier(code[k], owner[k], n) for k in (prefix, np.flatnonzero(code < common))]
+    for x in range(1, n):
+        others = lists[0](x, x)
+        others = np.unique(others) if others is not None else np.arange(x)
+        others = others[label[others] != label[x]]
+        if not len(others):
+            continue
+        shared = np.bitwise_count(bits[others] & bits[x]).sum(axis=1, dtype=np.int64)
+        rest = lists[1](x, 1 << 62)
+        if len(rest):
+            shared += np.bincount(rest, minlength=x)[others]
+        ok = shared >= least / (1 + least) * (size[others] + size[x]) - 1e-6
+        others = others[ok][np.argsort(-shared[ok], kind="stable")]
+        while len(others):
+            y, others = others[0], others[1:]
+            if near(x, y):
+                a, b = sorted((label[x], label[y]))
+                label[label == b] = a
+                others = others[label[others] != a]
+    return label
+
+
+def _earlier(code: np.ndarray, owner: np.ndarray, n: int):
+    """A function of text x and a limit: the texts before x once for each of code that they share with x; None if they are more than the limit."""
+    order = np.lexsort((owner, code))
+    code, owner = code[order], owner[order]
+    start = np.searchsorted(code, code).astype(np.int32)  # a text's own place among its code's ends the earlier texts
+    at = np.flatnonzero(np.arange(len(code)) > start)
+    at = at[np.argsort(owner[at], kind="stable")]
+    cuts = np.searchsorted(owner[at], np.arange(n + 1))
+
+    def of(x: int, limit: int):
+        mine = at[cuts[x] : cuts[x + 1]]
+        many = mine - start[mine]
+        if many.sum() > limit:
+            return None
+        return owner[np.arange(many.sum()) + np.repeat(start[mine] - (np.cumsum(many) - many), many)]
+
+    return of
+
+
+def candidate_groups(reps: DataFrame) -> DataFrame:
+    """(id, component) of the texts that share buckets with others, directly or not."""
+    rows = reps.select("rep", F.explode("buckets").alias("bucket"))
+    heads = written(rows.groupBy("bucket").agg(F.min("rep").alias("head"), F.max("rep").alias("_m")).where("head != _m").drop("_m"))
+    return components(rows.join(heads, "bucket").select(F.col("rep").alias("a"), F.col("head").alias("b")).where("a != b").distinct())
+
+
+def linked_groups(docs: DataFrame, reps: DataFrame, least: float) -> DataFrame | None:
+    """linked(), with all candidate groups of at most LOCAL k-mers solved whole, each in one task."""
+    near = written(candidate_groups(reps).join(reps.select(F.col("rep").alias("id"), "kmers"), "id"))
+    sizes = written(near.groupBy("component").agg(F.sum(F.greatest("kmers", F.lit(LEAST_KMERS))).alias("n")))
+    total = sizes.agg(F.sum(F.when(F.col("n") <= SHARED // 8, F.col("n"))), F.max("n")).first()
+    if total[1] is None:
+        return None
+    own = F.col("n") > SHARED // 8
+    sizes = sizes.select("component", "n", own.alias("own"), F.when(own, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(max(1, -(-(total[0] or 0) // SHARED))))).alias("of"))
+    ids = near.drop("kmers").join(sizes.where(F.col("n") <= LOCAL).drop("n"), "component").withColumnRenamed("id", "rep")
+
+    def kmers(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                data = [x.tobytes() for _, x in kmers_of(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("own", "of", "component", "rep")), pa.array(data, pa.binary())], names=["own", "of", "component", "rep", "kmer_bytes"])
+
+    def solve(rows: pa.Table) -> pa.Table:
+        of, rep = (rows.column(c).to_numpy() for c in ("component", "rep"))
+        order = np.lexsort((rep, of))
+        of, rep, data = of[order], rep[order], rows.column("kmer_bytes").combine_chunks()
+        ids, labels = [], []
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]):
+            texts: dict[int, bytes] = {}
+            for r, i in zip(rep[a:b].tolist(), order[a:b].tolist()):  # of a doc_id's several texts the least
+                x = data[i].as_py()
+                texts[r] = min(texts.get(r, x), x)
+            names = np.fromiter(texts, np.int64, len(texts))
+            if len(names) > 1:
+                ids.append(names)
+                labels.append(names[joined([np.frombuffer(x, np.uint64) for x in texts.values()], least)])
+        ids, labels = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, labels))
+        return pa.table({"id": ids, "component": labels})
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(ids, "rep").select("own", "of", "component", "rep", "text")
+    texts = texts.mapInArrow(kmers, "own boolean, of long, component long, rep long, kmer_bytes binary")
+    label = written(texts.groupBy("own", "of").applyInArrow(solve, "id long, component long"))
+    if total[1] > LOCAL:
+        large = near.join(sizes.where(F.col("n") > LOCAL), "component").select(F.col("id").alias("rep"))
+        more = linked(docs, written(reps.join(large, "rep", "left_semi")), least)
+        label = label if more is None else written(label.union(more))
+    return label
+
+
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (the smallest doc_id of its class), text_id (that of equal texts)."""
     rows = written(sketched(docs, least))
     reps = written(rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "kmers", "buckets")).alias("_r")).select("digest", F.col("_r.doc_id").alias("rep"), F.col("_r.kmers").alias("kmers"), F.col("_r.buckets").alias("buckets")))
-    label = linked(docs, reps.where("rep is not null"), least)
+    label = linked_groups(docs, reps.where("rep is not null"), least)
     named = written(labelled(reps.select("digest", "rep"), label, "rep", "class_id"))
     return rows.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", F.col("rep").alias("text_id"))
 

@@ -502,3 +502,51 @@ def test_buckets_of_one_group_share_a_leader(spark):
     assert {(r.bucket, r.lead) for r in out.collect()} == {(10, 1), (11, 1), (12, 1), (20, 21)} and out.count() == rows.count()
     led = lambda df: df.where("rep != lead").select("rep", "lead").distinct().count()
     assert led(out) < led(rows)
+
+
+def variants(seed, groups=4, members=30):
+    """Texts of some bases with words changed, lost, added and moved, at all distances, as lists of words."""
+    r, out = random.Random(seed), []
+    for g in range(groups):
+        base = words(r.choice([6, 30, 60, 150]), 100 * seed + g)
+        for _ in range(members):
+            w = list(base)
+            for _ in range(int(len(w) * r.random() * 0.06) + r.randrange(2)):
+                kind, i = r.randrange(4), r.randrange(len(w))
+                if kind == 0:
+                    w[i] = f"n{r.randrange(10**6)}"
+                elif kind == 1 and len(w) > 1:
+                    w.pop(i)
+                else:
+                    w.insert(i, w.pop(r.randrange(len(w))) if kind == 2 else f"n{r.randrange(10**6)}")
+            out.append(w)
+    r.shuffle(out)
+    return out
+
+
+def test_joined_texts_equal_brute_force(monkeypatch):
+    """Counts by bits and by lists, prefixes that are listed and not, against alignments of all pairs."""
+    for seed, bits in ((1, 1024), (2, 1024), (3, 64), (4, 1), (5, 0)):
+        monkeypatch.setattr(near_dedup, "BITS", bits)
+        texts = [x for _, x in near_dedup.kmers_of(pa.array([" ".join(w) for w in variants(seed)]))]
+        label = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if label[i] != label[j] and near_dedup.aligned(texts[i], texts[j]) >= 0.8 - 1e-9:
+                    a, b = sorted((label[i], label[j]))
+                    label = [a if x == b else x for x in label]
+        assert near_dedup.joined(texts, 0.8).tolist() == label and len(set(label)) < len(label)
+
+
+def test_near_dedup_takes_rounds_for_huge_groups_only(spark, monkeypatch):
+    """Groups of some size are solved whole; those above LOCAL go through rounds and give the same classes."""
+    texts = variants(7) + [words(80, 999)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    rounds, compared = [], near_dedup.compared
+    monkeypatch.setattr(near_dedup, "compared", lambda *a: rounds.append(1) or compared(*a))
+    whole = sorted((r.doc_id, r.class_id) for r in near_dedup.near_classes(df).collect())
+    assert not rounds and len({c for _, c in whole}) < len(texts)
+    for local in (4000, 0):
+        monkeypatch.setattr(near_dedup, "LOCAL", local)
+        assert sorted((r.doc_id, r.class_id) for r in near_dedup.near_classes(df).collect()) == whole
+    assert rounds
