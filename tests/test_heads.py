@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from regraph.functions.features import voi_change
 from regraph.operators.editing import Session
 from regraph.operators.heads import head_candidates
 
@@ -119,3 +120,33 @@ def test_last_step_writes_only_paths_that_can_win(spark, monkeypatch):
     assert got.count() == n and {round(r.gain, 9) for r in got.collect()} == {1.8}
     fronts = [k for c, k in written if "prob" in c and "gain" not in c]
     assert fronts == [n * n // 2, 0]
+
+
+def test_steps_are_dealt_to_classes_that_paths_are_bounded_by(spark, monkeypatch):
+    """Paths meet only the steps of classes that could do: same candidates as brute force, with affinities over 1, equal masses and bodies that are no targets."""
+    from regraph.operators import heads as hd
+
+    tables, kept = [], hd.kept
+    monkeypatch.setattr(hd, "kept", lambda df: tables.append(kept(df)) or tables[-1])
+    gain = lambda p, a, b: p * change(a, b, 900.0)
+    for seed in (5, 6):
+        weights, sizes = graph(seed, 25, 90)
+        weights = {k: -0.03 if i == 7 else w for i, (k, w) in enumerate(weights.items())}
+        sizes = {k: v - v % 20 + 5 for k, v in sizes.items()}
+        edges = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "node1 long, node2 long, weight double")
+        bodies = spark.createDataFrame(list(sizes.items()), "id long, mass long")
+        column = lambda p, a, b: p * voi_change(a, b, 900.0)
+        got = hd.head_candidates(edges, bodies, bodies.where("mass > 20"), column, 0.2, 2).collect()
+        near = {}
+        for (a, b), w in weights.items():
+            near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = round(1 - w, 9)
+        for r in got:
+            paths = {}
+            for y, p in near[r.head].items():
+                for z, q in [(y, p), *((z, round(p * q, 9)) for z, q in near[y].items() if z != r.head and p >= 0.2)]:
+                    if q >= 0.2 and sizes[z] > 20 and near[r.head].get(y, 1) > -0.00001 and near[r.head].get(z, 1) > -0.00001:
+                        paths[z] = max(paths.get(z, 0), q)
+            want = max((round(gain(q, sizes[r.head], sizes[z]), 15), -z) for z, q in paths.items())
+            assert (r.id, r.gain) == (-want[1], pytest.approx(want[0], abs=2e-15))
+        assert len(got) > 10
+    assert any("_k" in t.columns for t in tables)
